@@ -1,0 +1 @@
+"""Operators for training-data pipelines."""
