@@ -4,7 +4,8 @@ Each document gets an exponential key -ln(u) / quality (Efraimidis and Spirakis)
 its id and a seed, so reruns agree. Within a source, documents go by key; a source's target
 is met by whole epochs of all its documents, then by the documents whose running size comes
 nearest to what is left. Running sums are taken in ranges of the key: the range totals are
-summed first, then rows within a range, so a hot source is spread over tasks.
+summed first, then rows within a range, so a hot source is spread over tasks. Sizes and keys
+are written once to the shared folder, so texts are read once.
 
 Targets: the total budget is dealt by source weight; a target stops at max_epochs times its
 source's size and the excess is dealt again by weight among the rest until none is above.
@@ -19,8 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Rows of a source that one range of keys holds on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
 
 
 def word_count(c: Column) -> Column:
@@ -61,11 +64,11 @@ def mix(df: DataFrame, weight_of_rank: Column, doc_id: str = "doc_id", text: str
     keep: further columns of df to carry.
     """
     q = quality if quality is not None else F.lit(1.0)
-    docs = df.select(
+    docs = written(df.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
         (-F.ln(uniform(F.col(doc_id), seed)) / F.when(q.cast("double") > 0, q.cast("double")).otherwise(1.0)).alias("sampling_key"),
         F.xxhash64(F.col(text)).alias("tie"), *[F.col(c).alias(f"kept_{c}") for c in keep],
-    )
+    ))
     per_source = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"), F.avg("sampling_key").alias("mean_key"))
     by_code_point = Window.partitionBy().orderBy(F.col("source").asc_nulls_last())
     ranked = per_source.withColumn("rank", F.row_number().over(by_code_point) - 1)

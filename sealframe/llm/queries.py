@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing
+from . import bpe, chat, gif, mixing, simhash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -54,6 +54,43 @@ def op2_mix_sources(spark, d):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+# --- 3: SimHash near-dedup --------------------------------------------------------------
+
+
+@query()
+def op3_simhash_components(spark, d):
+    out = simhash.near_duplicates(table(spark, d, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- 4: media columns -------------------------------------------------------------------
+
+
+@query()
+def op4_gif_columns(spark, d):
+    out = gif.read_back(gif.store_texts(table(spark, d, "documents")))
+    return out.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), "tail_crc32",
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature")
+
+
+# --- 5: BPE -----------------------------------------------------------------------------
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query()
+def op5_bpe_round_trip(spark, d):
+    path = vocabulary()
+    ids = bpe.encode(table(spark, d, "documents"), path).select("doc_id", "ids")
+    out = bpe.decode(ids, path)
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 # --- 8: chat formatting ----------------------------------------------------------------
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
