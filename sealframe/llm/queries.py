@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gif, mixing, simhash
+from . import ann, bpe, chat, gif, langid, mixing, quality, simhash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -91,6 +91,34 @@ def op5_bpe_round_trip(spark, d):
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+# --- 7: language identification ---------------------------------------------------------
+
+
+@query()
+def op7_language_id(spark, d):
+    docs = table(spark, d, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    out = langid.identify(docs.withColumn("held_out", held_out), ~F.col("held_out") & F.col("doc_id").isNotNull(), keep=("doc_id", "held_out"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+# --- 9: approximate nearest neighbours --------------------------------------------------
+
+
+@query()
+def op9_nearest_vectors(spark, d):
+    return ann.search(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+# --- 10: quality classifier -------------------------------------------------------------
+
+
+@query()
+def op10_quality_scores(spark, d):
+    docs = table(spark, d, "documents")
+    return quality.score(docs, table(spark, d, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 # --- 8: chat formatting ----------------------------------------------------------------
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
