@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, gif, langid, mixing, quality, simhash
+from . import ann, bpe, chat, gif, langid, mixing, quality, simhash, substrings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -91,6 +91,14 @@ def op5_bpe_round_trip(spark, d):
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+# --- 6: substring dedup -----------------------------------------------------------------
+
+
+@query()
+def op6_repeated_passages(spark, d):
+    return substrings.classes(table(spark, d, "documents"))
+
+
 # --- 7: language identification ---------------------------------------------------------
 
 
