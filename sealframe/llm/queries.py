@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, gif, langid, mixing, quality, simhash, substrings
+from . import ann, bpe, chat, gif, katz, langid, mixing, quality, simhash, substrings
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- 1: Katz backoff scores -------------------------------------------------------------
+
+
+@query()
+def op1_katz_scores(spark, d):
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    scores, _ = katz.fit_and_score(table(spark, d, "documents"), ~held_out)
+    return scores
+
+
 # --- 2: mixing sources to target weights -----------------------------------------------
 
 
