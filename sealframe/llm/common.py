@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +39,16 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, wait: float = 0.0) -> None:
+    """Let the driver drop shuffle files that nothing refers to any more.
+
+    References are found dead in one collection and cleaned after the next; `wait` seconds
+    are left to the cleaner after each of two.
+    """
+    for _ in range(2 if wait else 1):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(wait)
 
 
 def delete(spark: SparkSession, path: str) -> None:

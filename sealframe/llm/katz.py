@@ -387,21 +387,25 @@ def fit_and_score(df: DataFrame, train: Column, doc_id: str = "doc_id", text: st
         rows.write.option("compression", "zstd").partitionBy(*(by or [])).parquet(f"{root}/{name}")
         schema = rows.schema
         del rows
-        release(spark)
+        release(spark, 0.7)
         return spark.read.schema(schema).parquet(f"{root}/{name}")
 
     source = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("text"))
+    del df
     blocks = store(source.select("id", "train", "text").mapInArrow(_null_safe(_block_rows), BLOCK), "blocks")
     many = blocks.count()
     buckets = max(8, min(MAX_BUCKETS, many))
     asked = blocks.mapInPandas(_ask_words(buckets), ANSWER)
     words = store(asked.groupBy("bucket").applyInPandas(_answer_words(buckets), ANSWER), "words", ["kind"])
+    del asked
     lower = lower_order(_sum_stats(words))
     texts = blocks.select("trained").mapInPandas(_trained_texts, "n long").agg(F.sum("n")).first()[0] or 0
     limit = max(1.0, lower.u.tokens / (2 * buckets))
     replies = words.filter("kind = 'words'")
     asked = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_ask_pairs(buckets, limit, texts), ANSWER)
     pairs = store(asked.groupBy("bucket").applyInPandas(_answer_pairs(lower), ANSWER), "pairs", ["kind"])
+    del asked
+    release(spark, 0.7)
     d = discounts(_sum_stats(pairs)[2:])
     # At most 2 * buckets contexts hold over tokens / (2 * buckets) tokens each, and the start.
     table: dict[int, tuple[np.ndarray, float]] = {}
