@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from .common import written
 
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 6_000
 BUCKETS = 1 << 18
 #: The first features are binned measures, the others hashed.
 SHAPES = 256
@@ -97,7 +97,7 @@ def fit(sets: list[np.ndarray], y: np.ndarray, steps: int = STEPS, penalty: floa
     place = np.full(BUCKETS, -1, np.int32)
     place[index] = np.arange(len(index))
     col = place[flat]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[col >= 0]
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[col >= 0]
     col = col[col >= 0]
     weights, biases, priors = np.zeros((len(index), k)), np.full(k, -30.0), np.zeros(k)
     for t in range(k):
@@ -126,12 +126,12 @@ def fit(sets: list[np.ndarray], y: np.ndarray, steps: int = STEPS, penalty: floa
 
 def _featured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     rows = df.select(*keep, F.col(text).alias("text"))
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("features", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("features", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [features(t.as_py()) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.list_(pa.int32()))], names=schema.names)
+            sets = [features(t.as_py()).tobytes() for t in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -142,8 +142,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     total = marked.count()
     chosen = marked.filter(F.col("h") < int(min(1.0, rows / max(1, total)) * 2**62)).limit(2 * rows)
     joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    got = sorted(_featured(joined, "text", ["doc_id", "quality", "toxic"]).collect(), key=lambda r: (r["doc_id"], r["features"]))
-    sets = [np.array(r["features"], np.int32) for r in got]
+    got = sorted(_featured(joined, "text", ["doc_id", "quality", "toxic"]).collect(), key=lambda r: (r["doc_id"], bytes(r["features"])))
+    sets = [np.frombuffer(bytes(r["features"]), np.int32) for r in got]
     y = np.array([[math.nan if r["quality"] is None else float(r["quality"] == 0), math.nan if r["toxic"] is None else float(r["toxic"] == 1)] for r in got]).reshape(-1, 2)
     return fit(sets, y)
 
