@@ -40,27 +40,66 @@ TARGETS = ("bad", "toxic")
 _EDGE = ".,;:!?\"'()[]{}|"
 
 
+def _kinds(c: str) -> tuple[bool, bool, bool]:
+    """Whether a character is upper case, a symbol, a digit."""
+    return c.isupper(), not c.isalnum() and not c.isspace(), c.isdigit()
+
+
+_ASCII_KINDS = np.array([_kinds(chr(i)) for i in range(128)], np.int64)
+
+
+def _kind_counts(s: str) -> np.ndarray:
+    """Upper-case characters, symbols and digits in a text."""
+    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = codes < 128
+    out = np.bincount(codes[low], minlength=128) @ _ASCII_KINDS
+    for i, v in Counter(codes[~low].tolist()).items():
+        out = out + np.array(_kinds(chr(i))) * v
+    return out
+
+
+class _Words(dict):
+    """Of a lower-cased word, packed: its three hashed features (a short word repeats its
+    first), and whether it ends like a shout."""
+
+    def __missing__(self, word: str) -> int:
+        bare = word.strip(_EDGE)
+        at = [SHAPES + crc32(x.encode("utf-8", "replace")) % (BUCKETS - SHAPES) for x in (bare, "^" + bare[:4], "^" + bare[:5])]
+        at = [x if i == 0 or len(bare) > 3 + i else at[0] for i, x in enumerate(at)]
+        found = at[0] | at[1] << 18 | at[2] << 36 | word.endswith(("!", "*", "%", "$", "&")) << 54
+        if len(word) <= 64:
+            if len(self) >= 500_000:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_WORDS = _Words()
+
+
 def features(text: str | None) -> np.ndarray:
     """Feature numbers of a text: hashed words, word starts, and binned shape measures."""
     s = text or ""
-    words = s.lower().split()
-    bare = {w.strip(_EDGE) for w in words}
-    names = bare | {"^" + w[:4] for w in bare if len(w) > 4} | {"^" + w[:5] for w in bare if len(w) > 5}
-    n, chars, count = max(1, len(words)), max(1, len(s)), Counter(s).items()
+    words = Counter(s.lower().split())
+    packed = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
+    shouts = (packed >> 54) @ np.fromiter(words.values(), np.int64, len(words))
+    n, chars = max(1, words.total()), max(1, len(s))
+    upper, symbol, digit = _kind_counts(s).tolist()
     lines = [x for x in s.split("\n") if x]
     measures = {
-        "upper": sum(v for c, v in count if c.isupper()) / chars,
-        "symbol": sum(v for c, v in count if not c.isalnum() and not c.isspace()) / chars,
-        "digit": sum(v for c, v in count if c.isdigit()) / chars,
-        "distinct": len(set(words)) / n,
+        "upper": upper / chars,
+        "symbol": symbol / chars,
+        "digit": digit / chars,
+        "distinct": len(words) / n,
         "lines": len(set(lines)) / max(1, len(lines)),
         "word": min(1.0, chars / n / 20),
         "length": min(1.0, math.log2(n + 1) / 16),
-        "shouts": sum(w.endswith(("!", "*", "%", "$", "&")) for w in words) / n,
+        "shouts": int(shouts) / n,
     }
     shape = [21 * i + int(20 * v) for i, v in enumerate(measures.values())]
-    hashed = np.fromiter((SHAPES + crc32(x.encode("utf-8", "replace")) % (BUCKETS - SHAPES) for x in names), np.int32, len(names))
-    return np.unique(np.append(hashed, np.array(shape, np.int32)))
+    hashed = [(packed >> i & BUCKETS - 1).astype(np.int32) for i in (0, 18, 36)]
+    out = np.sort(np.concatenate([*hashed, np.array(shape, np.int32)]))
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 @dataclass

@@ -1,5 +1,8 @@
+import math
 import random
+from zlib import crc32
 
+import pytest
 from pyspark.sql import functions as F
 
 from sealframe.llm import quality
@@ -31,6 +34,25 @@ def test_held_out_accuracy(spark):
     assert wrong <= 10
 
 
+def plain_features(s):
+    words = s.lower().split()
+    n, chars, lines = max(1, len(words)), max(1, len(s)), [x for x in s.split("\n") if x]
+    bare = {w.strip(quality._EDGE) for w in words}
+    names = bare | {"^" + w[:4] for w in bare if len(w) > 4} | {"^" + w[:5] for w in bare if len(w) > 5}
+    shape = [
+        sum(c.isupper() for c in s) / chars, sum(not c.isalnum() and not c.isspace() for c in s) / chars, sum(c.isdigit() for c in s) / chars,
+        len(set(words)) / n, len(set(lines)) / max(1, len(lines)), min(1, chars / n / 20), min(1, math.log2(n + 1) / 16),
+        sum(w[-1] in "!*%$&" for w in words) / n,
+    ]
+    hashed = {quality.SHAPES + crc32(x.encode()) % (quality.BUCKETS - quality.SHAPES) for x in names}
+    return sorted(hashed | {21 * i + int(20 * v) for i, v in enumerate(shape)})
+
+
+@pytest.mark.parametrize("s", ["", "  \n\n", "...", "a b a", "Loud! LOUD!! 5% $", "\u00c9 \u00dcn\u00ef \x1c x\x85y \u00bd\u00b2", "\u0391\u03a3 \u03a3! abcd abcde abcdef", "x" * 100 + "! " + "ab\n" * 9000])
+def test_features_equal_plain_ones(s):
+    assert quality.features(s).tolist() == plain_features(s) == quality.features(s).tolist()
+
+
 def test_sparse_sites_are_shrunk(spark):
     groups = spark.createDataFrame([(2, 1.0)] * 50 + [(2, 0.0)] * 50, "n long, t double")
     assert quality._strength(groups, "n", "t", 0.25) > 2
