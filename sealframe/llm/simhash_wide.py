@@ -8,8 +8,9 @@ down together, differing bits add up, and a pair over the budget is dropped. Bef
 neighbours in several sort orders are linked, and a pair of nodes whose leaves are all in one
 part already is dropped too, so a large group of near copies costs about its rows.
 
-Groups above GROUP_ROWS are cut again by further runs of bits, in SUB_TABLES ways. The runs grow
-with the number of fingerprints, so that groups of unlike texts stay small. Candidate search
+Runs have RUN_BITS bits whatever the size, so recall does not fall as a table grows. Groups above
+GROUP_ROWS are dealt into parts, and each row goes to every pair of parts that has its own, so no
+link is lost; the rows of such a group grow with its square over GROUP_ROWS. Candidate search
 is by chance: a pair at similarity 0.85 shares a run with a probability of about 0.97.
 
 Cases: as in simhash: null and empty texts share one fingerprint, repeated rows stay, rows with a
@@ -18,7 +19,6 @@ null id take their class's smallest id, other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from .simhash import forest
 WORDS = 4
 BUDGET = 44
 TABLES = 32
-SUB_TABLES = 8
+RUN_BITS = 16
 GROUP_ROWS = 4_000
 _CHUNK = 60_000
 _SALT = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(WORDS)], np.uint64)
@@ -81,16 +81,13 @@ def _bits(fps: np.ndarray, at: int, n: int) -> np.ndarray:
     return out & np.uint64((1 << n) - 1)
 
 
-def _tabled(run_bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [b.column(f).to_numpy() for f in _FPS]
-            fps = np.stack(cols, axis=1).view(np.uint64)
-            for t in range(TABLES):
-                g = _mix(_bits(fps, t * 64 * WORDS // TABLES, run_bits) << np.uint64(8) | np.uint64(t))
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), b.column("rep"), *map(pa.array, cols)], names=["g", "rep", *_FPS])
-
-    return run
+def _tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cols = [b.column(f).to_numpy() for f in _FPS]
+        fps = np.stack(cols, axis=1).view(np.uint64)
+        for t in range(TABLES):
+            g = _mix(_bits(fps, t * 64 * WORDS // TABLES, RUN_BITS) << np.uint64(8) | np.uint64(t))
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), b.column("rep"), *map(pa.array, cols)], names=["g", "rep", *_FPS])
 
 
 def _differ(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -176,13 +173,12 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) between the reps of distinct fingerprints (f0 …, rep)."""
     spark = distinct.sparkSession
-    run_bits = int(min(24, max(16, math.ceil(math.log2(max(2, distinct.count()))) - 2)))
-    tabled = distinct.select("rep", *_FPS).mapInArrow(_tabled(run_bits), "g long, rep long, " + ", ".join(f"{f} long" for f in _FPS))
+    tabled = distinct.select("rep", *_FPS).mapInArrow(_tabled, "g long, rep long, " + ", ".join(f"{f} long" for f in _FPS))
     sizes = written(tabled.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS))
-    cut = tabled.join(sizes, "g", "left")
-    width = F.least(F.lit(12), F.ceil(F.log2(F.col("n") / GROUP_ROWS)) + 1).cast("int")
-    subs = F.array(*[F.xxhash64("g", F.lit(j), F.shiftrightunsigned(F.col(_FPS[j % WORDS]), 5 + 6 * j).bitwiseAND(F.pow(F.lit(2), width).cast("long") - 1)) for j in range(SUB_TABLES)])
-    keyed = cut.withColumn("g", F.explode(F.when(F.col("n").isNull(), F.array("g")).otherwise(subs))).drop("n")
+    cut = tabled.join(sizes, "g", "left").withColumn("parts", F.ceil(2 * F.col("n") / GROUP_ROWS))
+    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.xxhash64("g", F.least(part, q), F.greatest(part, q)))
+    keyed = cut.withColumn("g", F.explode(F.when(F.col("n").isNull(), F.array("g")).otherwise(pairs))).drop("n", "parts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_link, "a long, b long")
 
