@@ -7,12 +7,15 @@ path's toward its host's, by strengths estimated from the spread between sites,
 sites hardly move. A document's own share is taken out of its site's sums. The site prior then
 replaces the global one in the document's odds.
 
-The classifier is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, smallest hashes of
-the id); everything else covers all rows.
+The classifier is fitted on a bounded sample of labelled rows (at most SAMPLE_ROWS, those with
+the smallest hashes of the id); everything else covers all rows. Sums of probabilities are taken
+in fixed point, so reruns agree to the last bit.
 
 Cases: null text is empty text; null host or path is a site of its own; null labels are not
 learned from; with no labels of a kind, its probability is 0 and nothing is rejected for it;
-a document with several labels is used once for each; repeated rows stay; texts are read whole.
+a document with several labels is used once for each; repeated rows and null ids stay, each row
+with its own result; an empty table gives an empty result, empty labels keep every row; columns
+that are kept may have any names; texts are read whole.
 """
 
 from __future__ import annotations
@@ -29,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import free_name, joined_by_site, written
 
 SAMPLE_ROWS = 6_000
+#: Sampled rows that a feature has to be in.
+LEAST_COUNT = 5
 BUCKETS = 1 << 18
 #: The first features are binned measures, the others hashed.
 SHAPES = 256
@@ -58,9 +63,11 @@ def _kind_counts(s: str) -> np.ndarray:
     return out
 
 
-class _Words(dict):
+class Words(dict):
     """Of a lower-cased word, packed: its three hashed features (a short word repeats its
-    first), and whether it ends like a shout."""
+    first), and whether it ends like a shout. A bounded cache, made anew for each partition."""
+
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         bare = word.strip(_EDGE)
@@ -68,20 +75,18 @@ class _Words(dict):
         at = [x if i == 0 or len(bare) > 3 + i else at[0] for i, x in enumerate(at)]
         found = at[0] | at[1] << 18 | at[2] << 36 | word.endswith(("!", "*", "%", "$", "&")) << 54
         if len(word) <= 64:
-            if len(self) >= 500_000:
+            if len(self) >= self.LIMIT:
                 self.clear()
             self[word] = found
         return found
 
 
-_WORDS = _Words()
-
-
-def features(text: str | None) -> np.ndarray:
+def features(text: str | None, known: Words | None = None) -> np.ndarray:
     """Feature numbers of a text: hashed words, word starts, and binned shape measures."""
+    known = Words() if known is None else known
     s = text or ""
     words = Counter(s.lower().split())
-    packed = np.fromiter(map(_WORDS.__getitem__, words), np.int64, len(words))
+    packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
     shouts = (packed >> 54) @ np.fromiter(words.values(), np.int64, len(words))
     n, chars = max(1, words.total()), max(1, len(s))
     upper, symbol, digit = _kind_counts(s).tolist()
@@ -120,7 +125,7 @@ class Classifier:
         return out
 
 
-def fit(sets: list[np.ndarray], y: np.ndarray, steps: int = STEPS, penalty: float = 2e-4, least: int = 3) -> Classifier:
+def fit(sets: list[np.ndarray], y: np.ndarray, steps: int = STEPS, penalty: float = 2e-4, least: int = LEAST_COUNT) -> Classifier:
     """Logistic regression by Adam over all rows. y: (rows, targets) of 0, 1 or NaN.
 
     Measures count fourfold and hashed features by the size of their naive Bayes log ratio,
@@ -130,7 +135,6 @@ def fit(sets: list[np.ndarray], y: np.ndarray, steps: int = STEPS, penalty: floa
     empty = Classifier(np.zeros(0, np.int64), np.zeros((0, k)), np.full(k, -30.0), np.zeros(k))
     if not len(sets):
         return empty
-    least = least if len(sets) < 2000 else 2 * least
     flat = np.concatenate(sets)
     index = np.flatnonzero(np.bincount(flat, minlength=BUCKETS) >= min(least, len(sets)))
     place = np.full(BUCKETS, -1, np.int32)
@@ -163,41 +167,59 @@ def fit(sets: list[np.ndarray], y: np.ndarray, steps: int = STEPS, penalty: floa
     return Classifier(index, weights, biases, priors)
 
 
+_SLICE = 500
+
+
 def _featured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     rows = df.select(*keep, F.col(text).alias("text"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("features", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
         for b in batches:
-            sets = [features(t.as_py()).tobytes() for t in b.column(b.num_columns - 1)]
+            sets = [features(t.as_py(), known).tobytes() for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS) -> Classifier:
-    """Fit on at most about `rows` labelled documents. labels: doc_id, quality, toxic."""
+    """Fit on at most `rows` labelled rows. labels: doc_id, quality, toxic.
+
+    A hash limit under which about that many labels are leaves few rows to featurize; the
+    driver gets the first `rows` of them by hash, however often an id repeats.
+    """
     marked = labels.select(F.col("doc_id").alias("label_id"), "quality", "toxic", F.abs(F.shiftright(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fit")), 1)).alias("h")).filter("label_id is not null")
     total = marked.count()
-    chosen = marked.filter(F.col("h") < int(min(1.0, rows / max(1, total)) * 2**62)).limit(2 * rows)
-    joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    got = sorted(_featured(joined, "text", ["doc_id", "quality", "toxic"]).collect(), key=lambda r: (r["doc_id"], bytes(r["features"])))
+    chosen = marked.filter(F.col("h") < int(min(1.0, rows / max(1, total)) * 2**62))
+    joined = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, F.col("doc_id") == F.col("label_id"))
+    found = _featured(joined, "text", ["doc_id", "h", "quality", "toxic"])
+    got = found.orderBy("h", "doc_id", F.xxhash64("features"), "quality", "toxic").limit(rows).collect()
     sets = [np.frombuffer(bytes(r["features"]), np.int32) for r in got]
     y = np.array([[math.nan if r["quality"] is None else float(r["quality"] == 0), math.nan if r["toxic"] is None else float(r["toxic"] == 1)] for r in got]).reshape(-1, 2)
+    del got
     return fit(sets, y)
 
 
 def evidence(docs: DataFrame, model: Classifier, text: str, keep: list[str]) -> DataFrame:
-    """`keep` and the classifier's log odds of each target for every row."""
-    rows = docs.select(*keep, F.col(text).alias("text"))
-    schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(f"z_{t}", T.DoubleType()) for t in TARGETS]])
+    """Columns `keep` as the struct `row`, and the classifier's log odds of each target. The text
+    is sent to Python once."""
+    carried = list(dict.fromkeys([*keep, text]))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("row"))
+    wanted = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")).schema.fields
+    schema = T.StructType([*wanted, *[T.StructField(f"z_{t}", T.DoubleType()) for t in TARGETS]])
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    place, whole = carried.index(text), carried == list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = shared.value.dense()
-        for b in batches:
-            z = shared.value.logits([features(t.as_py()) for t in b.column(b.num_columns - 1)], dense)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *[pa.array(z[:, i], pa.float64()) for i in range(len(TARGETS))]], names=schema.names)
+        dense, known = shared.value.dense(), Words()
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                row = batch.column(0).slice(at, _SLICE)
+                fields = row.flatten()
+                z = shared.value.logits([features(t.as_py(), known) for t in fields[place]], dense)
+                out = row if whole else pa.StructArray.from_arrays(fields[: len(keep)], names=list(keep))
+                yield pa.RecordBatch.from_arrays([out, *[pa.array(z[:, i], pa.float64()) for i in range(len(TARGETS))]], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -218,24 +240,49 @@ def _strength(groups: DataFrame, n: str, total: str, prior: float) -> float:
     return float(min(1e6, max(2.0, prior * (1 - prior) / between - 1)))
 
 
-def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, p_bad, p_toxic, site priors, keep) of every document."""
+#: Units of a probability in sums.
+_UNIT = 1e12
+
+
+def _total(p: Column) -> Column:
+    return F.sum(F.round(p * _UNIT).cast("decimal(20,0)"))
+
+
+def scored_rows(docs: DataFrame, labels: DataFrame, host: Column, path: Column, keep: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(row, p_bad, p_toxic, site priors, keep) of every document, row being a struct of the columns `keep`."""
     model = train(docs, labels, doc_id, text)
-    sited = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path"), F.col(text).alias("text"))
-    scored = written(evidence(sited, model, "text", ["doc_id", "host", "path"]))
-    p = {t: 1 / (1 + F.exp(-F.col(f"z_{t}"))) for t in TARGETS}
-    by_path = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_path"), *[F.sum(p[t]).alias(f"path_{t}") for t in TARGETS]))
+    h, p = free_name(docs, "site_host"), free_name(docs, "site_path")
+    sited = docs.withColumn(h, F.coalesce(host.cast("string"), F.lit("\0"))).withColumn(p, F.coalesce(path.cast("string"), F.lit("\0")))
+    found = evidence(sited, model, text, [*keep, h, p])
+    kept = F.struct(*[F.col("row")[c].alias(c) for c in keep])
+    scored = written(found.select(kept.alias("row"), F.col("row")[h].alias("host"), F.col("row")[p].alias("path"), *[f"z_{t}" for t in TARGETS]))
+    share = {t: 1 / (1 + F.exp(-F.col(f"z_{t}"))) for t in TARGETS}
+    by_path = written(scored.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n_path"), *[_total(share[t]).alias(f"path_{t}") for t in TARGETS]))
     by_host = by_path.groupBy("host").agg(F.sum("n_path").alias("n_host"), *[F.sum(f"path_{t}").alias(f"host_{t}") for t in TARGETS])
-    total = by_host.agg(F.sum("n_host").alias("n"), *[F.sum(f"host_{t}").alias(t) for t in TARGETS]).first()
-    out = scored.join(by_path, ["host", "path"]).join(by_host, "host")
+    sites = by_path.join(by_host, "host")
+    sites = written(sites.select("host", "path", "n_path", "n_host", *[(F.col(f"{k}_{t}").cast("double") / _UNIT).alias(f"{k}_{t}") for k in ("path", "host") for t in TARGETS]))
+    hosts = sites.groupBy("host").agg(F.first("n_host").alias("n_host"), *[F.first(f"host_{t}").alias(f"host_{t}") for t in TARGETS])
+    total = by_path.agg(F.sum("n_path").alias("n"), *[F.sum(f"path_{t}").cast("double").alias(t) for t in TARGETS]).first()
+    out = joined_by_site(scored, sites, ["host", "path"], "n_path")
     for i, t in enumerate(TARGETS):
-        prior = min(1 - 1e-6, max(1e-6, (total[t] or 0.0) / (total["n"] or 1)))
-        k_host, k_path = _strength(by_host, "n_host", f"host_{t}", prior), _strength(by_path, "n_path", f"path_{t}", prior)
-        theta_host = (F.col(f"host_{t}") - p[t] + k_host * prior) / (F.col("n_host") - 1 + k_host)
-        theta_path = (F.col(f"path_{t}") - p[t] + k_path * theta_host) / (F.col("n_path") - 1 + k_path)
+        prior = min(1 - 1e-6, max(1e-6, (total[t] or 0.0) / _UNIT / (total["n"] or 1)))
+        k_host, k_path = _strength(hosts, "n_host", f"host_{t}", prior), _strength(sites, "n_path", f"path_{t}", prior)
+        theta_host = (F.col(f"host_{t}") - share[t] + k_host * prior) / (F.col("n_host") - 1 + k_host)
+        theta_path = (F.col(f"path_{t}") - share[t] + k_path * theta_host) / (F.col("n_path") - 1 + k_path)
         z = F.col(f"z_{t}") + _logit(theta_path) - _logit(F.lit(prior))
         out = out.withColumn(f"site_{t}", theta_path).withColumn(f"p_{t}", F.lit(0.0) if model.prior[i] == 0 else 1 / (1 + F.exp(-z)))
-    return out.select("doc_id", *[f"p_{t}" for t in TARGETS], *[f"site_{t}" for t in TARGETS], ((F.col("p_bad") < 0.5) & (F.col("p_toxic") < 0.5)).alias("keep"))
+    return out.select("row", *[f"p_{t}" for t in TARGETS], *[f"site_{t}" for t in TARGETS], ((F.col("p_bad") < 0.5) & (F.col("p_toxic") < 0.5)).alias("keep"))
+
+
+def score(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, p_bad, p_toxic, site priors, keep) of every document."""
+    out = scored_rows(docs, labels, host, path, [doc_id], doc_id, text)
+    return out.select(F.col("row")[doc_id].alias("doc_id"), *out.columns[1:])
+
+
+def good_rows(docs: DataFrame, labels: DataFrame, host: Column, path: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows of low quality or toxic; each row is judged for itself."""
+    return scored_rows(docs, labels, host, path, docs.columns, doc_id, text).filter("keep").select("row.*")
 
 
 def url_host(url: Column) -> Column:

@@ -134,7 +134,7 @@ def op9_nearest_vectors(spark, d):
 @query()
 def op10_quality_scores(spark, d):
     docs = table(spark, d, "documents")
-    return quality.score(docs, table(spark, d, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+    return quality.score(docs, table(spark, d, "labels"), F.col("source"), F.to_json(F.array("source", "lang")))
 
 
 # --- 8: chat formatting ----------------------------------------------------------------
