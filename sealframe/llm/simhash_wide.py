@@ -1,20 +1,26 @@
-"""Near duplicates at a word-shingle similarity of about 0.8 and more, by wide SimHash.
-
-Fingerprints have 256 bits, so that the share of differing bits tells similarities apart: texts
-whose shingle sets have similarity 0.8 differ in 15 % of the bits, and pairs within BUDGET bits
-are linked. Distinct fingerprints meet in groups that agree on one of TABLES runs of bits;
-within a group the fingerprints form a binary trie that is joined with itself: pairs of nodes go
-down together, differing bits add up, and a pair over the budget is dropped. Before that,
-neighbours in several sort orders are linked, and a pair of nodes whose leaves are all in one
-part already is dropped too, so a large group of near copies costs about its rows.
-
-Runs have RUN_BITS bits whatever the size, so recall does not fall as a table grows. Groups above
-GROUP_ROWS are dealt into parts, and each row goes to every pair of parts that has its own, so no
-link is lost; the rows of such a group grow with its square over GROUP_ROWS. Candidate search
-is by chance: a pair at similarity 0.85 shares a run with a probability of about 0.97.
-
-Cases: as in simhash: null and empty texts share one fingerprint, repeated rows stay, rows with a
-null id take their class's smallest id, other columns are ignored.
+"""Near duplicates at a word-shingle similarity of LIKE and more: wide SimHash, then an exact check.
+
+Fingerprints have 256 bits; texts whose sets of five-word shingles have a similarity of 0.8 differ in
+15 % of them. Distinct fingerprints meet in groups that agree on one of TABLES fixed choices of
+KEY_BITS bits, and candidates differ in at most BUDGET bits. Candidates are checked by the exact
+similarity of their shingle sets, and only pairs of LIKE and more are links.
+
+Two passes find the candidates. First each row meets its neighbours in several sort orders of its
+group; of these a task passes on a spanning forest. Checked, they give parts of rows that are
+linked. Then the fingerprints of a group form a binary trie that is joined with itself: pairs of nodes
+go down together, differing bits add up, and a pair is dropped if it is over the budget, or if
+all its leaves are in one part already. So all candidates between parts are checked, and a
+large group of near copies costs about its rows.
+
+Groups above GROUP_ROWS are dealt into parts, and each row goes to every pair of parts that has
+its own, so no candidate is lost; the rows of such a group grow with its square over GROUP_ROWS. Whether two
+texts meet does not depend on other rows; a pair at similarity 0.8 meets with a probability of
+about 0.9, more similar ones nearly always.
+
+Cases: null and empty texts are alike; fewer words than a shingle make one shingle of all; every
+row counts, with its own number, whether its id is null or repeated; of a component the row with the
+smallest id, nulls last, is the first; empty in, empty out; other columns pass through or are
+ignored, whatever their names; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -27,16 +33,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
-from .simhash import forest
+from .common import components, delete_table, free_name, numbered, small_batches, written
 
 WORDS = 4
-BUDGET = 44
-TABLES = 32
-RUN_BITS = 16
-GROUP_ROWS = 4_000
-_CHUNK = 60_000
+BITS = 64 * WORDS
+SHINGLE = 5
+LIKE = 0.8
+#: Similarity 0.8 has 38 differing bits, with a deviation of 6.
+BUDGET = 56
+TABLES = 40
+KEY_BITS = 16
+GROUP_ROWS = 1_500
+#: Pairs of rows of one group that are worked on at once.
+_PAIRS = 2_000_000
+_CHUNK = 40_000
 _SALT = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(WORDS)], np.uint64)
+#: The bits of each table's key.
+KEYS = np.stack([np.random.default_rng([17, t]).choice(BITS, KEY_BITS, replace=False) for t in range(TABLES)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,14 +58,20 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
-    """WORDS 64-bit words; a bit is set if it is in over half of the distinct shingles' hashes."""
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's lower-cased word shingles; none for no words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return np.zeros(WORDS, np.uint64)
+        return np.zeros(0, np.uint64)
     grams = {b" ".join(words)} if len(words) < shingle else set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams))
-    ones = np.zeros(WORDS * 64, np.int64)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64, len(grams)))
+
+
+def fingerprint(h: np.ndarray) -> np.ndarray:
+    """WORDS 64-bit words of shingle hashes; a bit is set if it is in over half of them."""
+    if not len(h):
+        return np.zeros(WORDS, np.uint64)
+    ones = np.zeros(BITS, np.int64)
     for at in range(0, len(h), 2048):
         wide = _mix(h[at : at + 2048, None] ^ _SALT)
         ones += np.unpackbits(wide.view(np.uint8).reshape(len(wide), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -60,75 +79,102 @@ def fingerprint(text: str | None, shingle: int = 5) -> np.ndarray:
 
 
 _FPS = [f"f{i}" for i in range(WORDS)]
+_FP_TYPES = ", ".join(f"{f} long" for f in _FPS)
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            fps = np.stack([fingerprint(shingles(t.as_py())) for t in b.column(2)]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WORDS)]], names=["row", "id", *_FPS])
+
+
+def keys(fps: np.ndarray, table: int) -> np.ndarray:
+    """Group numbers of fingerprints in a table."""
+    out = np.full(len(fps), table, np.uint64)
+    for at in KEYS[table].tolist():
+        word, shift = divmod(at, 64)
+        out = out << np.uint64(1) | fps[:, word] >> np.uint64(shift) & np.uint64(1)
+    return _mix(out).view(np.int64)
+
 
+def _columns(b: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
+    return [b.column(n).to_numpy() for n in names]
+
+
+def _tabled(slim: bool):
+    """Each row (rep, part, f0 …) under its group in every table; slim: the groups alone."""
 
-def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                fps = np.stack([fingerprint(t.as_py(), shingle) for t in b.column(1)]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WORDS)]], names=["doc_id", *_FPS])
+            fps = np.stack(_columns(b, _FPS), axis=1).view(np.uint64)
+            for t in range(TABLES):
+                g = pa.array(keys(fps, t))
+                if slim:
+                    yield pa.RecordBatch.from_arrays([g], names=["g"])
+                else:
+                    yield pa.RecordBatch.from_arrays([g, *b.columns], names=["g", *b.schema.names])
 
     return run
 
 
-def _bits(fps: np.ndarray, at: int, n: int) -> np.ndarray:
-    """n bits of each fingerprint from bit `at` on, around the end."""
-    word, shift = divmod(at % (64 * WORDS), 64)
-    out = fps[:, word] >> np.uint64(shift)
-    if shift:
-        out = out | fps[:, (word + 1) % WORDS] << np.uint64(64 - shift)
-    return out & np.uint64((1 << n) - 1)
+def differ(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
 
 
-def _tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cols = [b.column(f).to_numpy() for f in _FPS]
-        fps = np.stack(cols, axis=1).view(np.uint64)
-        for t in range(TABLES):
-            g = _mix(_bits(fps, t * 64 * WORDS // TABLES, RUN_BITS) << np.uint64(8) | np.uint64(t))
-            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), b.column("rep"), *map(pa.array, cols)], names=["g", "rep", *_FPS])
+def spanning(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of pairs (a, b) that join two parts when pairs are taken in turn."""
+    up: dict[int, int] = {}
 
+    def top(x):
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
 
-def _differ(fps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps[a] ^ fps[b]).sum(axis=1, dtype=np.int64)
+    out = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            up[x] = y
+            out.append(i)
+    return out
 
 
-def _parts(group: np.ndarray, fps: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(part of each row, links a, b) by linking neighbours within a group in several orders."""
-    n, a, b = len(group), [], []
+def neighbours(group: np.ndarray, fps: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of neighbours in a group's sort orders, a word of the fingerprint leading in each."""
+    a, b = [], []
     for first in range(WORDS):
         order = np.lexsort([*(fps[:, (first + WORDS - 1 - k) % WORDS] for k in range(WORDS)), group])
         x, y = order[:-1], order[1:]
-        near = (group[x] == group[y]) & (_differ(fps, x, y) <= budget)
+        near = group[x] == group[y]
+        x, y = x[near], y[near]
+        near = differ(fps, x, y) <= budget
         a.append(x[near])
         b.append(y[near])
-    a, b = np.concatenate(a), np.concatenate(b)
-    part = np.arange(n)
-    for x, low in forest(a.tolist(), b.tolist()):
-        part[x] = low
-    return part, a, b
-
-
-def trie_links(group: np.ndarray, fps: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a, b) that join all rows of a group within the budget of each other, directly or
-    over other rows. Rows are sorted by group, then by fingerprint words."""
-    part, *known = _parts(group, fps, budget)
-    found = [tuple(known)]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def trie_pairs(group: np.ndarray, fps: np.ndarray, part: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places (a, b) of a group and of different parts that differ in at most budget
+    bits. Rows are sorted by group, then by fingerprint words. A trie node is a range of rows."""
     n = len(group)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     change = np.flatnonzero(np.append(part[1:] != part[:-1], True)) + 1
-    same_until = change[np.searchsorted(change, np.arange(n), side="right")] if n else change
-    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
-    alo, ahi = starts, np.append(starts[1:], n)
+    same_until = change[np.searchsorted(change, np.arange(n), side="right")]
+    found_a, found_b = [], []
+    alo = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    ahi = np.append(alo[1:], n)
     blo, bhi, diff = alo, ahi, np.zeros(len(alo), np.int64)
-    for level in range(64 * WORDS):
-        joined = (same_until[alo] >= ahi) & (same_until[blo] >= bhi) & (part[alo] == part[blo]) if len(alo) else np.zeros(0, bool)
-        leaf = ~joined & (ahi - alo == 1) & (bhi - blo == 1)
+    for level in range(BITS + 1):
+        one = (same_until[alo] >= ahi) & (same_until[blo] >= bhi) & (part[alo] == part[blo])
+        leaf = ~one & (ahi - alo == 1) & (bhi - blo == 1)
         a, b = alo[leaf], blo[leaf]
-        near = _differ(fps, a, b) <= budget
-        found.append((a[near], b[near]))
-        alo, ahi, blo, bhi, diff = (x[~joined & ~leaf] for x in (alo, ahi, blo, bhi, diff))
-        if not len(alo):
+        near = differ(fps, a, b) <= budget
+        found_a.append(a[near])
+        found_b.append(b[near])
+        alo, ahi, blo, bhi, diff = (x[~one & ~leaf] for x in (alo, ahi, blo, bhi, diff))
+        if not len(alo) or level == BITS:
             break
         word, bit = divmod(level, 64)
         ones = np.concatenate([[0], np.cumsum((fps[:, word] >> np.uint64(63 - bit)) & np.uint64(1), dtype=np.int64)])
@@ -138,56 +184,146 @@ def trie_links(group: np.ndarray, fps: np.ndarray, budget: int = BUDGET) -> tupl
         alo, ahi, blo, bhi, diff = (np.concatenate(x) for x in zip(*pieces))
         keep = (alo < ahi) & (blo < bhi) & (diff <= budget) & ~((alo == blo) & (ahi - alo == 1))
         alo, ahi, blo, bhi, diff = (x[keep] for x in (alo, ahi, blo, bhi, diff))
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+    return np.concatenate(found_a), np.concatenate(found_b)
+
 
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of whole groups, of about _PAIRS pairs each."""
+    at = first = pairs = 0
+    for size in sizes.tolist():
+        if pairs and pairs + size * size > _PAIRS:
+            yield first, at
+            first, pairs = at, 0
+        at, pairs = at + size, pairs + size * size
+    if at > first:
+        yield first, at
 
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[list[np.ndarray]] = []
 
-    def solve(g, rep, *cols):
-        fps = np.stack(cols, axis=1).view(np.uint64) if len(g) else np.zeros((0, WORDS), np.uint64)
+def _pairs(nearest: bool):
+    """Rows (g, rep, part, f0 …) sorted by g, to candidate pairs of reps of different parts: of
+    neighbours a spanning forest, or all by the trie."""
+    names = ["g", "rep", "part", *_FPS]
+
+    def solve(g, rep, part, *cols):
+        fps = np.stack(cols, axis=1).view(np.uint64)
         order = np.lexsort([*(fps[:, k] for k in range(WORDS - 1, -1, -1)), g])
-        g, rep, fps = g[order], rep[order], fps[order]
-        several = np.zeros(len(g), bool)
-        several[1:] |= g[1:] == g[:-1]
-        several[:-1] |= g[1:] == g[:-1]
-        g, rep, fps = g[several], rep[several], fps[several]
-        a, b = trie_links(g, fps)
-        links = forest(rep[a].tolist(), rep[b].tolist())
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    for batch in batches:
-        if batch.num_rows:
-            held.append([batch.column(n).to_numpy() for n in ("g", "rep", *_FPS)])
-        if sum(len(h[0]) for h in held) >= _CHUNK:
-            cols = [np.concatenate(c) for c in zip(*held)]
-            cut = np.flatnonzero(cols[0] != cols[0][-1])
-            cut = cut[-1] + 1 if len(cut) else 0
-            yield from solve(*(c[:cut] for c in cols))
-            held = [[c[cut:] for c in cols]]
-    if held:
-        yield from solve(*(np.concatenate(c) for c in zip(*held)))
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between the reps of distinct fingerprints (f0 …, rep)."""
+        g, rep, part, fps = g[order], rep[order], part[order], fps[order]
+        first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        sizes = np.diff(np.append(first, len(g)))
+        several = np.repeat(sizes > 1, sizes)
+        if not several.any():
+            return
+        g, rep, part, fps = g[several], rep[several], part[several], fps[several]
+        if nearest:
+            a, b = neighbours(g, fps)
+            a, b = rep[a], rep[b]
+            some = spanning(a, b)
+            a, b = a[some], b[some]
+            yield from _edges(a, b)
+            return
+        for lo, hi in _slices(sizes[sizes > 1]):
+            a, b = trie_pairs(g[lo:hi], fps[lo:hi], part[lo:hi])
+            a, b = rep[lo + a], rep[lo + b]
+            if len(a):
+                yield from _edges(*np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(_columns(batch, names))
+            if sum(len(h[0]) for h in held) >= _CHUNK and held[0][0][0] != held[-1][0][-1]:
+                cols = [np.concatenate(c) for c in zip(*held)]
+                cut = np.flatnonzero(cols[0] != cols[0][-1])[-1] + 1
+                held = [[c[cut:] for c in cols]]
+                yield from solve(*(c[:cut] for c in cols))
+        if held:
+            yield from solve(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
+def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def candidates(distinct: DataFrame, nearest: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b, of reps of distinct fingerprints (rep, part, f0 …): nearest: spanning
+    forests of neighbours; else all of different parts within the budget."""
     spark = distinct.sparkSession
-    tabled = distinct.select("rep", *_FPS).mapInArrow(_tabled, "g long, rep long, " + ", ".join(f"{f} long" for f in _FPS))
-    sizes = written(tabled.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS))
-    cut = tabled.join(sizes, "g", "left").withColumn("parts", F.ceil(2 * F.col("n") / GROUP_ROWS))
-    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.xxhash64("g", F.least(part, q), F.greatest(part, q)))
-    keyed = cut.withColumn("g", F.explode(F.when(F.col("n").isNull(), F.array("g")).otherwise(pairs))).drop("n", "parts")
+    rows = distinct.select("rep", "part", *_FPS)
+    sizes = rows.mapInArrow(_tabled(True), "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS)
+    cut = rows.mapInArrow(_tabled(False), f"g long, rep long, part long, {_FP_TYPES}").join(written(sizes), "g", "left").withColumn("parts", F.ceil(2 * F.col("n") / GROUP_ROWS))
+    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    spread = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.xxhash64("g", F.least(own, q), F.greatest(own, q)))
+    keyed = cut.withColumn("g", F.explode(F.when(F.col("n").isNull(), F.array("g")).otherwise(spread))).drop("n", "parts")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_link, "a long, b long")
+    return keyed.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_pairs(nearest), "a long, b long").distinct()
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted distinct arrays; that of two empty sets is 1."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, component_id) of every document: the smallest id reachable by links."""
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = written(rows.mapInArrow(_prints(shingle), "doc_id long, " + ", ".join(f"{f} long" for f in _FPS)))
-    reps = written(prints.groupBy(*_FPS).agg(F.min("doc_id").alias("rep")))
-    linked = components(links(reps.filter("rep is not null")))
-    classes = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(*_FPS, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, _FPS).select("doc_id", "component_id")
+def _check(like: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                small, large = sorted((len(x), len(y)))
+                keep.append(small >= like * large - 1e-9 and similarity(x, y) >= like - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["rep", "s"])
+
+
+def verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, like: float = LIKE) -> DataFrame:
+    """The pairs (a, b) of rows whose shingle sets have a similarity of `like` and more."""
+    pairs = written(pairs)
+    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+    texts = rows.select(F.col(row).alias("rep"), F.col(text).alias("text")).join(ids, "rep", "left_semi")
+    sets = written(texts.mapInArrow(_sets, "rep long, s binary"))
+    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    out = written(both.mapInArrow(_check(like), "a long, b long"))
+    delete_table(pairs)
+    delete_table(sets)
+    return out
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", like: float = LIKE) -> tuple[DataFrame, DataFrame, str]:
+    """(rows, classes, row): the rows of df, written with a number in the column named `row`; and
+    (row, component_id, first) of each, the smallest id reachable by links and its row."""
+    small_batches(df.sparkSession)
+    row = free_name(df, "row_number")
+    rows = numbered(df, row)
+    ids = F.col(doc_id).cast("long")
+    prints = written(rows.select(F.col(row).alias("row"), ids.alias("id"), F.col(text).alias("text")).mapInArrow(_prints, f"row long, id long, {_FP_TYPES}"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
+    reps = written(prints.groupBy(*_FPS).agg(F.min("row").alias("rep"), least))
+    near = verified(candidates(reps.withColumn("part", F.col("rep")), nearest=True), rows, row, text, like)
+    parts = written(components(near))
+    parted = written(reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part"), *_FPS))
+    rest = verified(candidates(parted), rows, row, text, like)
+    linked = components(near.unionByName(rest)).select(F.col("node").alias("rep"), "component")
+    classes = reps.join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    firsts = classes.groupBy("component").agg(F.min("least").alias("first"))
+    classes = written(classes.join(firsts, "component").select(*_FPS, "first"))
+    out = prints.join(classes, _FPS).select("row", F.col("first.id").alias("component_id"), F.col("first.row").alias("first"))
+    return rows, out, row
+
+
+def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", like: float = LIKE) -> DataFrame:
+    """df with the first row only of each component of near duplicates."""
+    rows, classes, row = near_duplicates(df, doc_id, text, like)
+    gone = classes.filter("row <> first").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
