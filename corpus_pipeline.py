@@ -7,40 +7,50 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealframe.llm import bpe, mixing, quality, simhash_wide, substrings
-from sealframe.llm.common import delete, shared_dir, written
+from sealframe.llm.common import delete_all, shared_dir, written
 from sealframe.llm.queries import rank_weight, vocabulary
 
 #: SQL has neither the classifier nor XXH64; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of some ids; rows with a null id stay."""
-    return docs.join(ids.select(F.col("doc_id").alias("_out")).distinct(), F.col("doc_id") == F.col("_out"), "left_anti")
+def site_path() -> Column:
+    """Sources stand for hosts, and a source's languages for its paths; null is a value of its own."""
+    return F.to_json(F.array("source", "lang"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not of low quality and not toxic."""
+    """Documents that are not of low quality and not toxic, each row judged for itself.
+
+    Null text is empty text; null ids, repeated rows and odd column names pass through; an empty
+    table stays empty; without labels every document stays.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scores = quality.score(docs, labels, F.col("source"), F.concat_ws("/", "source", "lang"))
-    return _without(docs, scores.filter(~F.col("keep")))
+    return quality.good_rows(docs, labels, F.col("source"), site_path())
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near copies; rows of one id are one
-    document and stay together, as do rows without an id."""
-    groups = simhash_wide.near_duplicates(docs)
-    return _without(docs, groups.filter("doc_id <> component_id"))
+    """One row, that with the smallest id, of each group of near copies (five words, 0.8).
+
+    Rows without an id come last in a group; texts without words are copies of each other;
+    repeated rows are copies; an empty table stays empty.
+    """
+    return simhash_wide.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 51 words and more stay in the smallest document that has them."""
+    """Passages of 51 words and more stay in the smallest document that has them.
+
+    Rows without an id or text stay as they are; n_chars, where docs has it, follows the text.
+    """
     out = substrings.remove_repeats(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,11 +79,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    """Rows of the last stage. What the stages wrote on the way is deleted."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         path = shared_dir(spark)
         docs = written(stage(spark, docs, sf_dir), path)
-        if before:
-            delete(spark, before)
-        before = path
+        delete_all(spark, but=(path,))
     return docs
