@@ -1,13 +1,19 @@
 """GIF columns: encode samples as frames, decode any GIF, frames with colour histograms.
 
 The decoder reads palettes, LZW code streams of any code size, interlacing, disposal and
-transparency, and gives timed frames on the full canvas. The encoder writes 8-bit samples
-under a grey palette; its code streams clear the table before codes would need a tenth bit,
-so they stay at nine bits, and the decoder reads streams of that kind without a loop over codes.
+transparency, and gives timed frames on the full canvas. The encoder writes 8-bit samples under a
+grey palette as LZW streams with a growing table; a frame whose samples leave a value free has it as
+its transparent colour, and frames take the ways of disposal in turn.
+
+An LZW string is what its code's predecessor gave and one sample more, so it lies in the output already: at the
+place where the predecessor's string starts. A run of codes up to a clear code is so decoded at once:
+code widths follow from a code's number in the run, lengths and sources from the codes, and samples by
+following sources to literals.
 
 Cases: null text counts as empty; payloads are padded with spaces to a positive multiple of
 the row width, so an empty text is one row; long payloads become several frames; a damaged or
-cut GIF raises ValueError; repeated rows give equal values; other columns are ignored.
+cut GIF raises ValueError, null media have no frames; repeated rows give equal values; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +33,8 @@ WIDTH = 192
 FRAME_ROWS = 2048
 DELAY_CS = 10
 BINS = 16
-_CLEAR, _END, _RUN = 256, 257, 254
+#: Codes of a run after which the encoder clears the table: the last entry is then 4095.
+_RUN = 3838
 
 
 @dataclass
@@ -41,25 +48,48 @@ class Frame:
     indices: np.ndarray
 
 
-def _literal_stream(samples: np.ndarray) -> bytes:
-    """LZW stream of literals: a clear code before every 254 of them, nine bits a code."""
-    n = len(samples)
-    runs = -(-n // _RUN)
-    grid = np.zeros((runs, _RUN + 1), np.uint16)
-    grid[:, 0] = _CLEAR
-    body = np.zeros(runs * _RUN, np.uint16)
-    body[:n] = samples
-    grid[:, 1:] = body.reshape(runs, _RUN)
-    codes = np.zeros(-(-(n + runs + 1) // 8) * 8, np.uint16)
-    codes[: n + runs] = grid.reshape(-1)[: n + runs]
-    codes[n + runs] = _END
-    c = codes.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    for k in range(9):
-        i, shift = divmod(8 * k, 9)
-        low = c[:, i] >> shift
-        out[:, k] = (low | (c[:, i + 1] << (9 - shift)) if i < 7 else low) & 255
-    return out.tobytes()[: -(-9 * (n + runs + 1) // 8)]
+def _widths(first: int, size: int, n: int) -> np.ndarray:
+    """Bits of n codes of a run from number `first` on, the code after a clear code being number 0: the
+    table that the reader has by then, 2 + 2**size entries and one a code but the first, sets them."""
+    entries = (1 << size) + 1 + np.maximum(np.arange(first, first + n), 1)
+    return np.minimum(np.maximum(np.floor(np.log2(entries)).astype(np.int64) + 1, size + 1), 12)
+
+
+def lzw_codes(samples: bytes) -> list[list[int]]:
+    """Runs of codes of 8-bit samples, each to follow a clear code."""
+    runs: list[list[int]] = []
+    codes: list[int] = []
+    table: dict[int, int] = {}
+    known, emit = table.get, codes.append
+    more, last = 258, samples[0]
+    for sample in samples[1:]:
+        longer = known(last << 8 | sample)
+        if longer is not None:
+            last = longer
+            continue
+        emit(last)
+        table[last << 8 | sample] = more
+        more += 1
+        last = sample
+        if more == 258 + _RUN:
+            runs.append(codes)
+            codes, more = [], 258
+            emit = codes.append
+            table.clear()
+    codes.append(last)
+    return [*runs, codes]
+
+
+def lzw_stream(samples: bytes) -> bytes:
+    """LZW code stream of 8-bit samples, with a clear code before each run and an end code."""
+    codes, widths = [np.array([256])], [np.array([9])]
+    runs = lzw_codes(samples)
+    for i, run in enumerate(runs):
+        codes += [np.array(run), np.array([257 if i == len(runs) - 1 else 256])]
+        widths.append(_widths(0, 8, len(run) + 1))
+    c, w = np.concatenate(codes).astype("<u2"), np.concatenate(widths)
+    bits = np.unpackbits(c.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < w[:, None]], bitorder="little").tobytes()
 
 
 def _sub_blocks(data: bytes) -> bytes:
@@ -75,79 +105,82 @@ def encode(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS) ->
     """Grey GIF of a payload whose length is a positive multiple of width."""
     if not payload or len(payload) % width:
         raise ValueError("payload must be a positive multiple of the width")
-    samples = np.frombuffer(payload, np.uint8).reshape(-1, width)
+    size, rows = width * frame_rows, len(payload) // width
     grey = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
-    parts = [b"GIF89a", struct.pack("<HHBBB", width, min(len(samples), frame_rows), 0xF7, 0, 0), grey]
-    for at in range(0, len(samples), frame_rows):
-        frame = samples[at : at + frame_rows]
-        parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY_CS, 0) + b"\0")
-        parts.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(frame), 0) + b"\x08")
-        parts.append(_sub_blocks(_literal_stream(frame.reshape(-1))))
+    parts = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), grey]
+    for number, at in enumerate(range(0, len(payload), size)):
+        frame = payload[at : at + size]
+        free = np.flatnonzero(np.bincount(np.frombuffer(frame, np.uint8), minlength=256) == 0)
+        packed = (1 + number % 3) << 2 | (len(free) > 0)
+        parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", packed, DELAY_CS, int(free[0]) if len(free) else 0) + b"\0")
+        parts.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(frame) // width, 0) + b"\x08")
+        parts.append(_sub_blocks(lzw_stream(frame)))
     return b"".join(parts) + b"\x3b"
 
 
-def _nine_bit_literals(data: np.ndarray, pixels: int) -> np.ndarray | None:
-    """The samples of a stream of nine-bit literals and early clears, else None."""
-    n = len(data) * 8 // 9
-    groups = -(-n // 8)
-    padded = np.zeros(groups * 9 + 1, np.uint16)
-    padded[: len(data)] = data
-    b = padded[:-1].reshape(groups, 9)
-    codes = np.empty((groups, 8), np.uint16)
-    for i in range(8):
-        at, shift = divmod(9 * i, 8)
-        codes[:, i] = ((b[:, at] | (b[:, at + 1] << 8)) >> shift) & 511
-    codes = codes.reshape(-1)[:n]
-    ends = np.flatnonzero(codes == _END)
-    if not len(ends) or codes[0] != _CLEAR:
-        return None
-    codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes == _CLEAR)
-    gaps = np.diff(np.append(clears, len(codes)))
-    if codes.max() > _CLEAR or gaps.max() > _RUN + 1:
-        return None
-    out = codes[codes < 256].astype(np.uint8)
-    return out if len(out) >= pixels else None
+def _read_codes(bits: np.ndarray, at: int, widths: np.ndarray) -> np.ndarray:
+    """Codes of the given widths from a bit on, as many as are whole."""
+    starts = at + np.cumsum(widths) - widths
+    whole = int(np.searchsorted(starts + widths, len(bits), side="right"))
+    starts, widths = starts[:whole], widths[:whole]
+    padded = bits[np.minimum(starts[:, None] + np.arange(12), len(bits) - 1)] if whole else np.zeros((0, 12), np.uint8)
+    return (padded * (np.arange(12) < widths[:, None])).astype(np.int64) @ (1 << np.arange(12))
+
+
+def _resolve(source: np.ndarray) -> np.ndarray:
+    """Where each place's chain of sources ends; an end is its own source."""
+    while True:
+        further = source[source]
+        if (further == source).all():
+            return source
+        source = further
+
+
+def expand_run(codes: np.ndarray, size: int) -> np.ndarray:
+    """Samples of the codes of a run. Entry number i of the run holds the string of code i and the sample
+    after it; a code can use the entries of all codes before it."""
+    first = (1 << size) + 2
+    number = np.arange(len(codes))
+    entry = codes - first
+    literal = codes < first - 2
+    if not literal[:1].all() or (~literal & ((entry < 0) | (entry >= number) | (entry >= 4096 - first))).any():
+        raise ValueError("code is not in the table")
+    # A string is one longer than that of its entry's code: lengths by doubling the steps back to a literal.
+    back, steps = np.where(literal, number, entry), np.where(literal, 0, 1)
+    while (back[back] != back).any():
+        steps = steps + steps[back]
+        back = back[back]
+    lengths = steps + 1
+    ends = np.cumsum(lengths)
+    starts = ends - lengths
+    code_of = np.repeat(number, lengths)
+    place = np.arange(ends[-1] if len(ends) else 0)
+    source = np.where(literal[code_of], place, place - starts[code_of] + starts[np.where(literal, number, entry)[code_of]])
+    return codes[code_of[_resolve(source)]].astype(np.uint8)
 
 
 def lzw(data: bytes, min_size: int, pixels: int) -> np.ndarray:
     """Samples of an LZW code stream; ValueError if it is damaged or too short."""
-    if min_size == 8 and (fast := _nine_bit_literals(np.frombuffer(data, np.uint8), pixels)) is not None:
-        return fast[:pixels]
     clear, end = 1 << min_size, (1 << min_size) + 1
-    first = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, size, last = list(first), min_size + 1, None
-    out, made, bits, have = [], 0, 0, 0
-    feed = iter(data)
+    bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
+    out, made, at, run = [], 0, 0, 4096 - clear
+    held: list[np.ndarray] = []
     while made < pixels:
-        while have < size:
-            byte = next(feed, None)
-            if byte is None:
-                raise ValueError("code stream is cut off")
-            bits |= byte << have
-            have += 8
-        code, bits, have = bits & ((1 << size) - 1), bits >> size, have - size
-        if code == clear:
-            table, size, last = list(first), min_size + 1, None
-            continue
-        if code == end:
-            break
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and last is not None:
-            entry = last + last[:1]
-        else:
-            raise ValueError("code is not in the table")
-        out.append(entry)
-        made += len(entry)
-        if last is not None and len(table) < 4096:
-            table.append(last + entry[:1])
-            if len(table) == 1 << size and size < 12:
-                size += 1
-        last = entry
+        have = sum(map(len, held))
+        widths = _widths(have, min_size, run)
+        codes = _read_codes(bits, at, widths)
+        stop = np.flatnonzero((codes == clear) | (codes == end))
+        whole = int(stop[0]) if len(stop) else len(codes)
+        held.append(codes[:whole])
+        at += int(widths[: whole + 1 if len(stop) else whole].sum())
+        if len(stop) or len(codes) < run:
+            out.append(expand_run(np.concatenate(held), min_size))
+            made, held = made + len(out[-1]), []
+            if not len(stop) or codes[whole] == end:
+                break
     if made < pixels:
         raise ValueError("code stream has too few samples")
-    return np.frombuffer(b"".join(out), np.uint8)[:pixels]
+    return np.concatenate(out)[:pixels] if out else np.zeros(0, np.uint8)
 
 
 def _deinterlace(rows: np.ndarray) -> np.ndarray:
@@ -279,6 +312,16 @@ def store_texts(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return _mapped(rows, schema, one)
 
 
+def timed_frames(media: bytes) -> Iterator[dict]:
+    """Place, time, size, samples and colour histograms of each frame as it is shown."""
+    size, got = decode(media)
+    start = 0
+    for i, (f, canvas) in enumerate(zip(got, render(size, got))):
+        red, green, blue = histogram(canvas).tolist()
+        yield {"frame": i, "start_ms": start, "delay_ms": f.delay_ms, "width": f.indices.shape[1], "height": f.indices.shape[0], "samples": f.indices.tobytes(), "red": red, "green": green, "blue": blue}
+        start += f.delay_ms
+
+
 def frames(df: DataFrame, doc_id: str = "doc_id", media: str = "media") -> DataFrame:
     """One row a frame: place, time, size, samples and colour-histogram columns."""
     rows = df.select(df[doc_id].alias("doc_id"), df[media].alias("media"))
@@ -286,28 +329,22 @@ def frames(df: DataFrame, doc_id: str = "doc_id", media: str = "media") -> DataF
     schema = T.StructType([rows.schema["doc_id"], *[T.StructField(k, long) for k in ("frame", "start_ms", "delay_ms", "width", "height")], T.StructField("samples", T.BinaryType()), *[T.StructField(k, counts) for k in ("red", "green", "blue")]])
 
     def one(r):
-        if r["media"] is None:
-            return
-        size, got = decode(r["media"])
-        start = 0
-        for i, (f, canvas) in enumerate(zip(got, render(size, got))):
-            red, green, blue = histogram(canvas).tolist()
-            yield {"doc_id": r["doc_id"], "frame": i, "start_ms": start, "delay_ms": f.delay_ms, "width": f.indices.shape[1], "height": f.indices.shape[0], "samples": f.indices.tobytes(), "red": red, "green": green, "blue": blue}
-            start += f.delay_ms
+        for f in timed_frames(r["media"]) if r["media"] is not None else ():
+            yield {"doc_id": r["doc_id"], **f}
 
     return _mapped(rows, schema, one)
 
 
 def read_back(df: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media, payload, tail_crc32, feature) of stored media: the samples of
-    all frames in order, and the summed histograms of the frames as shown."""
+    all frames in order; their number, length in ms, and the summed histograms of what they show."""
     schema = T.StructType([*df.select("doc_id", "n_bytes", "media").schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("tail_crc32", T.LongType()), T.StructField("feature", T.StringType())])
 
     def one(r):
-        size, got = decode(r["media"])
-        payload = b"".join(f.indices.tobytes() for f in got)
-        shown = sum(histogram(c) for c in render(size, got))
-        feature = f"{len(got)};" + ";".join(",".join(map(str, channel)) for channel in shown.tolist())
+        got = list(timed_frames(r["media"]))
+        payload = b"".join(f["samples"] for f in got)
+        shown = np.array([[f[c] for c in ("red", "green", "blue")] for f in got]).sum(axis=0)
+        feature = f"{len(got)};{got[-1]['start_ms'] + got[-1]['delay_ms']};" + ";".join(",".join(map(str, channel)) for channel in shown.tolist())
         yield {**r, "payload": payload, "tail_crc32": zlib.crc32(payload[-16:]), "feature": feature}
 
     return _mapped(df.select("doc_id", "n_bytes", "media"), schema, one)
