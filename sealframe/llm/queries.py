@@ -38,14 +38,22 @@ def op1_katz_scores(spark, d):
 # --- 2: mixing sources to target weights -----------------------------------------------
 
 
+def label_weights(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) sampling weights of labelled documents: 2 for good ones, 0.5 for poor or toxic
+    ones; documents without a label weigh 1."""
+    poor = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return labels.select("doc_id", F.when(poor, 0.5).otherwise(F.when(F.col("quality") == 1, 2.0)).alias("quality"))
+
+
 def rank_weight():
     """Weights 1, 2, 3, repeating, by the sources' order."""
     return F.col("rank") % 3 + 1
 
 
 MIX_SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-    -ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0) AS k FROM documents),
+WITH q AS (SELECT doc_id, avg(CASE WHEN quality = 0 OR toxic = 1 THEN 0.5 WHEN quality = 1 THEN 2.0 END) AS quality FROM labels GROUP BY doc_id),
+d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    -ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 13)) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0) / coalesce(quality::DOUBLE, 1.0) AS k FROM documents LEFT JOIN q USING (doc_id)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1.0::DOUBLE AS w FROM d GROUP BY source),
 c AS (SELECT *, source_size * 3.0::DOUBLE AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM c
@@ -60,7 +68,7 @@ SELECT doc_id, size, source_size, target, CAST((epochs + CASE WHEN ends - size /
 
 @query(MIX_SQL)
 def op2_mix_sources(spark, d):
-    out = mixing.mix(table(spark, d, "documents"), rank_weight())
+    out = mixing.mix(table(spark, d, "documents"), rank_weight(), qualities=label_weights(table(spark, d, "labels")))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
