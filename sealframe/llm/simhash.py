@@ -7,12 +7,12 @@ group the fingerprints form a binary trie that is joined with itself: pairs of n
 together, differing bits add up, and a pair over the budget is dropped. A group above
 GROUP_ROWS is split by its most balanced bits: each row goes to every pair of sub-tries that is
 within the budget, so no link is lost. A task keeps a spanning forest of the links it finds;
-components of all links are found by star contraction.
+components of all links are found by star contraction. Fingerprints are linked, not ids.
 
 Cases: null text is empty text; a text without words has fingerprint 0, linked like any other;
-fewer words than a shingle make one shingle of all; rows with a null id take their class's
-smallest id (null if it has none); repeated rows stay; empty in, empty out; other columns are
-ignored; texts of any length are read whole.
+fewer words than a shingle make one shingle of all; rows with a null id link like any other and
+take their component's smallest id (null if it has none); repeated rows stay; empty in, empty out;
+other columns are ignored, whatever their names; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -119,52 +119,62 @@ def forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (g, fp, rep) sorted by g and fp, to links of reps; whole groups at a time."""
+    """Rows (g, fp) sorted by g, to links of fingerprints; whole groups at a time."""
     held: list[np.ndarray] = []
 
     def solve(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        rows = _by_unsigned(rows)
         starts = np.flatnonzero(np.append(True, rows["g"][1:] != rows["g"][:-1])) if len(rows) else np.zeros(0, np.int64)
-        fps = rows["fp"].view(np.uint64)
-        a, b = trie_links(fps, starts)
-        links = forest(rows["rep"][a].tolist(), rows["rep"][b].tolist())
+        a, b = trie_links(rows["fp"].view(np.uint64), starts)
+        links = forest(rows["fp"][a].tolist(), rows["fp"][b].tolist())
         if links:
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        rows = np.empty(batch.num_rows, [("g", np.int64), ("fp", np.int64), ("rep", np.int64)])
+        if not batch.num_rows:
+            continue
+        rows = np.empty(batch.num_rows, [("g", np.int64), ("fp", np.int64)])
         for name in rows.dtype.names:
             rows[name] = batch.column(name).to_numpy(zero_copy_only=False)
         held.append(rows)
-        if sum(map(len, held)) >= _CHUNK:
+        if sum(map(len, held)) >= _CHUNK and held[0]["g"][0] != rows["g"][-1]:
             rows = np.concatenate(held)
-            cut = np.flatnonzero(rows["g"] != rows["g"][-1])
-            cut = cut[-1] + 1 if len(cut) else 0
-            yield from solve(_by_unsigned(rows[:cut]))
+            cut = np.flatnonzero(rows["g"] != rows["g"][-1])[-1] + 1
             held = [rows[cut:]]
+            yield from solve(rows[:cut])
     if held:
-        yield from solve(_by_unsigned(np.concatenate(held)))
+        yield from solve(np.concatenate(held))
 
 
 def _by_unsigned(rows: np.ndarray) -> np.ndarray:
     return rows[np.lexsort((rows["fp"].view(np.uint64), rows["g"]))]
 
 
+#: Bits by which a group is split at most: enough for GROUP_ROWS * 2**MOST_CUTS fingerprints.
+MOST_CUTS = 20
+
+
+def _near_masks() -> Column:
+    """For each number of cut bits, the masks of at most two of them."""
+    return F.array(*[F.array(*[F.lit(m).cast("long") for m in sorted({1 << i | 1 << j for i in range(n) for j in range(n)} | {0})]) for n in range(MOST_CUTS + 1)])
+
+
 def links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between the reps of distinct fingerprints (fp, rep), as spanning forests."""
+    """Links (a, b) between distinct fingerprints (fp), as spanning forests."""
     segments = F.array(*[F.struct(F.lit(i).alias("s"), F.shiftrightunsigned(F.col("fp"), at).bitwiseAND(F.lit((1 << n) - 1)).alias("v")) for i, (at, n) in enumerate(SEGMENTS)])
-    rows = distinct.select("fp", "rep", F.explode(segments).alias("x")).select("fp", "rep", "x.s", "x.v")
+    rows = distinct.select("fp", F.explode(segments).alias("x")).select("fp", "x.s", "x.v")
     bits = [F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64)]
     hot = rows.groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS)
     sums = rows.join(hot, ["s", "v"]).groupBy("s", "v", "n").agg(*bits)
     balance = F.array_sort(F.array(*[F.struct(F.abs(F.col(f"b{i}") * 2 - F.col("n")).alias("d"), F.lit(i).alias("i")) for i in range(64)]))
-    wanted = F.least(F.lit(12), F.ceil(F.log2(F.col("n") / GROUP_ROWS))).cast("int") + 1
+    wanted = F.least(F.lit(MOST_CUTS - 1), F.ceil(F.log2(F.col("n") / GROUP_ROWS))).cast("int") + 1
     splits = sums.select("s", "v", F.transform(F.slice(balance, F.lit(1), wanted), lambda b: b["i"]).alias("cut"))
     marked = rows.join(splits, ["s", "v"], "left")
     prefix = F.aggregate("cut", F.lit(0).cast("long"), lambda acc, i: acc * 2 + F.getbit(F.col("fp"), i).cast("long"))
-    masks = F.filter(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.size("cut")).cast("long") - 1), lambda m: F.bit_count(m) <= 2)
-    spread = F.when(F.col("cut").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.transform(masks, lambda m: F.least(F.col("p"), F.col("p").bitwiseXOR(m)) * F.lit(1 << 20) + F.greatest(F.col("p"), F.col("p").bitwiseXOR(m))))
+    masks = F.element_at(_near_masks(), F.size("cut") + 1)
+    spread = F.when(F.col("cut").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(F.transform(masks, lambda m: F.least(F.col("p"), F.col("p").bitwiseXOR(m)) * F.lit(1 << MOST_CUTS) + F.greatest(F.col("p"), F.col("p").bitwiseXOR(m))))
     tasks = marked.withColumn("p", F.when(F.col("cut").isNotNull(), prefix)).withColumn("pair", F.explode(spread))
-    grouped = tasks.select(F.xxhash64("s", "v", "pair").alias("g"), "fp", "rep")
+    grouped = tasks.select(F.xxhash64("s", "v", "pair").alias("g"), "fp")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return grouped.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_link_groups, "a long, b long")
 
@@ -172,7 +182,8 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every document: the smallest id reachable by links."""
     prints = written(fingerprints(df, doc_id, text, shingle))
-    reps = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    linked = components(links(reps.filter("rep is not null")))
-    classes = reps.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = components(links(least.select("fp")))
+    parts = least.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    ids = parts.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(parts.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

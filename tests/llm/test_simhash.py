@@ -55,16 +55,21 @@ def test_trie_finds_every_pair():
 def test_components_match_brute_force(spark, monkeypatch, group_rows):
     """Also with groups so small that they are split by balanced bits."""
     monkeypatch.setattr(simhash, "GROUP_ROWS", group_rows)
-    fps = sorted(set(clusters(2, 8, 25)))
-    ids = {f: 1000 - i for i, f in enumerate(fps)}
-    signed = [(f - 2**64 if f >= 2**63 else f, ids[f]) for f in fps]
-    df = spark.createDataFrame(signed, "fp long, rep long")
+    fps = {f - 2**64 if f >= 2**63 else f: f for f in clusters(2, 8, 25)}
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
     got = {r.node: r.component for r in common.components(simhash.links(df)).collect()}
-    by_id = {i: f for f, i in ids.items()}
-    want = brute_components(sorted(by_id), lambda a, b: (by_id[a] ^ by_id[b]).bit_count() <= 2)
+    want = brute_components(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
     assert all(got.get(n, n) == c for n, c in want.items())
 
 
+def test_rows_without_id_link_others(spark, monkeypatch):
+    """Fingerprints 0, 3 and 15: the middle one has a null id."""
+    prints = spark.createDataFrame([(1, 0), (None, 3), (2, 15), (None, 1 << 40)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: prints)
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(prints).collect()}
+    assert got == {(1, 0): 1, (None, 3): 1, (2, 15): 1, (None, 1 << 40): None}
+
+
 def test_edge_cases(spark):
     rows = [(5, None), (7, ""), (3, " \n"), (9, "Same text here now"), (8, "same TEXT here now"), (None, "same text here now"), (9, "Same text here now"), (1, "quite other words than those above it " * 50)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("rep", F.lit(1))
