@@ -1,29 +1,31 @@
 """Language identification with a blended-spectrum string kernel.
 
 A text's features are its distinct character n-grams of lengths 1 to 3, after lower-casing and
-with every run of other characters than letters as one space. The kernel of two texts is the
+with every run of other characters than letters and their marks as one space. The kernel of two texts is the
 number of n-grams they share over the root of the product of their numbers. Landmark texts
 give the Nyström map, and one-versus-rest ridge regression is solved in it; texts are scored
 in batches, as products of their presence matrix with the landmarks'.
 
-The model is fitted on a bounded, fixed sample: the PER_LABEL training texts of each language
-with the smallest hashes, and LANDMARKS of them as landmarks, dealt evenly over languages.
+The model is fitted on a bounded, fixed sample: the PER_LABEL training texts with letters of each language
+with the smallest hashes, of the LABELS most frequent languages, and LANDMARKS of them as landmarks,
+dealt evenly over languages.
 
-Cases: a text that is null or has no letter is `und` with score 0; labels that are null, and
+Cases: a text that is null or has no letter (Unicode's L) is `und` with score 0; labels that are null, and
 texts without letters, are not learned from; without any label all is `und`; repeated rows
-count; null ids are never held out nor learned from; texts are read whole; other columns are
-ignored.
+count; null ids are never held out nor learned from; of equal scores the first label by code point
+wins; an empty table gives an empty result; texts are read whole; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +34,10 @@ LANDMARKS = 128
 RIDGE = 0.3
 SHARPNESS = 6.0
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
+#: Languages that are learned.
+LABELS = 256
 _BATCH = 64
 
 
@@ -40,7 +45,7 @@ def grams(text: str | None) -> np.ndarray:
     """Sorted distinct n-grams of a text, as 64-bit numbers of up to three code points;
     empty if it has no letter."""
     s = _OTHER.sub(" ", (text or "").lower()).strip()
-    if not s:
+    if not _LETTER.search(s):
         return np.zeros(0, np.int64)
     c = np.frombuffer(f" {s} ".encode("utf-32-le", "replace"), "<u4").astype(np.int64)
     two = c[:-1] << 21 | c[1:]
@@ -109,23 +114,20 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
 def sample(df: DataFrame, label: str, key: str, text: str, per_label: int = PER_LABEL) -> tuple[list[str], list[str]]:
     """(texts, labels): of each label the rows with the smallest hashes of key.
 
-    Label counts set a hash limit under which at least per_label rows are to be expected, so
-    only about twice that many texts a label leave the executors.
+    Label counts set a hash limit under which about twice per_label rows are to be expected, so few
+    texts are sorted; the driver gets per_label of a label, however often a key repeats.
     """
-    lettered = df.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h")).filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["label"]: r["count"] for r in df.select(F.col(label).alias("label")).filter("label is not null").groupBy("label").count().collect()}
+    lettered = df.select(F.col(label).alias("label"), F.col(text).alias("text"), F.abs(F.shiftright(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), 1)).alias("h")).filter(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = lettered.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS).collect()
     if not counts:
         return [], []
     keep = F.lit(False)
-    for name, n in counts.items():
-        limit = int(min(1.0, (2 * per_label + 50) / n) * 2**63)
-        keep = keep | ((F.col("label") == name) & (F.abs(F.shiftright("h", 1)) < limit // 2))
-    rows = sorted(lettered.filter(keep).collect(), key=lambda r: (r["label"], r["h"], r["text"]))
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        if len(out.setdefault(r["label"], [])) < per_label:
-            out[r["label"]].append(r["text"])
-    return [t for ts in out.values() for t in ts], [n for n, ts in out.items() for _ in ts]
+    for name, n in ((r["label"], r["count"]) for r in counts):
+        keep = keep | ((F.col("label") == name) & (F.col("h") <= int(min(1.0, (2 * per_label + 50) / n) * 2**62)))
+    first = F.row_number().over(Window.partitionBy("label").orderBy("h", "text"))
+    rows = lettered.filter(keep).withColumn("n", first).filter(F.col("n") <= per_label).select("label", "text", "n").collect()
+    rows.sort(key=lambda r: (r["label"], r["n"]))
+    return [r["text"] for r in rows], [r["label"] for r in rows]
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), label_type: T.DataType = T.StringType()) -> DataFrame:
