@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Turns whose spans are gathered at a time.
+STRETCH = 256
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 
 
@@ -48,17 +50,24 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
         return F.struct(head.alias("head"), escape(t["text"]).alias("body"), tail.alias("tail"), (t["role"] == trained_role).alias("loss"))
 
     pieces = turns.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,chars:bigint>>").alias("spans"))
+    span = "array<struct<start:bigint,chars:bigint>>"
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("spans"))
 
     def advance(acc: Column, p: Column) -> Column:
         start, chars = acc["at"] + F.length(p["head"]), F.length(p["body"]).cast("long")
         spans = F.when(p["loss"], F.array_append(acc["spans"], F.struct(start.alias("start"), chars.alias("chars")))).otherwise(acc["spans"])
         return F.struct((start + chars + F.length(p["tail"])).alias("at"), spans.alias("spans"))
 
-    return pieces.select(
+    # Appending copies an array, so spans are made by stretches of turns, from 0 on in each, and moved on.
+    stretch = lambda k: F.aggregate(F.slice("pieces", k * STRETCH + 1, STRETCH), zero, advance)
+    made = pieces.withColumn("made", F.transform(F.sequence(F.lit(0), F.floor((F.size("pieces") - 1) / STRETCH).cast("int")), stretch))
+    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    starts = F.aggregate("made", first, lambda acc, m: F.struct((acc["at"] + m["at"]).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")))["starts"]
+    moved = F.zip_with("made", starts, lambda m, s: F.transform(m["spans"], lambda x: F.struct((x["start"] + s).alias("start"), x["chars"].alias("chars"))))
+    return made.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        F.aggregate("pieces", zero, advance)["spans"].alias("loss_spans"),
+        F.flatten(moved).alias("loss_spans"),
     )
 
 
