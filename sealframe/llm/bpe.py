@@ -6,8 +6,9 @@ entry whose symbols have changed since is stale and skipped. Decoding concatenat
 vocabulary's byte strings.
 
 Cases: null counts as empty text and gives no ids; texts of any length and pieces without
-white space are encoded whole; ids outside the vocabulary raise ValueError in decoding;
-repeated rows and null ids of documents pass through; other columns are ignored.
+white space are encoded whole; ids outside the vocabulary raise ValueError in decoding, and a file with
+settings that are not handled here in loading; repeated rows and null ids of documents pass
+through; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Pieces in one generation of a worker's cache; it holds two at most.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 50_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,9 +40,23 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def check(spec: dict) -> None:
+    """Raise ValueError if a tokenizer file asks for what is not done here."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = {
+        "model": model.get("type", "BPE") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")),
+        "normalizer": spec.get("normalizer") is not None,
+        "pre_tokenizer": pre.get("type") != "ByteLevel" or bool(pre.get("add_prefix_space")) or not pre.get("use_regex", True),
+        "added_tokens": any(x.get(k) for x in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")),
+    }
+    if found := [k for k, bad in odd.items() if bad]:
+        raise ValueError(f"settings of the tokenizer file are not handled: {', '.join(found)}")
+
+
 class Tokenizer:
     def __init__(self, content: str):
         spec = json.loads(content)
+        check(spec)
         letters, vocab = byte_letters(), spec["model"]["vocab"]
         self.bytes_of: dict[int, bytes] = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.byte_ids = [0] * 256
@@ -58,7 +73,7 @@ class Tokenizer:
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         marks = "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
         self.cut = re.compile(f"({marks})") if marks else None
-        self.pieces = regex.compile(PATTERN).findall
+        self.pieces = regex.compile(PATTERN).finditer
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -105,14 +120,15 @@ class Tokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, one = self.cache.get, self._piece
-        out: list[bytes] = []
+        known, one, out = self.cache.get, self._piece, bytearray()
         for part in self.cut.split(text) if self.cut else (text,):
             if part in self.added:
-                out.append(self.added[part].to_bytes(4, "little"))
+                out += self.added[part].to_bytes(4, "little")
             else:
-                out += [known(p) or one(p) for p in self.pieces(part)]
-        return b"".join(out)
+                for m in self.pieces(part):
+                    p = m[0]
+                    out += known(p) or one(p)
+        return bytes(out)
 
     def decode(self, ids: bytes) -> str:
         try:

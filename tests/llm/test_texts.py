@@ -44,6 +44,61 @@ def test_bpe_rejects_unknown_ids():
         tok.decode(np.array([10**6], "<u4").tobytes())
 
 
+def test_bpe_file_settings(spark):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    for key, value in {"normalizer": {"type": "NFC"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}.items():
+        with pytest.raises(ValueError, match=key):
+            bpe.check({**spec, key: value})
+    with pytest.raises(ValueError, match="model"):
+        bpe.check({**spec, "model": {**spec["model"], "ignore_merges": True}})
+    empty = spark.createDataFrame([], DOCS)
+    assert bpe.decode(bpe.encode(empty, PATH), PATH).count() == 0
+
+
+def plain_lzw(data, min_size):
+    """Samples of a code stream by the textbook's table of strings."""
+    clear, end = 1 << min_size, (1 << min_size) + 1
+    bits, have, feed, out = 0, 0, iter(data), b""
+    table, size, last = {}, min_size + 1, None
+    while True:
+        while have < size:
+            bits |= next(feed) << have
+            have += 8
+        code, bits, have = bits & ((1 << size) - 1), bits >> size, have - size
+        if code == clear:
+            table, size, last = {i: bytes([i]) for i in range(clear)}, min_size + 1, None
+            continue
+        if code == end:
+            return out
+        entry = table[code] if code in table else last + last[:1]
+        out += entry
+        if last is not None and len(table) + 2 < 4096:
+            table[len(table) + 2] = last + entry[:1]
+            if len(table) + 2 == 1 << size and size < 12:
+                size += 1
+        last = entry
+
+
+def test_encoder_makes_lzw_strings():
+    r = random.Random(4)
+    for n in (1, 2, 300, 60_000):
+        for letters in (b"a", b"ab", bytes(range(256))):
+            samples = bytes(r.choices(letters, k=n))
+            stream = gif.lzw_stream(samples)
+            assert plain_lzw(stream, 8) == samples == gif.lzw(stream, 8, n).tobytes()
+    assert len(gif.encode(b"ab" * 96 * 100)) < 192 * 100 / 10
+
+
+def test_gif_frames_of_the_store(spark):
+    assert gif.read_back(gif.store_texts(spark.createDataFrame([], DOCS))).count() == 0
+    assert gif.frames(spark.createDataFrame([(1, None)], "doc_id long, media binary")).count() == 0
+    size, frames = gif.decode(gif.encode(b"xy" * 96 * 5000))
+    assert [f.disposal for f in frames] == [1, 2, 3] and all(f.transparent == 0 for f in frames)
+
+
 def test_gif_round_trip(spark):
     texts = [*odd_texts(30), "word " * 100_000]
     df = spark.createDataFrame([*enumerate(texts), (None, None)], DOCS).withColumn("media", F.lit(1))
@@ -148,7 +203,31 @@ def test_language(spark):
     assert {x.lang_pred for x in langid.identify(df, F.lit(False)).collect()} == {"und"}
 
 
-def test_chat_round_trip(spark):
+def test_letters_decide_what_is_undetermined():
+    assert not len(langid.grams("½² ⅷ ①٣ 12 \u0301")) and not len(langid.grams(None))
+    assert len(langid.grams("a\u0301")) == len(langid.grams("ab"))
+
+
+def test_all_rows_as_landmarks_equal_exact_kernel_ridge():
+    """With every text a landmark, the map is exact: compare with ridge regression in the kernel itself."""
+    r = random.Random(9)
+    labels = [["aa", "bb", "cc"][i % 3] for i in range(60)]
+    texts = [sentences(x, r) for x in labels]
+    model = langid.fit(texts, labels, landmarks=60)
+    sets = [set(langid.grams(t).tolist()) for t in texts]
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    y = np.array([[1.0 if t == n else -1.0 for n in ("aa", "bb", "cc")] for t in labels])
+    # min sum (k w + b - y)^2 + ridge w' k w, with a nearly free b
+    n = len(texts)
+    top = np.hstack([k @ k + langid.RIDGE * k + 1e-9 * np.eye(n), k.sum(axis=0)[:, None]])
+    solved = np.linalg.lstsq(np.vstack([top, np.append(k.sum(axis=0), n + 1e-6)]), np.vstack([k @ y, y.sum(axis=0)]), rcond=None)[0]
+    want = k @ solved[:-1] + solved[-1]
+    got = model.kernel([langid.grams(t) for t in texts], model.landmarks.astype(np.float32)) @ model.weights + model.bias
+    assert np.allclose(got, want, atol=2e-2) and (got.argmax(axis=1) == want.argmax(axis=1)).all()
+
+
+def test_chat_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(chat, "STRETCH", 3)
     r = random.Random(5)
     odd = ["", "<|im_end|>", "<|im_sep|>x", "\\", "<\\|", "<", "|im_end|>\n", "a\nb", "<|", "\\<|\\", None, "<\\\\|", "é🎉"]
     rows = [(c, t, r.choice(["user", "assistant", "assistant", "a\nb<|", None]), r.choice(odd) if r.random() < 0.8 else r.choice(odd[:5]) + r.choice(odd[5:9])) for c in [*range(60), None] for t in range(r.randrange(1, 9))]
@@ -186,11 +265,16 @@ def test_mix(spark):
     below = {s: t / w for w, s in zip([1, 2, 3, 1, 2], ["a", "b", "c", "d", None]) for t in [targets[s][0]] if t < 3 * targets[s][1] - 1e-6}
     assert max(below.values()) == pytest.approx(min(below.values()))
     assert mixing.mix(df.limit(0), F.lit(1)).count() == 0
+    kept = mixing.mix(df.withColumn("row", F.lit(1)).withColumn("kept", F.lit(2)), F.lit(1), keep=("text", "row", "kept", "source"))
+    assert kept.select("kept.*").columns == ["text", "row", "kept", "source"] and kept.count() == len(rows)
+    assert mixing.mix(df, F.lit(1), keep=("text",)).filter("size <> 0 and kept.text is null").count() == 0
 
 
 def test_quality_weights_come_earlier(spark):
-    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("s").alias("source"), (F.col("id") % 2 * 9 + 1).alias("q"))
-    out = mixing.mix(df, F.lit(1), quality=F.col("q"), budget=F.lit(1000))
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.lit("s").alias("source"))
+    q = df.select("doc_id", (F.col("doc_id") % 2 * 9 + 1).alias("quality"))
+    odd = q.limit(0).unionByName(spark.createDataFrame([(1, None), (1, 10.0), (None, 5.0), (3, -1.0)], "doc_id long, quality double"))
+    out = mixing.mix(df, F.lit(1), qualities=q.filter("doc_id > 3").unionByName(odd), budget=F.lit(1000))
     share = out.filter("copies > 0").agg(F.avg(F.col("doc_id") % 2)).first()[0]
     assert out.agg(F.sum("taken")).first()[0] == 1000 and share > 0.8
 
