@@ -58,6 +58,61 @@ def test_sparse_sites_are_shrunk(spark):
     assert quality._strength(groups, "n", "t", 0.25) > 2
 
 
+def test_posteriors_match_plain_sums(spark):
+    """Site priors and probabilities from the classifier's log odds, by plain Python."""
+    docs, labels = data(5, 300)
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    path = F.when(F.col("doc_id") % 5 == 0, F.lit(None)).otherwise(F.concat("source", F.lit("/x")))
+    got = {r.doc_id: r for r in quality.score(d, known, F.col("source"), path).collect()}
+    model = quality.train(d, known)
+    dense = model.dense()
+    z = {i: model.logits([quality.features(t)], dense)[0] for i, t, _, _ in docs}
+    site = {i: (s, None if i % 5 == 0 else s + "/x") for i, _, s, _ in docs}
+    for k, t in enumerate(quality.TARGETS):
+        p = {i: 1 / (1 + math.exp(-z[i][k])) for i in z}
+        prior = sum(p.values()) / len(p)
+
+        def strength(groups):
+            rows = [[p[i] for i in z if groups(i) == g] for g in {groups(i) for i in z}]
+            rows = [r for r in rows if len(r) > 1]
+            spread = sum((sum(r) / len(r) - prior) ** 2 for r in rows) / len(rows)
+            chance = sum(prior * (1 - prior) / len(r) for r in rows) / len(rows)
+            return min(1e6, max(2.0, prior * (1 - prior) / max(spread - chance, 1e-9) - 1))
+
+        k_host, k_path = strength(lambda i: site[i][0]), strength(lambda i: site[i])
+        for i in list(z)[:60]:
+            host = [p[j] for j in z if j != i and site[j][0] == site[i][0]]
+            own = [p[j] for j in z if j != i and site[j] == site[i]]
+            theta = (sum(own) + k_path * (sum(host) + k_host * prior) / (len(host) + k_host)) / (len(own) + k_path)
+            logit = lambda q: math.log(min(1 - 1e-9, max(1e-9, q)) / (1 - min(1 - 1e-9, max(1e-9, q))))
+            assert got[i][f"site_{t}"] == pytest.approx(theta, rel=1e-6, abs=1e-9)
+            assert got[i][f"p_{t}"] == pytest.approx(1 / (1 + math.exp(-(z[i][k] + logit(theta) - logit(prior)))), rel=1e-6, abs=1e-9)
+
+
+def test_sample_is_bounded_however_often_an_id_repeats(spark):
+    d = spark.createDataFrame([(1, f"text {i}") for i in range(300)], "doc_id long, text string")
+    known = spark.createDataFrame([(1, 0, 0)] * 5, "doc_id long, quality int, toxic int")
+    sets = []
+    real = quality.fit
+    quality.fit = lambda s, y: sets.append(s) or real(s, y)
+    try:
+        quality.train(d, known, rows=20)
+    finally:
+        quality.fit = real
+    assert len(sets[0]) <= 20
+
+
+def test_large_sites_meet_all_rows(spark, monkeypatch):
+    from sealframe.llm import common
+
+    monkeypatch.setattr(common, "LARGE_SITE", 5)
+    rows = spark.createDataFrame([(i, "a" if i < 20 else f"s{i % 7}") for i in range(50)], "x long, site string")
+    sites = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("total"))
+    want = {(r.x, r.site, r.n, r.total) for r in rows.join(sites, "site").collect()}
+    assert {(r.x, r.site, r.n, r.total) for r in common.joined_by_site(rows, sites, ["site"], "n").collect()} == want
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None, None), (None, "a b", "s", "en"), (2, "", "s", None), (2, "", "s", None), (3, "x " * 5000, "s", "en")]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("host", F.lit(1)).withColumn("n_path", F.lit(1))
