@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sealframe.llm import bpe, mixing, quality, simhash_wide, substrings
 from sealframe.llm.common import delete_all, shared_dir, written
-from sealframe.llm.queries import rank_weight, vocabulary
+from sealframe.llm.queries import label_weights, rank_weight, vocabulary
 
 #: SQL has neither the classifier nor XXH64; tests compare with a brute-force version.
 ORACLE_SQL = None
@@ -54,15 +54,20 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    mixed = mixing.mix(docs, rank_weight(), keep=rest)
-    taken = mixed.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
-    return taken.select(*[F.col(c if c in ("doc_id", "source") else f"kept_{c}").alias(c) for c in docs.columns])
+    """Documents as often as the mix takes them, those with good labels first.
+
+    Null texts have no words and are taken as often as their source's others; null sources and ids, ties and
+    repeated rows are as in the operator; an empty table stays empty.
+    """
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    mixed = mixing.mix(docs, rank_weight(), qualities=label_weights(labels), keep=tuple(docs.columns))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))
+    return mixed.filter("copies > 0").select(copies.alias("copy"), "kept").select("kept.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, packed, and whether they decode to its text."""
+    """Token ids of each row's text, packed, and whether they decode to it. Null text has no ids; every
+    row gives one; an empty table stays empty."""
     path = vocabulary()
     ids = bpe.encode(docs, path, keep=("doc_id", "source", "lang"))
     out = bpe.decode(ids, path, keep=("doc_id", "source", "lang", "text"))
