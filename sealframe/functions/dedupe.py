@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import Counter
 
 from . import constants as C
-from .jsontext import property_key, string_text, utf16_key, canonical_text
+from .jsontext import canonical_text, object_text, ordered, utf16_key
 from .limits import PacketError, assert_safe_key
 
 
@@ -34,7 +34,7 @@ class _Index:
         else:
             for k in v:
                 assert_safe_key(k)
-            text = "{" + ",".join(f"{string_text(k)}:{self._read(v[k])}" for k in sorted(v, key=property_key)) + "}"
+            text = object_text(v, self._read)
         n = self.number.setdefault(text, len(self.text))
         if n == len(self.text):
             self.text.append(text)
@@ -51,7 +51,7 @@ class _Index:
 
 
 def children(v):
-    return v if isinstance(v, list) else (v[k] for k in sorted(v, key=utf16_key))
+    return v if isinstance(v, list) else (v[k] for k in ordered(v))
 
 
 def dedupe_structures(doc) -> dict:
@@ -60,6 +60,11 @@ def dedupe_structures(doc) -> dict:
     Ref ids follow the UTF-16 order of the texts. Each body in the ref table is written on
     its own, so what repeats inside a body is written out at its first place there.
     """
+    return dedupe_with_text(doc)[0]
+
+
+def dedupe_with_text(doc) -> tuple[dict, str | None]:
+    """dedupe_structures, and the value's canonical text where it is at hand."""
     index = _Index(doc)
     repeated = sorted((n for n, c in index.count.items() if c > 1), key=lambda n: utf16_key(index.text[n]))
     ids = {n: f"r{i}" for i, n in enumerate(repeated)}
@@ -74,13 +79,15 @@ def dedupe_structures(doc) -> dict:
             seen.add(n)
         if isinstance(v, list):
             return [emit(x, seen) for x in v]
-        return {k: emit(v[k], seen) for k in sorted(v, key=utf16_key)}
+        return {k: emit(v[k], seen) for k in ordered(v)}
 
+    if not ids:
+        return {"value": emit(doc, set()), "refs": {}, "references": []}, index.text[index.of[id(doc)]] if index.of else None
     return {
         "value": emit(doc, set()),
         "refs": {ids[n]: emit(index.first[n], set()) for n in repeated},
         "references": [{"id": ids[n], "fingerprint": index.text[n]} for n in repeated],
-    }
+    }, None
 
 
 def expand_refs(v, refs: dict, depth: int = 0, chain: tuple[str, ...] = ()):
@@ -100,4 +107,4 @@ def expand_refs(v, refs: dict, depth: int = 0, chain: tuple[str, ...] = ()):
         return expand_refs(refs[ref], refs, depth + 1, (*chain, ref))
     for k in v:
         assert_safe_key(k)
-    return {k: expand_refs(v[k], refs, depth + 1, chain) for k in sorted(v, key=utf16_key)}
+    return {k: expand_refs(v[k], refs, depth + 1, chain) for k in ordered(v)}

@@ -6,6 +6,8 @@ import json
 import math
 import re
 from decimal import Decimal
+from functools import lru_cache
+from json.encoder import encode_basestring
 
 _INDEX = re.compile(r"0|[1-9][0-9]{0,9}")
 _LONE = re.compile("[\ud800-\udfff]")
@@ -32,6 +34,8 @@ def number_text(x) -> str:
         return "null"
     if x == 0:
         return "0"
+    if 1e-4 <= abs(x) < 1e15:
+        return repr(x).removesuffix(".0")
     sign, digits, exp = Decimal(repr(x)).as_tuple()
     text = "".join(map(str, digits)).rstrip("0")
     point = len(digits) + exp
@@ -48,27 +52,56 @@ def number_text(x) -> str:
 
 
 def string_text(s: str) -> str:
-    out = json.dumps(s, ensure_ascii=False)
-    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", out) if _LONE.search(out) else out
+    out = encode_basestring(s)
+    return out if out.isascii() or not _LONE.search(out) else _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", out)
+
+
+#: Keys of an object up to which their order is remembered.
+_FEW_KEYS = 64
+
+
+def _layout(keys: tuple[str, ...]) -> tuple[tuple[str, str], ...]:
+    """(key, text before its value) of an object's keys, in canonical order."""
+    return tuple((k, string_text(k) + ":") for k in sorted(keys, key=property_key))
+
+
+_known_layout = lru_cache(maxsize=4096)(_layout)
+_utf16_order = lru_cache(maxsize=4096)(lambda keys: tuple(sorted(keys, key=utf16_key)))
+
+
+def ordered(keys) -> tuple[str, ...]:
+    """Keys by UTF-16 code unit."""
+    keys = tuple(keys)
+    return _utf16_order(keys) if len(keys) <= _FEW_KEYS else tuple(sorted(keys, key=utf16_key))
+
+
+def object_text(v: dict, text) -> str:
+    """Canonical text of an object; text gives that of a value."""
+    keys = tuple(v)
+    layout = _known_layout(keys) if len(keys) <= _FEW_KEYS else _layout(keys)
+    return "{" + ",".join([head + text(v[k]) for k, head in layout]) + "}"
 
 
 def canonical_text(v) -> str:
     """Canonical JSON text of a tree of dict, list, str, number, bool and None."""
+    if isinstance(v, str):
+        return string_text(v)
+    if isinstance(v, dict):
+        return object_text(v, canonical_text)
+    if isinstance(v, list):
+        return "[" + ",".join([canonical_text(x) for x in v]) + "]"
     if v is None:
         return "null"
     if v is True:
         return "true"
     if v is False:
         return "false"
-    if isinstance(v, str):
-        return string_text(v)
-    if isinstance(v, (int, float)):
-        return number_text(v)
-    if isinstance(v, list):
-        return "[" + ",".join(map(canonical_text, v)) + "]"
-    return "{" + ",".join(f"{string_text(k)}:{canonical_text(v[k])}" for k in sorted(v, key=property_key)) + "}"
+    return number_text(v)
+
+
+_decode = json.JSONDecoder(parse_constant=lambda _: None).decode
 
 
 def parse(text: str):
     """Parse JSON text; the last of repeated keys wins."""
-    return json.loads(text, parse_constant=lambda _: None)
+    return _decode(text)

@@ -8,19 +8,24 @@ import re
 import unicodedata
 from datetime import datetime, timedelta, timezone
 
-from .jsontext import utf16_key
+from .jsontext import ordered
 from .limits import assert_safe_key, validate_document
 
 # The white space that ECMAScript's trim() removes.
 JS_SPACE = "\t\n\x0b\x0c\r \xa0                　﻿"
+#: The same as the inside of a regular expression's class, for Python and for Java.
+SPACE = r"\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WORDS = {"true": True, "yes": True, "false": False, "no": False}
 
-_S = "[" + JS_SPACE + "]"
+_S = f"[{SPACE}]"
 _SPACED = re.compile(rf"([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}}){_S}+([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}}))?{_S}*(AM|PM)?", re.I)
 _ISO = re.compile(r"([0-9]{4})-([0-9]{2})-([0-9]{2})(?:T([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]+))?)?(Z|[+-][0-9]{2}:[0-9]{2})?)?", re.I)
 _DECIMAL = re.compile(r"[-+]?(?:[0-9]+\.[0-9]*|[0-9]*\.[0-9]+)")
 
 
+_DIGIT = re.compile("[0-9]")
+
+
 def boolean_word(s: str):
     return WORDS.get(s.strip(JS_SPACE).lower())
 
@@ -74,8 +79,8 @@ def decimal_number(s: str):
 def normalize_scalar(v):
     """Words to booleans, then timestamps, then decimals; other strings become NFC."""
     if isinstance(v, str):
-        s = unicodedata.normalize("NFC", v)
-        for rule in (boolean_word, timestamp_text, decimal_number):
+        s = v if v.isascii() else unicodedata.normalize("NFC", v)
+        for rule in (boolean_word, timestamp_text, decimal_number) if _DIGIT.search(s) else (boolean_word,):
             if (out := rule(s)) is not None:
                 return out
         return s
@@ -88,7 +93,7 @@ def _walk(v):
     if isinstance(v, dict):
         for k in v:
             assert_safe_key(k)
-        return {k: _walk(v[k]) for k in sorted(v, key=utf16_key)}
+        return {k: _walk(v[k]) for k in ordered(v)}
     if isinstance(v, list):
         return [_walk(x) for x in v]
     return normalize_scalar(v)

@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 
 from . import constants as C
 from .codec import compress_text, decompress_text, metadata_fault
-from .dedupe import dedupe_structures, expand_refs
+from .dedupe import dedupe_with_text, expand_refs
 from .delta import diff_documents
 from .jsontext import canonical_text, parse
 from .limits import PacketError, byte_size, validate_document
@@ -27,6 +27,11 @@ def envelope(root, refs, delta) -> dict:
     return {"ip_version": C.VERSION, "encoding": C.ENCODING, "root": root, "refs": refs, "delta": delta}
 
 
+def envelope_text(root: str, refs, delta) -> str:
+    """Canonical text of an envelope around the canonical text of its root."""
+    return f'{{"delta":{canonical_text(delta)},"encoding":"{C.ENCODING}","ip_version":"{C.VERSION}","refs":{canonical_text(refs)},"root":{root}}}'
+
+
 def create_packet(doc, *, base=None, has_base: bool = False, metadata: dict | None = None, created_at: str | None = None, compression: str = "auto") -> dict:
     """Normalize, compact, dedupe, hash and compress one document.
 
@@ -35,14 +40,13 @@ def create_packet(doc, *, base=None, has_base: bool = False, metadata: dict | No
     metadata = metadata or {}
     names = metadata.get("compaction_dictionary")
     compacted = compact_schema(normalize_types(doc), names)
-    parts = dedupe_structures(compacted)
+    parts, root_text = dedupe_with_text(compacted)
     delta = None
     if has_base or base is not None:
         delta = diff_documents(compact_schema(normalize_types(base), names), compacted)
         if not isinstance(delta, (dict, list, str)) or not delta:
             delta = None
-    inner = envelope(parts["value"], parts["refs"], delta)
-    text = canonical_text(inner)
+    text = envelope_text(root_text or canonical_text(parts["value"]), parts["refs"], delta)
     if byte_size(text) > C.MAX_PACKET_BYTES:
         raise PacketError("inner envelope exceeds the maximum size")
     digest = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
@@ -129,23 +133,27 @@ def verify_packet(p) -> bool:
     if packet_fault(p):
         return False
     try:
-        return packet_hash(inner_envelope(p)) == p["packet_hash"]
+        inner = inner_envelope(p)
     except PacketError:
         return False
+    return packet_hash(inner) == p["packet_hash"]
+
+
+#: Views of a packed document that replay gives.
+VIEWS = ("normalized", "canonical", "compacted", "deduped", "expanded")
 
 
-def replay_packet(p, verify_hash: bool = True) -> dict:
-    """The five views of the packed document; only the hashed envelope is trusted."""
+def replay_packet(p, verify_hash: bool = True, views: tuple[str, ...] = VIEWS) -> dict:
+    """The asked views of the packed document; only the hashed envelope is trusted."""
     assert_supported_version(p)
     inner = inner_envelope(p)
     if verify_hash and packet_hash(inner) != p["packet_hash"]:
         raise PacketError("packet hash verification failed")
+    return views_of(inner, p["metadata"].get("compaction_dictionary"), views)
+
+
+def views_of(inner: dict, names: dict[str, str] | None, views: tuple[str, ...] = VIEWS) -> dict:
     deduped = expand_refs(inner["root"], inner["refs"])
-    expanded = expand_schema(deduped, p["metadata"].get("compaction_dictionary"))
-    return {
-        "normalized": normalize_types(expanded),
-        "canonical": canonicalize(expanded),
-        "compacted": canonicalize(deduped),
-        "deduped": deduped,
-        "expanded": expanded,
-    }
+    expanded = expand_schema(deduped, names) if set(views) & {"normalized", "canonical", "expanded"} else None
+    make = {"normalized": lambda: normalize_types(expanded), "canonical": lambda: canonicalize(expanded), "compacted": lambda: canonicalize(deduped), "deduped": lambda: deduped, "expanded": lambda: expanded}
+    return {v: make[v]() for v in views}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import lru_cache
 
 from . import constants as C
 from .jsontext import property_key, utf16_key
@@ -12,20 +13,35 @@ from .limits import PacketError, assert_safe_key
 
 def canonicalize(v):
     """Tree with keys in canonical order; non-finite numbers become null."""
-    return _rename(v, {})
+    return _renamed(v, _same_order)
 
 
-def _rename(v, names):
+def _order(keys: tuple[str, ...], names: dict[str, str]) -> tuple[tuple[str, str], ...]:
+    """(new key, old key) of an object's keys in canonical order of the new ones. Of two keys that
+    get one name the last by UTF-16 stays."""
+    out = {}
+    for k in sorted(keys, key=utf16_key):
+        assert_safe_key(k)
+        to = names.get(k, k)
+        assert_safe_key(to)
+        out[to] = k
+    return tuple((k, out[k]) for k in sorted(out, key=property_key))
+
+
+def _remembered(names: dict[str, str]):
+    """_order for some names, remembered for objects of few keys."""
+    known = lru_cache(maxsize=4096)(lambda keys: _order(keys, names))
+    return lambda keys: known(keys) if len(keys) <= 64 else _order(keys, names)
+
+
+_same_order = _remembered({})
+
+
+def _renamed(v, order):
     if isinstance(v, dict):
-        out = {}
-        for k in sorted(v, key=utf16_key):
-            assert_safe_key(k)
-            to = names.get(k, k)
-            assert_safe_key(to)
-            out[to] = _rename(v[k], names)
-        return {k: out[k] for k in sorted(out, key=property_key)}
+        return {to: _renamed(v[k], order) if isinstance(v[k], (dict, list, float)) else v[k] for to, k in order(tuple(v))}
     if isinstance(v, list):
-        return [_rename(x, names) for x in v]
+        return [_renamed(x, order) for x in v]
     if isinstance(v, float) and not math.isfinite(v):
         return None
     return v
@@ -45,18 +61,28 @@ def validate_dictionary(merged: dict[str, str]) -> None:
         raise PacketError(f"duplicate alias {min(twice)!r}")
 
 
-def effective_dictionary(custom: dict[str, str] | None = None) -> dict[str, str]:
-    merged = {**C.DEFAULT_DICTIONARY, **(custom or {})}
+@lru_cache(maxsize=64)
+def _compiled(custom: tuple[tuple[str, str], ...]):
+    """(merged dictionary, its orders, the orders of its reverse)."""
+    merged = {**C.DEFAULT_DICTIONARY, **dict(custom)}
     validate_dictionary(merged)
-    return merged
+    return merged, _remembered(merged), _remembered({short: long for long, short in merged.items()})
+
+
+def _compile(custom: dict[str, str] | None):
+    return _compiled(tuple((custom or {}).items()))
+
+
+def effective_dictionary(custom: dict[str, str] | None = None) -> dict[str, str]:
+    return dict(_compile(custom)[0])
 
 
 def compact_schema(v, dictionary: dict[str, str] | None = None):
-    return _rename(v, effective_dictionary(dictionary))
+    return _renamed(v, _compile(dictionary)[1])
 
 
 def expand_schema(v, dictionary: dict[str, str] | None = None):
-    return _rename(v, {s: k for k, s in effective_dictionary(dictionary).items()})
+    return _renamed(v, _compile(dictionary)[2])
 
 
 def sort_record_keys(record: dict) -> dict:
