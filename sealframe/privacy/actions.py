@@ -11,6 +11,8 @@ from .detect import _RX
 
 #: Fixed value: what a redacted value becomes.
 REDACTED = "[REDACTED]"
+#: What a transformed value starts with, by the name of what was done.
+MARKS = {"tokenized": "tok_", "hmac": "hmac_"}
 
 
 def redact(_value) -> str:
@@ -96,8 +98,8 @@ def keyed_digest(path: str, value, secret: str) -> str:
 
 
 def tokenize(path: str, value, secret: str) -> str:
-    return f"tok_{field_label(path)}_{keyed_digest(path, value, secret)}"
+    return f"{MARKS['tokenized']}{field_label(path)}_{keyed_digest(path, value, secret)}"
 
 
 def hmac_field(path: str, value, secret: str) -> str:
-    return f"hmac_{field_label(path)}_{keyed_digest(path, value, secret)}"
+    return f"{MARKS['hmac']}{field_label(path)}_{keyed_digest(path, value, secret)}"
