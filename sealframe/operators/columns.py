@@ -11,7 +11,7 @@ import functools
 import hashlib
 import operator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions import constants as C
 from ..functions.jsontext import number_text, property_key, string_text
 from ..functions.limits import assert_safe_key
-from ..functions.normalize import JS_SPACE
+from ..functions.normalize import JS_SPACE, SPACE
 from ..functions.shape import effective_dictionary
 from ..privacy import detect as D
 from ..privacy.actions import REDACTED, field_label
@@ -29,9 +29,26 @@ _CONTROL = {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in _SHORT}
 _SAFE_INT = 2**53 - 1
 
 
-@F.pandas_udf(T.StringType())
-def number_text_udf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: "null" if pd.isna(v) else number_text(float(v)))
+@F.arrow_udf(T.StringType())
+def number_text_udf(x: pa.Array) -> pa.Array:
+    return pa.array(["null" if v is None else number_text(v) for v in x.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def number_texts_udf(x: pa.Array) -> pa.Array:
+    """Texts of arrays of doubles: Python functions cannot be called within an array's expression."""
+    return pa.array([None if a is None else ["null" if v is None else number_text(v) for v in a] for a in x.to_pylist()], pa.list_(pa.string()))
+
+
+_FRACTIONAL = (T.DoubleType, T.FloatType, T.DecimalType)
+
+
+def _has_fractions(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return any(_has_fractions(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _has_fractions(dtype.elementType)
+    return isinstance(dtype, _FRACTIONAL) or isinstance(dtype, T.MapType) and _has_fractions(dtype.valueType)
 
 
 def json_quote(c: Column) -> Column:
@@ -58,22 +75,46 @@ def canonical_json(c: Column, dtype: T.DataType, names: dict[str, str] | None =
     elif isinstance(dtype, T.LongType):
         digits = c.cast("string")
         text = F.when(F.abs(c.cast("decimal(20,0)")) <= _SAFE_INT, digits).otherwise(F.concat(F.lit('"'), digits, F.lit('"')))
-    elif isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
+    elif isinstance(dtype, _FRACTIONAL):
         x = c.cast("double")
         text = number_text_udf(x)
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         text = F.concat(F.lit('"'), timestamp_text(c), F.lit('"'))
     elif isinstance(dtype, T.DateType):
         text = F.concat(F.lit('"'), F.date_format(c, "yyyy-MM-dd"), F.lit('T00:00:00.000Z"'))
+    elif isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, _FRACTIONAL):
+        text = F.concat(F.lit("["), F.array_join(number_texts_udf(c.cast("array<double>")), ","), F.lit("]"))
+    elif isinstance(dtype, T.ArrayType) and _has_fractions(dtype.elementType) or isinstance(dtype, T.MapType) and not isinstance(dtype.valueType, _FRACTIONAL) and _has_fractions(dtype):
+        raise TypeError(f"fractions at this depth of {dtype.simpleString()} need the dynamic lane")
     elif isinstance(dtype, T.ArrayType):
         text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: canonical_json(x, dtype.elementType, names)), ","), F.lit("]"))
     elif isinstance(dtype, T.StructType):
-        text = _object({f.name: (c[f.name], f.dataType) for f in dtype.fields}, names)
+        text = F.when(c.isNotNull(), _object({f.name: (c[f.name], f.dataType) for f in dtype.fields}, names))
+    elif isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
+        text = _map_text(c, dtype, names)
     else:
         raise TypeError(f"{dtype.simpleString()} has no document form")
     return F.coalesce(text, F.lit("null"))
 
 
+def _map_text(c: Column, dtype: T.MapType, names: dict[str, str]) -> Column:
+    """A map as an object: index keys by number, then the rest by UTF-16. Unsafe keys fail."""
+    renames = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else None
+    fractional = isinstance(dtype.valueType, _FRACTIONAL)
+    if fractional:
+        c = F.map_from_arrays(F.map_keys(c), number_texts_udf(F.map_values(c).cast("array<double>")))
+
+    def entry(e):
+        name = F.coalesce(F.element_at(renames, e["key"]), e["key"]) if renames is not None else e["key"]
+        safe = F.when(e["key"].isin(*C.UNSAFE_KEYS) | name.isin(*C.UNSAFE_KEYS), F.raise_error(F.lit(C.ERROR_PREFIX + "unsafe object key"))).otherwise(name)
+        number = F.when(name.rlike(r"^(0|[1-9][0-9]{0,9})\z"), name.try_cast("long"))
+        index = F.when(number < 4294967295, number)
+        text = F.concat(json_quote(safe), F.lit(":"), e["value"] if fractional else canonical_json(e["value"], dtype.valueType, names))
+        return F.struct(index.isNull().alias("named"), index.alias("index"), F.encode(name, "UTF-16BE").alias("order"), text.alias("text"))
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.transform(F.map_entries(c), entry)), lambda e: e["text"]), ","), F.lit("}"))
+
+
 def _object(fields: dict[str, tuple[Column, T.DataType]], names: dict[str, str]) -> Column:
     renamed = {}
     for k in sorted(fields):
@@ -137,13 +178,32 @@ def shell_valid(p: Column) -> Column:
     """Whether the shell of a packet struct is well formed; refs and delta as JSON objects."""
     return F.coalesce(
         (p["ip_version"] == C.VERSION) & (F.coalesce(p["spec_version"], F.lit(C.SPEC_VERSION)) == C.SPEC_VERSION) & (p["encoding"] == C.ENCODING)
-        & p["packet_hash"].rlike("^[a-f0-9]{64}$") & (p["packet_id"] == F.substring(p["packet_hash"], 1, 16)) & (F.length(p["created_at"]) <= 128)
+        & p["packet_hash"].rlike(r"^[a-f0-9]{64}\z") & (p["packet_id"] == F.substring(p["packet_hash"], 1, 16)) & (F.length(p["created_at"]) <= 128)
         & (F.length(p["payload"]) <= C.MAX_BASE64_PAYLOAD_CHARS) & compression_valid(p["compression"])
-        & F.coalesce(F.size(F.filter(F.json_object_keys(p["refs"]), lambda k: ~k.rlike("^r[0-9]+$"))) == 0, F.lit(False)),
+        & _keys_valid(p["refs"], lambda k: k.rlike(r"^r[0-9]+\z")) & (p["delta"].isNull() | _keys_valid(p["delta"], lambda k: ~k.isin(*C.UNSAFE_KEYS))) & metadata_valid(p["metadata"]),
         F.lit(False),
     )
 
 
+def _keys_valid(text: Column, good) -> Column:
+    """Whether a JSON text is an object of few keys, all good."""
+    keys = F.json_object_keys(text)
+    return F.coalesce((F.size(keys) <= C.MAX_KEYS_PER_OBJECT) & F.forall(keys, good), F.lit(False))
+
+
+def metadata_valid(text: Column) -> Column:
+    """Whether JSON text is metadata of a packet: title, labels and dictionary, each within its limits."""
+    part = lambda k: F.get_json_object(text, f"$.{k}")
+    labels, names = F.from_json(part("labels"), "array<string>"), F.from_json(part("compaction_dictionary"), "map<string,string>")
+    there = lambda k: F.array_contains(F.json_object_keys(text), k)
+    fits = [
+        ~there("title") | (F.length(part("title")) <= 65536),
+        ~there("labels") | ((F.size(labels) <= 10000) & F.forall(labels, lambda x: x.isNotNull() & (F.length(x) <= 1024))),
+        ~there("compaction_dictionary") | ((F.size(names) <= 5000) & F.forall(F.map_entries(names), lambda e: ~e["key"].isin(*C.UNSAFE_KEYS) & e["value"].isNotNull() & (F.length(e["value"]) <= 256))),
+    ]
+    return _keys_valid(text, lambda k: k.isin("title", "labels", "compaction_dictionary")) & F.coalesce(functools.reduce(operator.and_, fits), F.lit(False))
+
+
 def reduction_ratio(raw: Column, compressed: Column) -> Column:
     return F.when(raw <= 0, F.lit(0.0)).otherwise(1 - compressed / raw)
 
@@ -163,11 +223,11 @@ def boolean_word(c: Column) -> Column:
 def decimal_number(c: Column) -> Column:
     t = js_trim(c)
     x = t.try_cast("double")
-    return F.when(t.rlike(r"^[-+]?([0-9]+\.[0-9]*|[0-9]*\.[0-9]+)$") & (F.abs(x) < float("inf")), x)
+    return F.when(t.rlike(r"^[-+]?([0-9]+\.[0-9]*|[0-9]*\.[0-9]+)\z") & (F.abs(x) < float("inf")), x)
 
 
-_SPACED = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})[\s ]+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?[\s ]*([AaPp][Mm])?$"
-_ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[Tt]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]+))?)?([Zz]|[+-][0-9]{2}:[0-9]{2})?)?$"
+_SPACED = rf"^([0-9]{{4}})-([0-9]{{2}})-([0-9]{{2}})[{SPACE}]+([0-9]{{1,2}}):([0-9]{{2}})(?::([0-9]{{2}}))?[{SPACE}]*([AaPp][Mm])?\z"
+_ISO = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[Tt]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]+))?)?([Zz]|[+-][0-9]{2}:[0-9]{2})?)?\z"
 
 
 def timestamp_string(c: Column) -> Column:
@@ -207,8 +267,8 @@ def pattern_category(field: str, c: Column, strict_timestamp_dob: bool = False)
     """Category that the value patterns give a string column under its field name."""
     tests = {
         "ssn": c.rlike(D.SSN), "email": c.rlike(D.EMAIL), "phone": c.rlike(D.PHONE), "dob": c.rlike(D.DAY),
-        "routing": F.regexp_replace(c, "[^0-9]", "").rlike(D.ROUTING), "iban": F.upper(F.regexp_replace(c, r"\s", "")).rlike(D.IBAN),
-        "payment_card": F.regexp_replace(c, r"\s+", "").rlike(D.CARD),
+        "routing": F.regexp_replace(c, "[^0-9]", "").rlike(D.ROUTING), "iban": F.upper(F.regexp_replace(c, D.GAP, "")).rlike(D.IBAN),
+        "payment_card": F.regexp_replace(c, D.GAP, "").rlike(D.CARD),
     }
     out = F
     for kind in D.value_kinds(field, strict_timestamp_dob):

@@ -1,134 +1,164 @@
-"""Dynamic lane: JSON text columns through one Arrow-batched function per operator.
+"""Dynamic lane: JSON text columns through one Arrow function per operator.
 
-Each function takes and returns JSON text. Faults of one document land in an error field or
-raise, as the caller chooses; a null document gives null.
+Each function takes and returns JSON text; a null document gives null. Faults of one document raise, or,
+if `permissive`, give null or fill the error field where there is one; document_error() says why.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import codec, dedupe, delta, packet, shape
 from ..functions.jsontext import canonical_text, parse
-from ..functions.limits import PacketError, validate_document
+from ..functions.limits import validate_document
 from ..functions.normalize import normalize_types
+from ..functions.packet import VIEWS
 from ..privacy import detect as D
 from ..privacy import protect as P
 from ..privacy.policy import PrivacyError, validate_policy
 
+COMPRESSION = "method string, raw_bytes bigint, compressed_bytes bigint, reduction_ratio double"
 PACKET = (
     "ip_version string, spec_version string, packet_id string, packet_hash string, created_at string, encoding string, "
-    "compression struct<method:string,raw_bytes:bigint,compressed_bytes:bigint,reduction_ratio:double>, payload string, refs string, delta string, metadata string"
+    f"compression struct<{COMPRESSION.replace(' ', ':').replace(',:', ', ')}>, payload string, refs string, delta string, metadata string"
 )
-VIEWS = ("normalized", "canonical", "compacted", "deduped", "expanded")
 DETECTION = "array<struct<path:string,field:string,category:string,detection:string,actionRequired:boolean>>"
+#: What a document can be at fault with; anything else is a bug and raises.
+FAULTS = (ValueError, RecursionError)
 
 
-def _text_function(one, args: int = 1):
-    """Arrow function of JSON text columns to JSON text; null in, null out."""
-    if args == 1:
+def _function(returns: str, one: Callable, *columns: Column) -> Column:
+    """one(*values) of each row, batch by batch; values and result as Python objects."""
+    dtype = T.StructType.fromDDL(returns) if " " in returns.split("<")[0].split(",")[0].strip() else T.DataType.fromDDL(returns)
+    arrow = to_arrow_type(dtype)
 
-        @F.pandas_udf("string")
-        def run(a: pd.Series) -> pd.Series:
-            return a.map(lambda x: None if x is None else one(parse(x)))
+    if len(columns) == 1:
+
+        @F.arrow_udf(dtype)
+        def run(a: pa.Array) -> pa.Array:
+            return pa.array([one(x) for x in a.to_pylist()], arrow)
     else:
 
-        @F.pandas_udf("string")
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None or y is None else one(parse(x), parse(y)) for x, y in zip(a, b)], dtype=object)
+        @F.arrow_udf(dtype)
+        def run(a: pa.Array, b: pa.Array) -> pa.Array:
+            return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], arrow)
+
+    return run(*columns)
+
+
+def _of_documents(one: Callable, *columns: Column, returns: str = "string", permissive: bool = False) -> Column:
+    """one(*parsed documents); null where a document is null or, if permissive, at fault."""
+
+    def safe(*texts):
+        if any(x is None for x in texts):
+            return None
+        try:
+            return one(*map(parse, texts))
+        except FAULTS:
+            if not permissive:
+                raise
+            return None
 
-    return run
+    return _function(returns, safe, *columns)
 
 
-def canonicalize(doc: Column) -> Column:
-    return _text_function(lambda d: canonical_text(shape.canonicalize(d)))(doc)
+def canonicalize(doc: Column, permissive: bool = False) -> Column:
+    return _of_documents(lambda d: canonical_text(shape.canonicalize(d)), doc, permissive=permissive)
 
 
-def normalize(doc: Column) -> Column:
-    return _text_function(lambda d: canonical_text(normalize_types(d)))(doc)
+def normalize(doc: Column, permissive: bool = False) -> Column:
+    return _of_documents(lambda d: canonical_text(normalize_types(d)), doc, permissive=permissive)
 
 
-def compact(doc: Column, dictionary: dict[str, str] | None = None) -> Column:
+def compact(doc: Column, dictionary: dict[str, str] | None = None, permissive: bool = False) -> Column:
     shape.effective_dictionary(dictionary)
-    return _text_function(lambda d: canonical_text(shape.compact_schema(d, dictionary)))(doc)
+    return _of_documents(lambda d: canonical_text(shape.compact_schema(d, dictionary)), doc, permissive=permissive)
 
 
-def expand(doc: Column, dictionary: dict[str, str] | None = None) -> Column:
+def expand(doc: Column, dictionary: dict[str, str] | None = None, permissive: bool = False) -> Column:
     shape.effective_dictionary(dictionary)
-    return _text_function(lambda d: canonical_text(shape.expand_schema(d, dictionary)))(doc)
+    return _of_documents(lambda d: canonical_text(shape.expand_schema(d, dictionary)), doc, permissive=permissive)
 
 
-def dedupe_document(doc: Column) -> Column:
+def dedupe_document(doc: Column, permissive: bool = False) -> Column:
     """JSON of {references, refs, value}."""
-    return _text_function(lambda d: canonical_text(dedupe.dedupe_structures(d)))(doc)
+    return _of_documents(lambda d: canonical_text(dedupe.dedupe_structures(d)), doc, permissive=permissive)
 
 
-def expand_references(root: Column, refs: Column) -> Column:
-    return _text_function(lambda r, t: canonical_text(dedupe.expand_refs(r, t)), 2)(root, refs)
+def expand_references(root: Column, refs: Column, permissive: bool = False) -> Column:
+    return _of_documents(lambda r, t: canonical_text(dedupe.expand_refs(r, t)), root, refs, permissive=permissive)
 
 
-def diff(base: Column, nxt: Column) -> Column:
-    return _text_function(lambda a, b: canonical_text(delta.diff_documents(a, b)), 2)(base, nxt)
+def diff(base: Column, nxt: Column, permissive: bool = False) -> Column:
+    return _of_documents(lambda a, b: canonical_text(delta.diff_documents(a, b)), base, nxt, permissive=permissive)
 
 
-def apply_delta(base: Column, patch: Column) -> Column:
-    return _text_function(lambda a, b: canonical_text(delta.apply_delta(a, b)), 2)(base, patch)
+def apply_delta(base: Column, patch: Column, permissive: bool = False) -> Column:
+    return _of_documents(lambda a, b: canonical_text(delta.apply_delta(a, b)), base, patch, permissive=permissive)
 
 
-def content_hash(doc: Column) -> Column:
-    return _text_function(packet.packet_hash)(doc)
+def content_hash(doc: Column, permissive: bool = False) -> Column:
+    return _of_documents(packet.packet_hash, doc, permissive=permissive)
 
 
 def document_error(doc: Column) -> Column:
     """Why a document is not accepted, or null."""
 
-    @F.pandas_udf("string")
-    def run(a: pd.Series) -> pd.Series:
-        def one(x):
-            try:
+    def one(x):
+        try:
+            if x is not None:
                 validate_document(parse(x))
-            except (ValueError, RecursionError, TypeError) as e:
-                return str(e)
-            return None
-
-        return a.map(one).astype(object)
+        except (*FAULTS, TypeError) as e:
+            return str(e)
+        return None
 
-    return run(doc)
+    return _function("string", one, doc)
 
 
 def compress(text: Column, method: str = "auto") -> Column:
     """Struct of base64 payload and compression metadata."""
 
-    @F.pandas_udf("payload string, method string, raw_bytes long, compressed_bytes long, reduction_ratio double")
-    def run(a: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in a:
-            body, meta = codec.compress_text(x, method) if x is not None else (None, {})
-            rows.append({"payload": body, **{k: meta.get(k) for k in ("method", "raw_bytes", "compressed_bytes", "reduction_ratio")}})
-        return pd.DataFrame(rows, columns=["payload", "method", "raw_bytes", "compressed_bytes", "reduction_ratio"])
+    def one(x):
+        if x is None:
+            return {}
+        body, meta = codec.compress_text(x, method)
+        return {"payload": body, **meta}
 
-    return run(text)
+    return _function(f"payload string, {COMPRESSION}", one, text)
 
 
-def _packet_row(p: dict) -> dict:
-    return {**p, "refs": canonical_text(p["refs"]), "delta": None if p["delta"] is None else canonical_text(p["delta"]), "metadata": canonical_text(p["metadata"])}
+def baselines(text: Column) -> Column:
+    """Sizes of a text under gzip and, where installed, brotli, and the shares saved."""
+    fields = ", ".join(f"{n}_bytes bigint, {n}_reduction_percent double" for n in ("gzip", "brotli"))
+    return _function(f"raw_bytes bigint, {fields}", lambda x: {} if x is None else codec.baselines(x), text)
+
 
+def decompress(payload: Column, meta: Column) -> Column:
+    """The text of a payload, checked against its metadata, a struct as compress() gives."""
 
-_PACKET_FIELDS = [x.strip().split(" ")[0] for x in PACKET.replace("struct<method:string,raw_bytes:bigint,compressed_bytes:bigint,reduction_ratio:double>", "s").split(",")]
+    def one(x, m):
+        return None if x is None or m is None else codec.decompress_text(x, {k: m[k] for k in ("method", "raw_bytes", "compressed_bytes", "reduction_ratio")})
 
+    return _function("string", one, payload, meta)
+
+
+def _packet_row(p: dict) -> dict:
+    return {**p, "refs": canonical_text(p["refs"]), "delta": None if p["delta"] is None else canonical_text(p["delta"]), "metadata": canonical_text(p["metadata"])}
 
-def _packet_frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame([{k: r.get(k) for k in (*_PACKET_FIELDS, "error")} for r in rows], columns=[*_PACKET_FIELDS, "error"], dtype=object)
+
+_PACKET_FIELDS = ("ip_version", "spec_version", "packet_id", "packet_hash", "created_at", "encoding", "compression", "payload", "refs", "delta", "metadata")
 
 
 def create_packet(doc: Column, base: Column | None = None, *, created_at: str | None = None, metadata: dict | None = None, compression: str = "auto", permissive: bool = False) -> Column:
     """Packet struct with an error field. Errors raise, or fill that field if permissive."""
-    names = (metadata or {}).get("compaction_dictionary")
-    shape.effective_dictionary(names)
+    shape.effective_dictionary((metadata or {}).get("compaction_dictionary"))
 
     def one(x, b=None):
         if x is None:
@@ -136,42 +166,26 @@ def create_packet(doc: Column, base: Column | None = None, *, created_at: str |
         try:
             extra = {} if b is None else {"base": parse(b), "has_base": True}
             return _packet_row(packet.create_packet(parse(x), metadata=metadata, created_at=created_at, compression=compression, **extra))
-        except (ValueError, RecursionError) as e:
+        except FAULTS as e:
             if not permissive:
                 raise
             return {"error": str(e)}
 
-    if base is None:
-
-        @F.pandas_udf(PACKET + ", error string")
-        def run(a: pd.Series) -> pd.DataFrame:
-            return _packet_frame([one(x) for x in a])
-
-        return run(doc)
-
-    @F.pandas_udf(PACKET + ", error string")
-    def run2(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        return _packet_frame([one(x, y) for x, y in zip(a, b)])
+    return _function(PACKET + ", error string", one, *((doc,) if base is None else (doc, base)))
 
-    return run2(doc, base)
 
-
-def _packet_of(row: dict) -> dict | None:
+def _packet_of(row: dict | None) -> dict | None:
     """Packet of a struct row; None for a null row."""
-    if row.get("packet_hash") is None and row.get("payload") is None:
+    if row is None or row["packet_hash"] is None and row["payload"] is None:
         return None
-    p = {k: row.get(k) for k in _PACKET_FIELDS}
+    p = dict(row)
     if p["spec_version"] is None:
         del p["spec_version"]
     try:
-        p["refs"], p["metadata"] = (parse(p[k]) if p[k] is not None else None for k in ("refs", "metadata"))
-        p["delta"] = None if p["delta"] is None else parse(p["delta"])
+        for k in ("refs", "metadata", "delta"):
+            p[k] = None if p[k] is None else {} if p[k] == "{}" else parse(p[k])
     except ValueError:
         p["refs"] = None
-    c = p["compression"]
-    p["compression"] = {k: c[k] for k in ("method", "raw_bytes", "compressed_bytes", "reduction_ratio")} if c is not None else None
-    if p["compression"]:
-        p["compression"]["raw_bytes"], p["compression"]["compressed_bytes"] = (None if v is None else int(v) for v in (c["raw_bytes"], c["compressed_bytes"]))
     return p
 
 
@@ -180,113 +194,115 @@ def _bare(p: Column) -> Column:
 
 
 def verify_packet(p: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def run(rows: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if (x := _packet_of(r)) is None else packet.verify_packet(x) for r in rows.to_dict("records")], dtype=object)
+    def one(r):
+        x = _packet_of(r)
+        return None if x is None else packet.verify_packet(x)
 
-    return run(_bare(p))
+    return _function("boolean", one, _bare(p))
 
 
-def replay_packet(p: Column, verify_hash: bool = True, permissive: bool = False) -> Column:
-    """Struct of the five views as JSON text, and an error field."""
+def packet_error(p: Column) -> Column:
+    """What is wrong with the shell of a packet, or null."""
 
-    @F.pandas_udf(", ".join(f"{v} string" for v in (*VIEWS, "error")))
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows.to_dict("records"):
-            x = _packet_of(r)
-            try:
-                views = packet.replay_packet(x, verify_hash) if x is not None else {}
-                out.append({k: canonical_text(v) for k, v in views.items()})
-            except PacketError as e:
-                if not permissive:
-                    raise
-                out.append({"error": str(e)})
-        return pd.DataFrame([{k: o.get(k) for k in (*VIEWS, "error")} for o in out], columns=[*VIEWS, "error"], dtype=object)
+    def one(r):
+        x = _packet_of(r)
+        return None if x is None else packet.packet_fault(x)
 
-    return run(_bare(p))
+    return _function("string", one, _bare(p))
 
 
-def detect(doc: Column, names: dict[str, str] | None = None, strict_timestamp_dob: bool = False) -> Column:
-    @F.pandas_udf(DETECTION)
-    def run(a: pd.Series) -> pd.Series:
-        return a.map(lambda x: None if x is None else D.detect(parse(x), names, strict_timestamp_dob))
+def replay_packet(p: Column, verify_hash: bool = True, permissive: bool = False, views: tuple[str, ...] = VIEWS) -> Column:
+    """Struct of the asked views as JSON text, and an error field."""
 
-    return run(doc)
+    def one(r):
+        x = _packet_of(r)
+        try:
+            return {} if x is None else {k: canonical_text(v) for k, v in packet.replay_packet(x, verify_hash, views).items()}
+        except FAULTS as e:
+            if not permissive:
+                raise
+            return {"error": str(e)}
+
+    return _function(", ".join(f"{v} string" for v in (*views, "error")), one, _bare(p))
+
+
+def audit_packet(doc: Column, *, created_at: str | None = None, metadata: dict | None = None, compression: str = "auto") -> Column:
+    """{packet_hash, refs, verified, replayed}: a document packed, verified, and replayed to its
+    normalized form, in one function."""
+
+    def one(x):
+        if x is None:
+            return {}
+        d = parse(x)
+        p = packet.create_packet(d, metadata=metadata, created_at=created_at, compression=compression)
+        back = packet.replay_packet(p, views=("canonical",))["canonical"]
+        return {"packet_hash": p["packet_hash"], "refs": canonical_text(p["refs"]), "verified": packet.verify_packet(p), "replayed": canonical_text(back) == canonical_text(normalize_types(d))}
+
+    return _function("packet_hash string, refs string, verified boolean, replayed boolean", one, doc)
+
+
+def detect(doc: Column, names: dict[str, str] | None = None, strict_timestamp_dob: bool = False, permissive: bool = False) -> Column:
+    return _of_documents(lambda d: D.detect(d, names, strict_timestamp_dob), doc, returns=DETECTION, permissive=permissive)
+
+
+def _report_text(report: dict) -> str:
+    return json.dumps(report, ensure_ascii=False, separators=(",", ":"))
 
 
 def protect(doc: Column, policy: dict, *, permissive: bool = False, **options) -> Column:
     """Struct {data, report, error} as JSON text. Secrets stay inside the function."""
     checked = validate_policy(policy)
 
-    @F.pandas_udf("data string, report string, error string")
-    def run(a: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in a:
-            row = {"data": None, "report": None, "error": None}
-            try:
-                if x is not None:
-                    out = P.protect(parse(x), checked, **options)
-                    row |= {"data": canonical_text(out["data"]), "report": json.dumps(out["report"], ensure_ascii=False, separators=(",", ":"))}
-            except PrivacyError as e:
-                if not permissive:
-                    raise
-                row["error"] = e.code
-            rows.append(row)
-        return pd.DataFrame(rows, columns=["data", "report", "error"], dtype=object)
-
-    return run(doc)
-
-
-def privacy_report(doc: Column, transformed: Column, policy: dict) -> Column:
+    def one(x):
+        if x is None:
+            return {}
+        try:
+            out = P.protect(parse(x), checked, **options)
+            return {"data": canonical_text(out["data"]), "report": _report_text(out["report"])}
+        except FAULTS as e:
+            if not permissive:
+                raise
+            return {"error": e.code if isinstance(e, PrivacyError) else "INVALID_POLICY"}
+
+    return _function("data string, report string, error string", one, doc)
+
+
+def privacy_report(doc: Column, transformed: Column, policy: dict, permissive: bool = False) -> Column:
     checked = validate_policy(policy)
-    return _text_function(lambda a, b: json.dumps(P.create_report(a, b, checked), ensure_ascii=False, separators=(",", ":")), 2)(doc, transformed)
+    return _of_documents(lambda a, b: _report_text(P.create_report(a, b, checked)), doc, transformed, permissive=permissive)
 
 
 def verify_privacy(data: Column, report: Column) -> Column:
     """Struct {ok, code, message, fieldPaths}."""
 
-    @F.pandas_udf("ok boolean, code string, message string, fieldPaths array<string>")
-    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = [{} if x is None or y is None else P.verify_result({"data": parse(x), "report": parse(y)}) for x, y in zip(a, b)]
-        keys = ["ok", "code", "message", "fieldPaths"]
-        return pd.DataFrame([{k: r.get(k) for k in keys} for r in rows], columns=keys, dtype=object)
+    def one(x, y):
+        return {} if x is None or y is None else P.verify_result({"data": parse(x), "report": parse(y)})
 
-    return run(data, report)
+    return _function("ok boolean, code string, message string, fieldPaths array<string>", one, data, report)
 
 
-def create_private_packet(doc: Column, policy: dict, *, packet_options: dict | None = None, **options) -> Column:
+def create_private_packet(doc: Column, policy: dict, *, packet_options: dict | None = None, permissive: bool = False, **options) -> Column:
     """Packet struct, privacy report and error of protect-then-pack, in one function."""
     checked = validate_policy(policy)
 
-    @F.pandas_udf(PACKET + ", error string, privacy string")
-    def run(a: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x in a:
-            row = {}
-            if x is not None:
-                out = P.create_private_packet(parse(x), checked, packet_options, **options)
-                row = {**_packet_row(out["packet"]), "privacy": json.dumps(out["privacy"], ensure_ascii=False, separators=(",", ":"))}
-            rows.append(row)
-        keys = [*_PACKET_FIELDS, "error", "privacy"]
-        return pd.DataFrame([{k: r.get(k) for k in keys} for r in rows], columns=keys, dtype=object)
-
-    return run(doc)
+    def one(x):
+        if x is None:
+            return {}
+        try:
+            out = P.create_private_packet(parse(x), checked, packet_options, **options)
+            return {**_packet_row(out["packet"]), "privacy": _report_text(out["privacy"])}
+        except FAULTS as e:
+            if not permissive:
+                raise
+            return {"error": e.code if isinstance(e, PrivacyError) else str(e)}
 
+    return _function(PACKET + ", error string, privacy string", one, doc)
 
-def residual_scan(doc: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(a: pd.Series) -> pd.Series:
-        return a.map(lambda x: None if x is None else D.residual_pattern_scan(parse(x)))
 
-    return run(doc)
+def residual_scan(doc: Column, permissive: bool = False) -> Column:
+    return _of_documents(D.residual_pattern_scan, doc, returns="array<string>", permissive=permissive)
 
 
-def leaves(doc: Column) -> Column:
+def leaves(doc: Column, permissive: bool = False) -> Column:
     """Array of {path, value}: value is the leaf's canonical text."""
-
-    @F.pandas_udf("array<struct<path:string,value:string>>")
-    def run(a: pd.Series) -> pd.Series:
-        return a.map(lambda x: None if x is None else [{"path": p, "value": canonical_text(v)} for p, v in shape.flatten_leaves(parse(x)).items()])
-
-    return run(doc)
+    return _of_documents(lambda d: [{"path": p, "value": canonical_text(v)} for p, v in shape.flatten_leaves(d).items()], doc, returns="array<struct<path:string,value:string>>", permissive=permissive)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,26 +31,26 @@ def register(spark: SparkSession) -> list[str]:
         "apply_delta": lambda a, b: canonical_text(delta.apply_delta(a, b)),
     }
     for name, f in one.items():
-        spark.udf.register(name, _series_udf(f, 1))
+        spark.udf.register(name, _text_udf(f, 1))
     for name, f in two.items():
-        spark.udf.register(name, _series_udf(f, 2))
+        spark.udf.register(name, _text_udf(f, 2))
     spark.udtf.register("detect_pii", DetectPii)
     spark.udtf.register("json_leaves", JsonLeaves)
     return [*one, *two, "detect_pii", "json_leaves"]
 
 
-def _series_udf(f, args: int):
+def _text_udf(f, args: int):
     if args == 1:
 
-        @F.pandas_udf("string")
-        def run(a: pd.Series) -> pd.Series:
-            return a.map(lambda x: None if x is None else f(parse(x)))
+        @F.arrow_udf("string")
+        def run(a: pa.Array) -> pa.Array:
+            return pa.array([None if x is None else f(parse(x)) for x in a.to_pylist()], pa.string())
 
         return run
 
-    @F.pandas_udf("string")
-    def run2(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(parse(x), parse(y)) for x, y in zip(a, b)], dtype=object)
+    @F.arrow_udf("string")
+    def run2(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([None if x is None or y is None else f(parse(x), parse(y)) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.string())
 
     return run2
 
