@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import unicodedata
+import functools
+import json
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.codec import decompress_text
 from ..functions.constants import DEFAULT_DICTIONARY, DEFAULT_REVERSE
 from ..operators import columns as X
 from ..operators import documents as Doc
 from ..operators import lifts as L
 from ..operators import typed_privacy as TP
-from ..privacy.detect import CARD
+from ..privacy import detect as D
+from ..sources import generators
+from ..sources.tables import spread
 
 AT = "2026-01-01T00:00:00.000Z"
 #: Secrets of the test queries; production callers pass their own.
 TOKEN_SECRET, HMAC_SECRET = "query-token-secret-0123456789", "query-hmac-secret-9876543210"
-EVENT = ["event_id", "event_type", "ts", "user_id"]
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -41,10 +41,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-TS = "strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
-LONG = f"""'{{"event_id":' || event_id || ',"event_type":"' || event_type || '","ts":"' || {TS} || '","user_id":' || user_id || '}}'"""
-SHORT = f"""'{{"et":"' || event_type || '","event_id":' || event_id || ',"ts":"' || {TS} || '","uid":' || user_id || '}}'"""
-ESCAPED = r"""replace(replace(props, '\', '\\'), '"', '\"')"""
+def _json(column: str) -> str:
+    return f"CAST(to_json({column}) AS VARCHAR)"
+
+
+def _number(column: str) -> str:
+    """Text of a double of ordinary size, as JSON writes it."""
+    return f"regexp_replace(CAST({column} AS VARCHAR), '\\.0$', '')"
+
+
+def _object(**fields: str) -> str:
+    """SQL of a JSON object's text, keys in the given order; values are SQL of their texts."""
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in fields.items()) + " || '}'"
+
+
+TS = """'"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z"'"""
+_EVENT = {"event_type": _json("event_type"), "event_id": "event_id", "props": _json("props"), "ts": TS, "user_id": "user_id", "value": _number("value")}
+LONG = _object(event_id=_EVENT["event_id"], event_type=_EVENT["event_type"], props=_EVENT["props"], ts=TS, user_id="user_id", value=_EVENT["value"])
+SHORT = _object(et=_EVENT["event_type"], event_id=_EVENT["event_id"], props=_EVENT["props"], ts=TS, uid="user_id", value=_EVENT["value"])
 
 
 def _inner(root: str) -> str:
@@ -54,18 +68,42 @@ def _inner(root: str) -> str:
 # --- canonical text, keys, packets -----------------------------------------------------
 
 
-@query(f"""SELECT event_id, '{{"event_id":' || event_id || ',"event_type":"' || event_type || '","props":"' || {ESCAPED} || '","ts":"' || {TS} || '","user_id":' || user_id || '}}' AS doc FROM events""")
+@query(f"SELECT event_id, {LONG} AS doc FROM events")
 def canonical_json_events(spark, d):
-    df = table(spark, d, "events").drop("value")
+    df = table(spark, d, "events")
     return df.select("event_id", X.document_json(df).alias("doc"))
 
 
 @query(f"SELECT event_id, {SHORT} AS doc FROM events")
 def compact_keys_events(spark, d):
-    df = table(spark, d, "events").select(*EVENT)
+    df = table(spark, d, "events")
     return df.select("event_id", X.document_json(df, compact=True).alias("doc"))
 
 
+NUMBERS = ["1e21", "1e20", "-1e-7", "0.000001", "1.5e300", "-0.0", "123456789012345680000", "5e-324", "0.1", "100", "-2.50", "9007199254740993"]
+NUMBER_TEXTS = ["1e+21", "100000000000000000000", "-1e-7", "0.000001", "1.5e+300", "0", "123456789012345680000", "5e-324", "0.1", "100", "-2.5", "9007199254740992"]
+
+
+@query(f"SELECT event_id, {NUMBER_TEXTS!r}[(event_id % {len(NUMBERS)} + 1)::INT] AS typed, {NUMBER_TEXTS!r}[(event_id % {len(NUMBERS)} + 1)::INT] AS dynamic FROM events")
+def number_text(spark, d):
+    """Layout of doubles, by a typed column and by parsing JSON."""
+    text = F.get(F.array(*map(F.lit, NUMBERS)), (F.col("event_id") % len(NUMBERS)).cast("int"))
+    x = text.cast("double")
+    return table(spark, d, "events").select("event_id", X.canonical_json(x, T.DoubleType()).alias("typed"), Doc.canonicalize(text).alias("dynamic"))
+
+
+MAPPED = """'{"' || (event_id % 5) || '":"' || user_id || '","10":"x",' || CASE WHEN event_type < 'uid' THEN '"' || event_type || '":null,"uid":"true"}' ELSE '"uid":"true","' || event_type || '":null}' END"""
+
+
+@query(f"SELECT event_id, {MAPPED} AS doc FROM events")
+def map_documents(spark, d):
+    """Documents of map columns: index keys by number, then names, renamed by the dictionary."""
+    keys = F.array(F.lit("10"), F.col("event_type"), F.lit("user_id"), (F.col("event_id") % 5).cast("string"))
+    values = F.array(F.lit("x"), F.lit(None), F.lit("true"), F.col("user_id").cast("string"))
+    doc = X.canonical_json(F.col("m"), T.MapType(T.StringType(), T.StringType()), DEFAULT_DICTIONARY)
+    return table(spark, d, "events").select("event_id", F.map_from_arrays(keys, values).alias("m")).select("event_id", doc.alias("doc"))
+
+
 @query("SELECT event_id, event_type AS et, user_id AS uid, event_type, user_id FROM events")
 def compact_expand_struct(spark, d):
     df = table(spark, d, "events")
@@ -75,21 +113,25 @@ def compact_expand_struct(spark, d):
     return back.select("event_id", "s.et", "s.uid", "b.event_type", "b.user_id")
 
 
-@query(f"SELECT event_id, {LONG} AS doc FROM events")
+EXPANDED = _object(event_id="event_id", event_type=_EVENT["event_type"], payload=_EVENT["props"], person="user_id", timestamp=TS, value=_EVENT["value"])
+
+
+@query(f"SELECT event_id, {EXPANDED} AS doc FROM events")
 def expand_keys_dynamic(spark, d):
-    df = table(spark, d, "events").select(*EVENT)
-    return df.select("event_id", Doc.expand(X.document_json(df, compact=True), {"event_time": "zz"}).alias("doc")).withColumn("doc", F.replace("doc", F.lit('"timestamp":'), F.lit('"ts":'))).select("event_id", Doc.canonicalize(F.col("doc")).alias("doc"))
+    """Short names of the default dictionary and of a custom one, at their long forms again."""
+    df = spread(table(spark, d, "events")).withColumnsRenamed({"user_id": "uid2", "props": "pl"})
+    return df.select("event_id", Doc.expand(X.document_json(df, compact=True), {"person": "uid2", "payload": "pl"}).alias("doc"))
 
 
 @query(f"SELECT event_id, sha256({_inner(SHORT)}) AS packet_hash, substr(sha256({_inner(SHORT)}), 1, 16) AS packet_id FROM events")
 def packet_hash_events(spark, d):
-    df = table(spark, d, "events").select(*EVENT)
+    df = table(spark, d, "events")
     digest = F.sha2(X.envelope_json(X.document_json(df, compact=True)).cast("binary"), 256)
     return df.select("event_id", digest.alias("packet_hash")).withColumn("packet_id", F.substring("packet_hash", 1, 16))
 
 
 def event_packets(spark, d) -> DataFrame:
-    df = table(spark, d, "events").select(*EVENT)
+    df = table(spark, d, "events")
     return df.select("event_id", X.flat_packet(X.document_json(df, compact=True), AT).alias("packet"))
 
 
@@ -98,62 +140,138 @@ def packet_none_payload(spark, d):
     return event_packets(spark, d).select("event_id", "packet.payload", F.col("packet.compression.raw_bytes").cast("int").alias("raw_bytes"))
 
 
-@query(f"SELECT o_orderkey, sha256({_inner("'{\"o_custkey\":' || o_custkey || ',\"o_orderkey\":' || o_orderkey || ',\"o_orderpriority\":\"' || o_orderpriority || '\",\"o_orderstatus\":\"' || o_orderstatus || '\"}'")}) AS packet_hash FROM orders")
-def create_packet_dynamic(spark, d):
-    df = table(spark, d, "orders")
-    doc = X.document_json(df, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
-    return df.select("o_orderkey", Doc.create_packet(doc, created_at=AT, compression="zlib")["packet_hash"].alias("packet_hash"))
+ORDER = _object(o_custkey="o_custkey", o_orderdate="""'"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') || '"'""", o_orderkey="o_orderkey", o_orderpriority=_json("o_orderpriority"), o_orderstatus=_json("o_orderstatus"), o_totalprice=_number("o_totalprice"))
 
 
-@query("SELECT event_id, event_id % 10 <> 0 AS verified FROM events")
+@query(f"SELECT o_orderkey, sha256({_inner(ORDER)}) AS packet_hash FROM orders")
+def create_packet_dynamic(spark, d):
+    df = spread(table(spark, d, "orders"))
+    return df.select("o_orderkey", Doc.create_packet(X.document_json(df), created_at=AT, compression="zlib")["packet_hash"].alias("packet_hash"))
+
+
+def _mutated(p, n):
+    """A packet with one of twelve changes by n; none at 0. All but the last two must be found: these
+    touch what is outside the hash."""
+    text = F.decode(F.unbase64(p["payload"]), "UTF-8")
+
+    def inner(old, new):
+        changed = F.replace(text, F.lit(old), F.lit(new))
+        size = F.octet_length(changed).cast("long")
+        return p.withField("payload", X.base64_text(changed)).withField("compression.raw_bytes", size).withField("compression.compressed_bytes", size)
+
+    changes = [
+        p.withField("payload", F.concat(F.expr("left(packet.payload, length(packet.payload) - 4)"), F.lit("AAAA"))),
+        p.withField("payload", F.substring(p["payload"], 1, 8)),
+        p.withField("packet_hash", F.concat(F.translate(F.substring(p["packet_hash"], 1, 1), "0123456789abcdef", "123456789abcdef0"), F.substring(p["packet_hash"], 2, 63))),
+        p.withField("spec_version", F.lit("99")),
+        p.withField("ip_version", F.lit("99")),
+        p.withField("compression.method", F.lit("zlib")),
+        p.withField("compression.raw_bytes", p["compression"]["raw_bytes"] + 1),
+        p.withField("compression.compressed_bytes", p["compression"]["compressed_bytes"] + 1),
+        inner('"refs":{}', '"refs":{"injected":{"ok":false}}'),
+        inner('"root":{', '"root":{"__ip_ref":"r9999","z":{'),
+        inner('"delta":null', '"delta":{"changed":true}'),
+        p.withField("refs", F.lit('{"r0":{"forged":true}}')),
+        p.withField("created_at", F.lit("2030-01-01")).withField("metadata", F.lit('{"title":"other"}')),
+    ]
+    out = F
+    for i, c in enumerate(changes, 1):
+        out = out.when(n == i, c)
+    return out.otherwise(p)
+
+
+@query("SELECT event_id, event_id % 14 IN (0, 12, 13) AS verified FROM events")
 def verify_tampered(spark, d):
-    """Every tenth payload holds another document than the one that was hashed."""
-    df = event_packets(spark, d)
-    other = X.base64_text(F.replace(F.decode(F.unbase64("packet.payload"), "UTF-8"), F.lit('"uid":'), F.lit('"uie":')))
-    packet = F.when(F.col("event_id") % 10 == 0, F.col("packet").withField("payload", other)).otherwise(F.col("packet"))
-    return df.select("event_id", Doc.verify_packet(packet).alias("verified"))
+    """A matrix of mutations: those of what the hash covers are found, provenance may change."""
+    df = spread(event_packets(spark, d))
+    return df.select("event_id", Doc.verify_packet(_mutated(F.col("packet"), F.col("event_id") % 14)).alias("verified"))
+
 
+BAD_SHELLS = {
+    "packet_id": "0" * 16, "ip_version": "2", "encoding": "json", "refs": '{"x1":{}}', "delta": "[1]", "metadata": '{"title":"t","owner":"x"}', "created_at": "x" * 129,
+}
 
-@query("SELECT event_id, event_id % 7 <> 0 AS well_formed FROM events")
+
+@query(f"SELECT event_id, event_id % {len(BAD_SHELLS) + 1} = 0 AS typed, event_id % {len(BAD_SHELLS) + 1} = 0 AS dynamic FROM events")
 def shell_validation(spark, d):
-    df = event_packets(spark, d)
-    packet = F.when(F.col("event_id") % 7 == 0, F.col("packet").withField("packet_id", F.lit("0" * 16))).otherwise(F.col("packet"))
-    return df.select("event_id", X.shell_valid(packet).alias("well_formed"))
+    df = spread(event_packets(spark, d))
+    packet = F
+    for i, (field, value) in enumerate(BAD_SHELLS.items(), 1):
+        packet = packet.when(F.col("event_id") % (len(BAD_SHELLS) + 1) == i, F.col("packet").withField(field, F.lit(value)))
+    packet = packet.otherwise(F.col("packet").withField("metadata", F.lit('{"labels":["a"],"title":"t"}')))
+    return df.select("event_id", X.shell_valid(packet).alias("typed"), Doc.packet_error(packet).isNull().alias("dynamic"))
+
 
+REPLAYED = _object(event_id="event_id", event_type=_EVENT["event_type"], props=_EVENT["props"], timestamp=TS, user_id="user_id", value=_EVENT["value"])
 
-@query(f"""SELECT event_id, replace({LONG}, '"ts":', '"timestamp":') AS canonical, {SHORT} AS compacted FROM events""")
+
+@query(f"SELECT event_id, {REPLAYED} AS canonical, {SHORT} AS compacted FROM events")
 def replay_roundtrip(spark, d):
-    views = Doc.replay_packet(F.col("packet"))
-    out = event_packets(spark, d).select("event_id", views.alias("v")).select("event_id", "v.canonical", "v.compacted")
-    order = F.regexp_replace("canonical", r'^\{"event_id":(.*),"event_type":(.*),"timestamp":(.*),"user_id":(.*)\}$', r'{"event_id":$1,"event_type":$2,"timestamp":$3,"user_id":$4}')
-    return out.withColumn("canonical", order)
+    """Events of key `ts` come back under the long name that the dictionary gives to it."""
+    views = Doc.replay_packet(F.col("packet"), views=("canonical", "compacted"))
+    return spread(event_packets(spark, d)).select("event_id", views.alias("v")).select("event_id", "v.canonical", "v.compacted")
+
 
+PROPS = "regexp_replace(props, ': ', ':')"
+USER_PACKETS = f"""WITH e AS (SELECT user_id, event_id, event_type, {PROPS} AS p, count(*) OVER (PARTITION BY user_id, {PROPS}) AS n, row_number() OVER (PARTITION BY user_id, {PROPS} ORDER BY event_id) AS k FROM events),
+r AS (SELECT user_id, p, 'r' || (row_number() OVER (PARTITION BY user_id ORDER BY p) - 1) AS id FROM (SELECT DISTINCT user_id, p FROM e WHERE n > 1)),
+t AS (SELECT user_id, '{{' || string_agg('"' || id || '":' || p, ',' ORDER BY id) || '}}' AS refs FROM r GROUP BY user_id),
+b AS (SELECT user_id, string_agg('{{"et":"' || event_type || '","event_id":' || event_id || ',"props":' || CASE WHEN n > 1 AND k > 1 THEN '{{"__ip_ref":"' || id || '"}}' ELSE p END || '}}', ',' ORDER BY event_id) AS body FROM e LEFT JOIN r USING (user_id, p) GROUP BY user_id)
+SELECT user_id, sha256('{{"delta":null,"encoding":"canonical-json","ip_version":"1","refs":' || coalesce(refs, '{{}}') || ',"root":{{"events":[' || body || '],"uid":' || user_id || '}}}}') AS packet_hash, coalesce(refs, '{{}}') AS refs, true AS verified, true AS replayed
+FROM b LEFT JOIN t USING (user_id)"""
 
-@query()
+
+@query(USER_PACKETS)
 def packet_user_documents(spark, d):
     """A document of repeated structures per user: packed, verified and replayed."""
     df = table(spark, d, "events")
     doc = F.to_json(F.struct("user_id", F.sort_array(F.collect_list(F.struct("event_id", "event_type", F.from_json("props", "k int").alias("props")))).alias("events")))
-    packed = df.groupBy("user_id").agg(doc.alias("doc")).withColumn("packet", Doc.create_packet(F.col("doc"), created_at=AT, compression="zlib"))
-    return packed.select("user_id", "packet.packet_hash", "packet.refs", Doc.verify_packet(F.col("packet")).alias("verified"), (Doc.replay_packet(F.col("packet"))["canonical"] == Doc.normalize(F.col("doc"))).alias("replayed"))
+    grouped = df.groupBy("user_id").agg(doc.alias("doc"))
+    return grouped.select("user_id", Doc.audit_packet(F.col("doc"), created_at=AT, compression="zlib").alias("a")).select("user_id", "a.*")
+
+
+TURN = _object(role=_json("role"), text=_json("text"), turn="turn")
+
+
+@query(f"""SELECT conv_id, sha256({_inner(_object(conv_id="conv_id", turns="'[' || turns || ']'"))}) AS packet_hash, leaves FROM (SELECT conv_id, string_agg({TURN}, ',' ORDER BY turn) AS turns, 1 + 3 * count(*) AS leaves FROM conversations GROUP BY conv_id)""")
+def nested_packets(spark, d):
+    """Packets of conversations: arrays of objects, with text in several scripts."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    df = spread(table(spark, d, "conversations")).groupBy("conv_id").agg(F.to_json(F.struct("conv_id", turns.alias("turns"))).alias("doc"))
+    return df.select("conv_id", Doc.create_packet(F.col("doc"), created_at=AT, compression="zlib")["packet_hash"].alias("packet_hash"), F.size(Doc.leaves(F.col("doc"))).cast("long").alias("leaves"))
+
+
+@query(f"""SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"turns":[' || turns || ',{{"role":"x","text":null,"turn":-1}}]}}'
+ ELSE '{{"conv_id":{{"__ip_num_add":1}}}}' END AS patch, true AS same FROM (SELECT conv_id, string_agg({TURN}, ',' ORDER BY turn) AS turns FROM conversations GROUP BY conv_id)""")
+def nested_deltas(spark, d):
+    """Patches of nested documents: none, an array that grew, a number that rose; each applied again."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    more = F.array(F.struct(F.lit(-1).cast("long").alias("turn"), F.lit("x").alias("role"), F.lit(None).cast("string").alias("text")))
+    df = spread(table(spark, d, "conversations")).select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").groupBy("conv_id").agg(turns.alias("turns"))
+    kind = F.col("conv_id") % 3
+    text = lambda c, t: F.to_json(F.struct(c.alias("conv_id"), t.alias("turns")), {"ignoreNullFields": "false"})
+    out = df.select("conv_id", text(F.col("conv_id"), F.col("turns")).alias("a"), text(F.col("conv_id") + F.when(kind == 2, 1).otherwise(0), F.when(kind == 1, F.concat("turns", more)).otherwise(F.col("turns"))).alias("b"))
+    return out.select("conv_id", Doc.diff(F.col("a"), F.col("b")).alias("patch"), (Doc.apply_delta(F.col("a"), Doc.diff(F.col("a"), F.col("b"))) == Doc.canonicalize(F.col("b"))).alias("same"))
 
 
 @query(f"SELECT event_id, 1 - 0.5 AS ratio, round((1 - octet_length(encode({SHORT}))::DOUBLE / octet_length(encode({LONG}))) * 100, 4) AS reduction_pct FROM events".replace("1 - 0.5 AS ratio", f"1 - octet_length(encode({SHORT}))::DOUBLE / octet_length(encode({LONG})) AS ratio"))
 def reduction_ratio(spark, d):
-    df = table(spark, d, "events").select(*EVENT)
+    df = table(spark, d, "events")
     raw, small = F.octet_length(X.document_json(df)), F.octet_length(X.document_json(df, compact=True))
     return df.select("event_id", X.reduction_ratio(raw, small).alias("ratio"), L.reduction_percent(raw, small).alias("reduction_pct"))
 
 
-@query("SELECT doc_id, true AS round_trip, octet_length(encode(text)) AS raw_bytes FROM documents")
+@query("SELECT doc_id, sha256(text) AS text_sha256, octet_length(encode(text)) AS raw_bytes FROM documents")
 def zlib_roundtrip(spark, d):
-    @F.pandas_udf("string")
-    def back(payload: pd.Series, raw: pd.Series, small: pd.Series, ratio: pd.Series) -> pd.Series:
-        rows = zip(payload, raw, small, ratio)
-        return pd.Series([decompress_text(p, {"method": "zlib", "raw_bytes": int(r), "compressed_bytes": int(s), "reduction_ratio": float(x)}) for p, r, s, x in rows])
+    df = spread(table(spark, d, "documents")).select("doc_id", Doc.compress(F.col("text"), "zlib").alias("z"))
+    back = Doc.decompress(F.col("z.payload"), F.col("z"))
+    return df.select("doc_id", F.sha2(back.cast("binary"), 256).alias("text_sha256"), F.col("z.raw_bytes").cast("int").alias("raw_bytes"))
+
 
-    df = table(spark, d, "documents").select("doc_id", "text", Doc.compress(F.col("text"), "zlib").alias("z"))
-    return df.select("doc_id", (back("z.payload", "z.raw_bytes", "z.compressed_bytes", "z.reduction_ratio") == F.col("text")).alias("round_trip"), F.col("z.raw_bytes").cast("int").alias("raw_bytes"))
+@query("SELECT doc_id, octet_length(encode(text)) AS raw_bytes, true AS smaller FROM documents WHERE length(text) > 2000")
+def gzip_baseline(spark, d):
+    df = spread(table(spark, d, "documents").filter(F.length("text") > 2000)).select("doc_id", Doc.baselines(F.col("text")).alias("b"))
+    return df.select("doc_id", F.col("b.raw_bytes").cast("int").alias("raw_bytes"), ((F.col("b.gzip_bytes") < F.col("b.raw_bytes")) & (F.col("b.gzip_reduction_percent") == L.reduction_percent(F.col("b.raw_bytes"), F.col("b.gzip_bytes")))).alias("smaller"))
 
 
 # --- normalization ---------------------------------------------------------------------
@@ -193,19 +311,21 @@ def normalize_dynamic(spark, d):
     return table(spark, d, "events").select("event_id", Doc.normalize(X.json_quote(w)).alias("doc"))
 
 
-@query("SELECT page_id, nfc_normalize(html) AS doc FROM pages")
+@query(f"SELECT page_id, {_json('nfc_normalize(html)')} AS doc FROM pages")
 def normalize_nfc(spark, d):
-    @F.pandas_udf("string")
-    def nfc(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFC", x))
+    return spread(table(spark, d, "pages")).select("page_id", Doc.normalize(X.json_quote(F.col("html"))).alias("doc"))
 
-    return table(spark, d, "pages").select("page_id", nfc("html").alias("doc"))
 
-
-@query("SELECT page_id, NULL::VARCHAR AS error FROM pages")
+@query("""SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'unsafe' WHEN 2 THEN 'depth' WHEN 3 THEN 'key count' WHEN 4 THEN 'json' END AS fault FROM pages""")
 def validate_documents(spark, d):
-    df = table(spark, d, "pages")
-    return df.select("page_id", Doc.document_error(X.document_json(df)).alias("error"))
+    """Pages as documents, four of five spoilt: an unsafe key, arrays 102 deep, 10,001 keys, cut text."""
+    df = spread(table(spark, d, "pages"))
+    doc, kind = X.document_json(df), F.col("page_id") % 5
+    keys = F.concat(F.lit("{"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(10_000)), lambda i: F.concat(F.lit('"k'), i.cast("string"), F.lit('":0'))), ","), F.lit("}"))
+    bad = F.when(kind == 1, F.concat(F.lit('{"a":[{"__proto__":'), doc, F.lit("}]}"))).when(kind == 2, F.concat(F.repeat(F.lit("["), 102), doc, F.repeat(F.lit("]"), 102))).when(kind == 3, keys).when(kind == 4, F.substring(doc, F.lit(1), F.length(doc) - 1)).otherwise(doc)
+    error = Doc.document_error(bad)
+    fault = F.when(error.isNull(), None).when(error.contains("unsafe"), "unsafe").when(error.contains("depth"), "depth").when(error.contains("key count"), "key count").otherwise("json")
+    return df.select("page_id", fault.alias("fault"))
 
 
 # --- dedupe ----------------------------------------------------------------------------
@@ -236,14 +356,28 @@ def expand_refs_join(spark, d):
     return L.expand_rows(flat, refs, "user_id").select("event_id", "expanded")
 
 
-@query("SELECT conv_id, true AS same FROM conversations GROUP BY conv_id")
+@query(f"""WITH t AS (SELECT conv_id, {_object(role=_json("role"), text=_json("substr(text, 1, 1)"))} AS body FROM conversations),
+r AS (SELECT conv_id, body, count(*) AS n FROM t GROUP BY ALL HAVING count(*) > 1)
+SELECT c.conv_id, count(r.body) AS refs, true AS same, coalesce(sum(n) - count(r.body), 0)::BIGINT AS emitted FROM (SELECT DISTINCT conv_id FROM t) c LEFT JOIN r USING (conv_id) GROUP BY c.conv_id""")
 def dedupe_expand_dynamic(spark, d):
-    """Dedupe and expand a document per conversation; equal to the start."""
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    df = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))).alias("doc"))
+    """Turns cut to a letter, so that many are equal: refs made and emitted, and the way back."""
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", F.substring("text", 1, 1).alias("text"))))
+    df = spread(table(spark, d, "conversations")).groupBy("conv_id").agg(F.to_json(F.struct(F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))).alias("doc"))
     out = df.withColumn("doc", Doc.canonicalize(F.col("doc"))).withColumn("dd", Doc.dedupe_document(F.col("doc")))
     root, refs = F.get_json_object("dd", "$.value"), F.get_json_object("dd", "$.refs")
-    return out.select("conv_id", (Doc.expand_references(root, refs) == F.col("doc")).alias("same"))
+    emitted = F.size(F.split(root, '"__ip_ref":')) - 1
+    return out.select("conv_id", F.size(F.json_object_keys(refs)).cast("long").alias("refs"), (Doc.expand_references(root, refs) == F.col("doc")).alias("same"), emitted.cast("long").alias("emitted"))
+
+
+WITH_NULLS = "(SELECT event_id, CASE WHEN user_id % 7 <> 0 THEN user_id END AS user_id, CASE WHEN event_id % 5 <> 0 THEN props END AS props FROM events)"
+
+
+@query(f"""WITH e AS {WITH_NULLS}, r AS (SELECT user_id, props, 'r' || (row_number() OVER (PARTITION BY user_id ORDER BY props) - 1) AS ref_id FROM e WHERE props IS NOT NULL GROUP BY user_id, props HAVING count(*) > 1)
+SELECT e.event_id, count(*) OVER (PARTITION BY e.user_id, e.props) AS n, r.ref_id FROM e LEFT JOIN r ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.props = r.props""")
+def dedupe_nulls(spark, d):
+    """Null documents are a document, null texts have no ref, and no row is lost."""
+    df = table(spark, d, "events").select("event_id", F.when(F.col("user_id") % 7 != 0, F.col("user_id")).alias("user_id"), F.when(F.col("event_id") % 5 != 0, F.col("props")).alias("props"))
+    return L.dedupe_rows(df, "user_id", "event_id", "props").select("event_id", "n", "ref_id")
 
 
 # --- delta -----------------------------------------------------------------------------
@@ -275,15 +409,15 @@ def delta_diff_apply(spark, d):
     df = L.numeric_deltas(_orders(spark, d), "o_custkey", ["o_orderkey"], "cents").filter("previous is not null")
     base = F.to_json(F.struct(F.col("previous").alias("cents"), F.lit("x").alias("gone")))
     nxt = F.to_json(F.struct("cents"))
-    return df.select("o_orderkey", Doc.apply_delta(base, Doc.diff(base, nxt)).alias("rebuilt"))
+    return spread(df).select("o_orderkey", Doc.apply_delta(base, Doc.diff(base, nxt)).alias("rebuilt"))
 
 
 def _spent(spark, d, year):
-    return table(spark, d, "orders").filter(F.year("o_orderdate") == year).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "orders").filter(F.year("o_orderdate") == year).groupBy("o_custkey").agg(F.nullif(F.count(F.lit(1)), F.lit(2).cast("long")).alias("n"))
 
 
-@query("""WITH b AS (SELECT o_custkey, count(*) n FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1), a AS (SELECT o_custkey, count(*) n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1)
-SELECT o_custkey, b.n AS before, a.n AS after, CASE WHEN b.n IS NULL THEN 'added' WHEN a.n IS NULL THEN 'removed' WHEN a.n <> b.n THEN 'changed' ELSE 'same' END AS change FROM b FULL JOIN a USING (o_custkey)""")
+@query("""WITH b AS (SELECT o_custkey, nullif(count(*), 2) n FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1), a AS (SELECT o_custkey, nullif(count(*), 2) n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1)
+SELECT coalesce(b.o_custkey, a.o_custkey) AS o_custkey, b.n AS before, a.n AS after, CASE WHEN b.o_custkey IS NULL THEN 'added' WHEN a.o_custkey IS NULL THEN 'removed' WHEN a.n IS DISTINCT FROM b.n THEN 'changed' ELSE 'same' END AS change FROM b FULL JOIN a ON a.o_custkey = b.o_custkey""")
 def delta_key_changes(spark, d):
     return L.key_changes(_spent(spark, d, 1995), _spent(spark, d, 1996), ["o_custkey"], "n")
 
@@ -307,11 +441,6 @@ EMAIL_SQL = r"regexp_full_match(line, '[^\s@]+@[^\s@]+\.[^\s@]+')"
 PHONE_SQL = r"regexp_matches(line, '\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}\b')"
 
 
-@query(f"SELECT doc_id, count(*) AS n FROM {LINES} WHERE {SSN_SQL} GROUP BY 1")
-def detect_ssn_lines(spark, d):
-    return _line_count(spark, d, "ssn")
-
-
 @query(f"SELECT doc_id, count(*) AS n FROM {LINES} WHERE NOT {SSN_SQL} AND NOT {EMAIL_SQL} AND {PHONE_SQL} GROUP BY 1")
 def detect_phone_lines(spark, d):
     return _line_count(spark, d, "phone")
@@ -323,9 +452,28 @@ def detect_email_tokens(spark, d):
     return words.filter(F.col("line").contains("@") & (X.pattern_category("", F.col("line")) == "email")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""SELECT doc_id, count(*) AS n FROM (SELECT doc_id, regexp_replace(line, '[ \t\r\f\v]+', '', 'g') AS bare, line FROM """ + LINES + r""") WHERE regexp_matches(bare, '\b(?:\d{4}[-\s]?){3}\d{4}\b|\b\d{13,19}\b') GROUP BY 1""")
-def detect_card_lines(spark, d):
-    return _lines(spark, d).filter(F.regexp_replace("line", r"[ \t\r\f\x0b]+", "").rlike(CARD)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+# A made-up value for each customer, by the field name that it is under: what each value is detected as, in
+# both lanes, by its pattern. Values and categories are in one order, taken in turn.
+VALUES = [
+    ("note", "see 123-45-6789 there", "ssn"), ("note", "123-45-67890", None), ("note", "1123-45-6789", None), ("note", "a@b.co", "email"), ("note", "a@b.co\n", None), ("note", "a b@c.de", None),
+    ("note", "\u00a0a@b.co", None), ("note", "call (212) 555-0199 now", "phone"), ("note", "555-01-99", None), ("birth_day", "1990-02-03", "dob"), ("birth_day", "1990-02-03\n", None),
+    ("birth_day_updated", "1990-02-03", None), ("note", "1990-02-03", None), ("my_routing", "021-000-021", "routing"), ("my_routing", "02100002", None), ("aba", "021000021", "routing"),
+    ("my_iban_text", "gb82 west 1234 5698 7654 32", "iban"), ("my_iban_text", "GB8", None), ("card_the_number", "4111 1111 1111 1111", "payment_card"), ("pan", "41111111111111111111", None),
+    ("credit_card_text", "4111\u20031111-1111-1111", "payment_card"), ("note", "41111 11111 11111", None), ("credit_card_text", "x 4111111111111 y", None), ("pan", "4111111111111", "payment_card"),
+]
+CATEGORIES = "[" + ", ".join("NULL" if c is None else f"'{c}'" for _, _, c in VALUES) + "]"
+
+
+@query(f"SELECT c_custkey, {CATEGORIES}[(c_custkey % {len(VALUES)} + 1)::INT] AS typed, {CATEGORIES}[(c_custkey % {len(VALUES)} + 1)::INT] AS dynamic FROM customer")
+def detect_value_kinds(spark, d):
+    """Value patterns of both lanes over values that match and that just do not."""
+    df, k = spread(table(spark, d, "customer")), F.col("c_custkey") % len(VALUES)
+    typed, doc = F, F
+    for i, (field, value, _) in enumerate(VALUES):
+        typed = typed.when(k == i, X.pattern_category(field, F.lit(value)))
+        doc = doc.when(k == i, F.concat(F.lit("{" + json.dumps(field) + ":"), X.json_quote(F.lit(value)), F.lit("}")))
+    found = F.filter(Doc.detect(doc), lambda x: x["detection"] == "pattern")
+    return df.select("c_custkey", typed.alias("typed"), F.get(found, 0)["category"].alias("dynamic"))
 
 
 CONTACT = "'c' || c_custkey || '@example.com'"
@@ -342,15 +490,26 @@ def people(spark, d) -> DataFrame:
         F.concat(s(k % 900 + 100, 3), F.lit("-"), s(k % 90 + 10, 2), F.lit("-"), s(k % 10000, 4)).alias("ssn"), F.col("c_mktsegment").alias("segment"))
 
 
-@query("SELECT * FROM (VALUES ('full_name', 'name'), ('email', 'email'), ('phone', 'phone'), ('ssn', 'ssn')) t(path, category)")
+@query(f"""SELECT * FROM (VALUES {", ".join(f"('work.x_{n}', '{c}')" for n, c in D.FIELD_CATEGORIES.items())}, ('full_name', 'name'), ('email', 'email'), ('phone', 'phone'), ('ssn', 'ssn'), ('seen[].My ZIP', 'zip')) t(path, category)""")
 def detect_field_names(spark, d):
-    rows = [(x["path"], x["category"]) for x in TP.detected_names(people(spark, d).schema)]
+    """All built-in names, at the end of longer ones in a nested field, and names of other writing."""
+    df = people(spark, d).withColumn("work", F.struct(*[F.lit("").alias(f"x_{n}") for n in D.FIELD_CATEGORIES])).withColumn("seen", F.array(F.struct(F.lit("").alias("My ZIP"), F.lit("").alias("ssn2"))))
+    rows = [(x["path"], x["category"]) for x in TP.detected_names(df.schema)]
     return spark.createDataFrame(rows, "path string, category string")
 
 
+@query("SELECT c_custkey, 'a[0].market_segment:market:field_name,a[1].note:ssn:pattern' AS found FROM customer")
+def detect_custom_names(spark, d):
+    """A name of the caller's own, and a value in an array of objects."""
+    df = spread(table(spark, d, "customer"))
+    doc = F.concat(F.lit('{"a":[{"market_segment":"'), F.col("c_mktsegment"), F.lit('"},{"note":"x 123-45-6789"}]}'))
+    hits = F.transform(Doc.detect(doc, {"Market  Segment": "market"}), lambda x: F.concat_ws(":", x["path"], x["category"], x["detection"]))
+    return df.select("c_custkey", F.array_join(hits, ",").alias("found"))
+
+
 @query(f"SELECT c_custkey, 'full_name:name:field_name,email:email:field_name,phone:phone:field_name,ssn:ssn:field_name' AS found FROM {PEOPLE}")
 def detect_dynamic(spark, d):
-    df = people(spark, d)
+    df = spread(people(spark, d))
     doc = F.to_json(F.struct("full_name", "email", "phone", "ssn", "segment"))
     hits = F.transform(Doc.detect(doc), lambda x: F.concat_ws(":", x["path"], x["category"], x["detection"]))
     return df.select("c_custkey", F.array_join(hits, ",").alias("found"))
@@ -359,14 +518,27 @@ def detect_dynamic(spark, d):
 @query(f"SELECT category, detection, count(*) AS n FROM (SELECT unnest([{{'category': 'ssn', 'detection': 'pattern'}}, {{'category': 'email', 'detection': 'pattern'}}, {{'category': 'phone', 'detection': 'pattern'}}], recursive := true) FROM {PEOPLE}) GROUP BY ROLLUP (category, detection)")
 def privacy_report_rollup(spark, d):
     df = people(spark, d)
-    hits = df.select(F.explode(TP.value_hits(df.select("email", "phone", "ssn"))).alias("h")).select("h.category", F.lit("pattern").alias("detection"))
+    plain = df.select("email", "phone", "ssn").toDF("a", "b", "c")
+    hits = plain.select(F.explode(TP.value_hits(plain)).alias("h")).select("h.category", F.lit("pattern").alias("detection"))
     return L.detection_rollup(hits)
 
 
-@query(f"SELECT doc_id FROM documents WHERE {SSN_SQL.replace('line', 'text')}")
+def nested_people(spark, d) -> DataFrame:
+    """Customers with nested notes: in some of them a number that no field name tells of."""
+    note = F.when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("number is "), F.col("ssn"), F.lit("."))).when(F.col("c_custkey") % 4 == 2, F.col("email")).otherwise(F.lit("nothing to see"))
+    history = F.array(F.struct(F.lit("opened").alias("what"), F.array(F.lit("fine"), note).alias("remarks")))
+    df = people(spark, d)
+    return df.select("c_custkey", F.struct(F.col("ssn"), F.struct(F.col("email")).alias("work")).alias("person"), history.alias("history"), F.col("segment"))
+
+
+NESTED_POLICY = {"version": "v1", "redact": ["person.ssn"], "tokenize": ["person.work.email"], "allow": ["c_custkey", "person.ssn", "person.work.email", "segment"]}
+
+
+@query(f"SELECT c_custkey, CASE c_custkey % 4 WHEN 1 THEN 'history[0].remarks[1]' END AS path FROM {PEOPLE}")
 def residual_ssn_scan(spark, d):
-    df = table(spark, d, "documents")
-    return df.filter(F.size(Doc.residual_scan(X.json_quote(F.col("text")))) > 0).select("doc_id")
+    df = spread(nested_people(spark, d))
+    path = F.array_join(Doc.residual_scan(X.document_json(df.drop("person"))), ",")
+    return df.select("c_custkey", path.alias("path")).withColumn("path", F.nullif("path", F.lit("")))
 
 
 @query("SELECT DISTINCT doc_id FROM documents WHERE contains(text, 'License') OR contains(text, 'example.com') OR contains(text, 'password')")
@@ -412,40 +584,86 @@ def protect_remove_deny(spark, d):
 
 @query(f"SELECT c_custkey, {DOCUMENT} AS data, true AS ok, 4 AS transforms FROM ({PROTECTED})")
 def protect_dynamic(spark, d):
-    df = people(spark, d)
+    df = spread(people(spark, d))
     out = df.select("c_custkey", Doc.protect(X.document_json(df), POLICY, token_secret=TOKEN_SECRET, hmac_secret=HMAC_SECRET).alias("p"))
     return out.select("c_custkey", "p.data", Doc.verify_privacy(F.col("p.data"), F.col("p.report"))["ok"].alias("ok"), F.get_json_object("p.report", "$.transform_count").cast("int").alias("transforms"))
 
 
 @query(f"SELECT c_custkey, sha256({_inner(DOCUMENT)}) AS packet_hash FROM ({PROTECTED})")
 def protect_then_packet(spark, d):
-    df = people(spark, d)
+    df = spread(people(spark, d))
     packed = Doc.create_private_packet(X.document_json(df), POLICY, token_secret=TOKEN_SECRET, hmac_secret=HMAC_SECRET, packet_options={"created_at": AT, "compression": "none"})
     return df.select("c_custkey", packed["packet_hash"].alias("packet_hash"))
 
 
 @query(f"SELECT path, action, count(*) AS n FROM (SELECT unnest([{{'path': 'c_custkey', 'action': 'kept'}}, {{'path': 'email', 'action': 'tokenized'}}, {{'path': 'full_name', 'action': 'hmac'}}, {{'path': 'phone', 'action': 'masked'}}, {{'path': 'segment', 'action': 'removed'}}, {{'path': 'ssn', 'action': 'redacted'}}], recursive := true) FROM {PEOPLE}) GROUP BY ALL")
 def leaf_diff_report(spark, d):
-    df = people(spark, d)
+    df = spread(people(spark, d))
     safe = TP.protect(df, POLICY, TOKEN_SECRET, HMAC_SECRET)
     leaf = lambda x: x.select(F.col("c_custkey").alias("id"), F.explode(Doc.leaves(X.document_json(x))).alias("l")).select("id", "l.*")
     return L.leaf_actions(leaf(df), leaf(safe), ["id"]).groupBy("path", "action").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT c_custkey, 'UNHANDLED_PII_FIELD' AS error FROM {PEOPLE}")
+@query("SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'UNHANDLED_PII_FIELD' WHEN 1 THEN 'DANGEROUS_KEY' END AS error FROM customer")
 def fail_closed_quarantine(spark, d):
-    df = people(spark, d)
-    out = Doc.protect(X.document_json(df), {"version": "v1", "redact": ["ssn"]}, permissive=True)
+    df = spread(people(spark, d))
+    third = F.col("c_custkey") % 3
+    more = F.when(third == 0, F.concat(F.lit('"phone":"'), F.col("phone"), F.lit('"'))).when(third == 1, F.lit('"constructor":1')).otherwise(F.lit('"fine":1'))
+    out = Doc.protect(F.concat(F.lit('{"ssn":"'), F.col("ssn"), F.lit('",'), more, F.lit("}")), {"version": "v1", "redact": ["ssn"], "allow": ["ssn", "fine"]}, permissive=True)
     return df.select("c_custkey", out["error"].alias("error"))
 
 
+_NESTED_TOKEN = _digest("person.work.email", "email", TOKEN_SECRET, "tok").replace("tok_person.work.email_", "tok_email_")
+NESTED = f"""'{{"c_custkey":' || c_custkey || ',"history":[{{"remarks":["fine","nothing to see"]}}],"person":{{"ssn":"[REDACTED]","work":{{"email":"' || {_NESTED_TOKEN} || '"}}}},"segment":"' || segment || '"}}'"""
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_custkey % 4 IN (1, 2) THEN 'UNHANDLED_PII_FIELD' ELSE {NESTED} END AS typed, CASE WHEN c_custkey % 4 IN (1, 2) THEN 'UNHANDLED_PII_FIELD' ELSE {NESTED} END AS dynamic FROM {PEOPLE}")
+def protect_nested(spark, d):
+    """Fail-closed on values at any depth, in both lanes: rows with a number or an address in their notes are stopped."""
+    df = spread(nested_people(spark, d))
+    safe = TP.protect(df, NESTED_POLICY, TOKEN_SECRET, error="error", key="c_custkey")
+    typed = safe.select("c_custkey", F.coalesce("error", X.document_json(safe.drop("error"))).alias("typed"))
+    out = Doc.protect(X.document_json(df), NESTED_POLICY, permissive=True, token_secret=TOKEN_SECRET)
+    dynamic = df.select("c_custkey", out.alias("p")).select("c_custkey", F.coalesce("p.error", "p.data").alias("dynamic"))
+    return typed.join(dynamic, "c_custkey")
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'ssn|phone|email|full_name|segment||false' ELSE '||||segment|full_name,email,phone,ssn|true' END AS report FROM {PEOPLE}")
+def inferred_report(spark, d):
+    """What a report says of a protected document, and of one that only lost a field."""
+    df = spread(people(spark, d))
+    doc, done = X.document_json(df), Doc.protect(X.document_json(df), POLICY, token_secret=TOKEN_SECRET, hmac_secret=HMAC_SECRET)["data"]
+    out = df.select("c_custkey", doc.alias("doc"), F.when(F.col("c_custkey") % 2 == 0, done).otherwise(F.to_json(F.struct("c_custkey", "full_name", "email", "phone", "ssn"))).alias("after"))
+    report = Doc.privacy_report(F.col("doc"), F.col("after"), {"version": "v1"})
+    part = lambda k: F.array_join(F.from_json(F.get_json_object("report", f"$.{k}"), "array<string>"), ",")
+    lists = [part(f"fields_{k}") for k in ("redacted", "masked", "tokenized", "hmac", "removed")]
+    seen = F.when(F.col("c_custkey") % 2 == 1, part("unhandled_sensitive_fields")).otherwise("")
+    raw = F.when(F.col("c_custkey") % 2 == 1, F.get_json_object("report", "$.raw_pii_present")).otherwise("false")
+    return out.select("c_custkey", report.alias("report")).select("c_custkey", F.concat_ws("|", *lists, seen, raw).alias("report"))
+
+
+@query("SELECT industry, n, '' AS leaked FROM (VALUES ('healthcare', 500), ('finance', 500), ('hr', 500), ('saas', 500), ('education', 500), ('legal', 500)) t(industry, n)")
+def industry_protection(spark, d):
+    """Generated records of six industries under their policies: no value that was to be hidden is left."""
+    out = []
+    for name, (_, actions) in generators.INDUSTRIES.items():
+        rows = generators.industry_rows(spark, name, 500)
+        hidden = [f for a in actions.values() for f in a]
+        safe = rows.select(Doc.protect(X.document_json(rows), generators.industry_policy(name), token_secret=TOKEN_SECRET, hmac_secret=HMAC_SECRET)["data"].alias("data"), *hidden)
+        leaks = F.filter(F.array(*[F.when(F.col("data").contains(F.col(f)), F.lit(f)) for f in hidden]), lambda x: x.isNotNull())
+        out.append(safe.select(F.lit(name).alias("industry"), F.array_join(leaks, ",").alias("leaked")))
+    return functools.reduce(DataFrame.unionByName, out).groupBy("industry").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("leaked").alias("leaked"))
+
+
 # --- audit and measures ----------------------------------------------------------------
 
 
-@query(f"SELECT event_id FROM events WHERE event_id % 5 = 0")
+@query("SELECT event_id, event_id % 5 <> 0 AS listed FROM events")
 def manifest_audit(spark, d):
     p = event_packets(spark, d).select("event_id", "packet.packet_hash")
-    return L.audit(p, p.filter("event_id % 5 <> 0")).select("event_id")
+    manifest = p.filter("event_id % 5 <> 0")
+    part = lambda x, listed: x.select("event_id", F.lit(listed).alias("listed"))
+    return part(L.audit(p, manifest), False).unionByName(part(L.listed(p, manifest), True))
 
 
 @query("""SELECT event_type, avg(value) AS avg_ms, min(value) AS min_ms, max(value) AS max_ms, quantile_cont(value, 0.5) AS p50_ms, quantile_cont(value, 0.95) AS p95_ms, quantile_cont(value, 0.99) AS p99_ms, 1000 / avg(value) AS ops_per_sec
@@ -455,11 +673,11 @@ def timing_percentiles(spark, d):
     return L.timing_summary(df, "event_type", "value")
 
 
-@query("SELECT count(DISTINCT event_type) AS distinct_types, bool_and(c = 1) AS stable FROM (SELECT event_type, count(*) AS c FROM (SELECT DISTINCT event_type FROM events) GROUP BY 1)")
+@query("""SELECT event_type, sha256('{"a":2.5,"b":{"x":1,"y":null},"event_type":"' || event_type || '"}') AS hash, 1 AS hashes FROM events GROUP BY 1""")
 def hash_stability(spark, d):
-    """Equal documents have one hash, whatever the order of their keys."""
-    df = table(spark, d, "events")
-    one = F.to_json(F.struct("event_type", F.lit(1).alias("b"), F.lit(2).alias("a")))
-    two = F.to_json(F.struct(F.lit(2).alias("a"), F.lit(1).alias("b"), "event_type"))
-    both = df.select("event_type", Doc.content_hash(one).alias("h")).unionByName(df.select("event_type", Doc.content_hash(two).alias("h")))
-    return both.groupBy("event_type").agg(F.count_distinct("h").alias("c")).agg(F.count(F.lit(1)).alias("distinct_types"), F.bool_and(F.col("c") == 1).alias("stable"))
+    """Equal documents have one hash, whatever the order of their keys and the layout of numbers."""
+    df = table(spark, d, "events").select("event_type").distinct()
+    ways = ['{"event_type":"%s","b":{"y":null,"x":1},"a":2.50}', '{"a":25e-1,"b":{"x":1.0,"y":null},"event_type":"%s"}']
+    hashed = [df.select("event_type", Doc.content_hash(F.format_string(w, "event_type")).alias("h")) for w in ways]
+    both = hashed[0].unionByName(hashed[1])
+    return both.groupBy("event_type").agg(F.min("h").alias("hash"), F.count_distinct("h").cast("int").alias("hashes"))
