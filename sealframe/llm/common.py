@@ -5,17 +5,30 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import threading
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Folders that this process made under the shared one, and that are still there.
-_MADE: set[str] = set()
+
+
+class _Made(threading.local):
+    """Folders that this thread made under the shared one, and that are still there."""
+
+    def __init__(self):
+        self.paths: set[str] = set()
+
+
+_MADE = _Made()
+
+
+def made() -> set[str]:
+    return set(_MADE.paths)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
         base = tempfile.mkdtemp(prefix="sealframe-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    _MADE.add(path)
+    _MADE.paths.add(path)
     return path
 
 
@@ -68,22 +81,39 @@ def delete(spark: SparkSession, path: str) -> None:
     at = jvm.org.apache.hadoop.fs.Path(path)
     with contextlib.suppress(Exception):
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _MADE.discard(path)
+    _MADE.paths.discard(path)
 
 
 def delete_table(df: DataFrame) -> None:
     """Remove the folder of a table that written() made."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         delete(df.sparkSession, folder)
-        for path in [p for p in _MADE if p.rsplit("/", 1)[-1] == folder.rsplit("/", 1)[-1]]:
-            _MADE.discard(path)
+        for path in [p for p in made() if p.rsplit("/", 1)[-1] == folder.rsplit("/", 1)[-1]]:
+            _MADE.paths.discard(path)
 
 
-def delete_all(spark: SparkSession, but: tuple[str, ...] = ()) -> None:
-    """Remove all intermediate tables that this process made, but the given folders. Results that
-    are read from them lazily must have been written before."""
-    for path in [p for p in _MADE if p not in but]:
+def _name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def delete_all(spark: SparkSession, paths: set[str], read: DataFrame | None = None) -> None:
+    """Remove the given folders, but those that `read` reads. Other results that are read from them
+    lazily must have been written before."""
+    names = {f.rsplit("/", 2)[-2] for f in read.inputFiles()} if read is not None else set()
+    for path in [p for p in paths if _name(p) not in names]:
         delete(spark, path)
+    release(spark)
+
+
+def alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """The table that make() gives, written; other tables that it wrote on the way are deleted."""
+    before = made()
+    table = make()
+    path = shared_dir(table.sparkSession)
+    out = written(table, path)
+    del table
+    delete_all(out.sparkSession, made() - before - {path})
+    return out
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:

@@ -6,7 +6,7 @@ KEY_BITS bits, and candidates differ in at most BUDGET bits. Candidates are chec
 similarity of their shingle sets, and only pairs of LIKE and more are links.
 
 Two passes find the candidates. First each row meets its neighbours in several sort orders of its
-group; of these a task passes on a spanning forest. Checked, they give parts of rows that are
+group in some of the tables; of these a task passes on a spanning forest. Checked, they give parts of rows that are
 linked. Then the fingerprints of a group form a binary trie that is joined with itself: pairs of nodes
 go down together, differing bits add up, and a pair is dropped if it is over the budget, or if
 all its leaves are in one part already. So all candidates between parts are checked, and a
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, delete_table, free_name, numbered, small_batches, written
+from .common import alone, components, delete_table, free_name, numbered, small_batches, written
 
 WORDS = 4
 BITS = 64 * WORDS
@@ -42,6 +42,8 @@ LIKE = 0.8
 #: Similarity 0.8 has 38 differing bits, with a deviation of 6.
 BUDGET = 56
 TABLES = 40
+#: Neighbours are looked for in every so many-th table.
+NEIGHBOUR_STEP = 5
 KEY_BITS = 16
 GROUP_ROWS = 1_500
 #: Pairs of rows of one group that are worked on at once.
@@ -102,13 +104,13 @@ def _columns(b: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
     return [b.column(n).to_numpy() for n in names]
 
 
-def _tabled(slim: bool):
-    """Each row (rep, part, f0 …) under its group in every table; slim: the groups alone."""
+def _tabled(tables: range, slim: bool):
+    """Each row (rep, part, f0 …) under its group in some tables; slim: the groups alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.stack(_columns(b, _FPS), axis=1).view(np.uint64)
-            for t in range(TABLES):
+            for t in tables:
                 g = pa.array(keys(fps, t))
                 if slim:
                     yield pa.RecordBatch.from_arrays([g], names=["g"])
@@ -253,9 +255,9 @@ def candidates(distinct: DataFrame, nearest: bool = False) -> DataFrame:
     """Pairs (a, b), a < b, of reps of distinct fingerprints (rep, part, f0 …): nearest: spanning
     forests of neighbours; else all of different parts within the budget."""
     spark = distinct.sparkSession
-    rows = distinct.select("rep", "part", *_FPS)
-    sizes = rows.mapInArrow(_tabled(True), "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS)
-    cut = rows.mapInArrow(_tabled(False), f"g long, rep long, part long, {_FP_TYPES}").join(written(sizes), "g", "left").withColumn("parts", F.ceil(2 * F.col("n") / GROUP_ROWS))
+    rows, tables = distinct.select("rep", "part", *_FPS), range(0, TABLES, NEIGHBOUR_STEP if nearest else 1)
+    sizes = rows.mapInArrow(_tabled(tables, True), "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS)
+    cut = rows.mapInArrow(_tabled(tables, False), f"g long, rep long, part long, {_FP_TYPES}").join(written(sizes), "g", "left").withColumn("parts", F.ceil(2 * F.col("n") / GROUP_ROWS))
     own = F.pmod(F.xxhash64("rep"), F.col("parts"))
     spread = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.xxhash64("g", F.least(own, q), F.greatest(own, q)))
     keyed = cut.withColumn("g", F.explode(F.when(F.col("n").isNull(), F.array("g")).otherwise(spread))).drop("n", "parts")
@@ -306,6 +308,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     small_batches(df.sparkSession)
     row = free_name(df, "row_number")
     rows = numbered(df, row)
+    return rows, alone(lambda: _classes(rows, row, doc_id, text, like)), row
+
+
+def _classes(rows: DataFrame, row: str, doc_id: str, text: str, like: float) -> DataFrame:
     ids = F.col(doc_id).cast("long")
     prints = written(rows.select(F.col(row).alias("row"), ids.alias("id"), F.col(text).alias("text")).mapInArrow(_prints, f"row long, id long, {_FP_TYPES}"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
@@ -318,8 +324,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     classes = reps.join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     firsts = classes.groupBy("component").agg(F.min("least").alias("first"))
     classes = written(classes.join(firsts, "component").select(*_FPS, "first"))
-    out = prints.join(classes, _FPS).select("row", F.col("first.id").alias("component_id"), F.col("first.row").alias("first"))
-    return rows, out, row
+    return prints.join(classes, _FPS).select("row", F.col("first.id").alias("component_id"), F.col("first.row").alias("first"))
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", like: float = LIKE) -> DataFrame:

@@ -70,11 +70,15 @@ def test_run_keeps_what_it_should(spark, sf):
 
 
 def test_rows_of_one_id_are_judged_one_by_one(spark, sf):
-    good, bad = corpus()[0][0], corpus()[0][160]
-    docs = spark.createDataFrame([good, (good[0], bad[1], "en", "a", 1), (None, bad[1], None, None, None), (None, good[1] + " more", None, None, None)], SCHEMA)
+    rows = corpus()[0]
+    good, bad = rows[0], rows[160]
+    odd = [(good[0], bad[1], "en", "a", 1), (None, bad[1], None, None, None), (None, good[1] + " more", None, None, None)]
+    docs = spark.createDataFrame(rows + odd, SCHEMA)
     out = corpus_pipeline.quality_classifier(spark, docs, sf)
-    assert sorted(r.text for r in out.collect()) == sorted([good[1], good[1] + " more"])
-    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, out, sf).collect()] == [good[0]]
+    kept = [(r.doc_id, r.text) for r in out.collect()]
+    assert (good[0], good[1]) in kept and (None, good[1] + " more") in kept and bad[1] not in [t for _, t in kept]
+    first = out.filter(F.col("text").startswith(good[1][:40]))
+    assert first.count() >= 2 and [r.doc_id for r in corpus_pipeline.near_dedup(spark, first, sf).collect()] == [good[0]]
 
 
 def test_stages_stand_odd_rows_and_names(spark, sf):

@@ -64,10 +64,10 @@ def test_components_match_brute_force(spark, monkeypatch, group_rows):
 
 def test_rows_without_id_link_others(spark, monkeypatch):
     """Fingerprints 0, 3 and 15: the middle one has a null id."""
-    prints = spark.createDataFrame([(1, 0), (None, 3), (2, 15), (None, 1 << 40)], "doc_id long, fp long")
+    prints = spark.createDataFrame([(1, 0), (None, 3), (2, 15), (None, 15 << 40)], "doc_id long, fp long")
     monkeypatch.setattr(simhash, "fingerprints", lambda *a: prints)
     got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(prints).collect()}
-    assert got == {(1, 0): 1, (None, 3): 1, (2, 15): 1, (None, 1 << 40): None}
+    assert got == {(1, 0): 1, (None, 3): 1, (2, 15): 1, (None, 15 << 40): None}
 
 
 def test_edge_cases(spark):
