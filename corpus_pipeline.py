@@ -7,11 +7,13 @@ columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealframe.llm import bpe, mixing, quality, simhash_wide, substrings
-from sealframe.llm.common import delete_all, shared_dir, written
+from sealframe.llm.common import delete_all, made, shared_dir, written
 from sealframe.llm.queries import label_weights, rank_weight, vocabulary
 
 #: SQL has neither the classifier nor XXH64; tests compare with a brute-force version.
@@ -74,20 +76,33 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("near_dedup", near_dedup),
-    ("substring_dedup", substring_dedup),
-    ("mix_sources", mix_sources),
-    ("encode", encode),
-]
+#: Tables that stages wrote on the way to results that are written by the time the next one starts.
+_left: set[str] = set()
+
+
+def _alone(stage):
+    """A stage that first deletes what earlier ones wrote on the way; what `docs` itself reads stays."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        delete_all(spark, _left, read=docs)
+        _left.intersection_update(made())
+        before = made()
+        out = stage(spark, docs, sf_dir)
+        _left.update(made() - before)
+        return out
+
+    return run_stage
+
+
+STAGES = [(stage.__name__, _alone(stage)) for stage in (quality_classifier, near_dedup, substring_dedup, mix_sources, encode)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the last stage. What the stages wrote on the way is deleted."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), made()
     for _, stage in STAGES:
         path = shared_dir(spark)
         docs = written(stage(spark, docs, sf_dir), path)
-        delete_all(spark, but=(path,))
+    delete_all(spark, made() - before - {path})
     return docs
