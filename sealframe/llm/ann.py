@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, written
+from .common import alone, numbered, written
 
 WIDTH = 1.5
 TABLES = 2
@@ -251,6 +251,10 @@ def _search(asked: DataFrame, queries: DataFrame, index: DataFrame, k: int) -> D
 
 def search(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest found. is_query: over vec_id."""
+    return alone(lambda: _nearest_found(df, is_query, k, vec_id, embedding))
+
+
+def _nearest_found(df: DataFrame, is_query: Column, k: int, vec_id: str, embedding: str) -> DataFrame:
     rows = clean(df, vec_id, embedding)
     place = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id", "row"))
     same = rows.withColumn("n", place).filter(F.col("n") <= k + 1).groupBy("vec").agg(F.min("row").alias("rep"), F.min("vec_id").alias("vid"), F.collect_list(F.struct("vec_id", "row")).alias("rows"))

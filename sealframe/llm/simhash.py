@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, written
+from .common import alone, components, written
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -181,6 +181,10 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every document: the smallest id reachable by links."""
+    return alone(lambda: _components(df, doc_id, text, shingle))
+
+
+def _components(df: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     prints = written(fingerprints(df, doc_id, text, shingle))
     least = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(links(least.select("fp")))
