@@ -84,8 +84,11 @@ def object_text(v: dict, text) -> str:
 
 def canonical_text(v) -> str:
     """Canonical JSON text of a tree of dict, list, str, number, bool and None."""
-    if isinstance(v, str):
+    kind = type(v)
+    if kind is str:
         return string_text(v)
+    if kind is int and -(2**53) <= v <= 2**53:
+        return str(v)
     if isinstance(v, dict):
         return object_text(v, canonical_text)
     if isinstance(v, list):

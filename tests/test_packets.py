@@ -95,3 +95,38 @@ def test_delta():
     assert S.diff_documents(base, nxt, "gone")["b"] == {"d": "gone"}
     assert S.create_packet(nxt, base=base)["delta"] is not None and S.create_packet(base, base=base)["delta"] is None
     assert parse('{"a":1,"a":2}') == {"a": 2}
+
+
+def test_equality_and_json_limits():
+    from sealframe.functions import limits
+
+    same = [({"a": [1, 2.0]}, {"a": [1.0, 2]}, True), (0.0, -0.0, False), (float("nan"), float("nan"), True), (True, 1, False), (None, None, True), ({"a": 1}, {"b": 1}, False), ([1], [1, 2], False), ("a", "a", True)]
+    assert [limits.deep_equal(a, b) for a, b, _ in same] == [want for _, _, want in same]
+    limits.assert_json_compatible({"a": [2**53 - 1, "x", None]})
+    with pytest.raises(S.PacketError):
+        limits.assert_json_compatible({"a": [2**53]})
+    for bad in ({1: 2}, {"a": {1, 2}}, [object()], {"a": {"constructor": 1}}):
+        with pytest.raises(S.PacketError):
+            limits.validate_document(bad)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_every_change_of_a_packet_is_found(seed):
+    """Any other byte of the payload, and any other field that the hash covers."""
+    r = random.Random(seed)
+    p = S.create_packet(random_doc(r), created_at="t", compression=r.choice(["none", "zlib"]))
+    at = r.randrange(len(p["payload"].rstrip("=")) - 1)
+    other = r.choice([c for c in "abcXYZ019+/" if c != p["payload"][at]])
+    assert not S.verify_packet({**p, "payload": p["payload"][:at] + other + p["payload"][at + 1 :]})
+    assert S.verify_packet({**p, "created_at": "u"}) and not S.verify_packet({**p, "packet_id": "f" * 16})
+    with pytest.raises(S.PacketError):
+        S.replay_packet({**p, "packet_hash": "0" * 64, "packet_id": "0" * 16})
+
+
+def test_views_are_the_same_alone_and_together():
+    from sealframe.functions.packet import VIEWS
+
+    for seed in range(30):
+        p = S.create_packet(random_doc(random.Random(seed)), created_at="t", compression="none")
+        every = S.replay_packet(p)
+        assert all(S.replay_packet(p, views=(v,)) == {v: every[v]} for v in VIEWS)
