@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -135,6 +135,17 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return written(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+#: Bytes of a table up to which it is broadcast, so that texts need not be dealt out anew.
+BROADCAST_BYTES = 16_000_000
+
+
+def joined(rows: DataFrame, few: DataFrame, on: str | Column | list, how: str, row_bytes: Column | int = 16) -> DataFrame:
+    """rows joined with a written table, which is broadcast if its size, row_bytes summed, is small,
+    and else shuffled with the rows."""
+    size = few.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return rows.join(F.broadcast(few) if size <= BROADCAST_BYTES else few, on, how)
+
+
 #: Edges that a task contracts at once.
 _EDGES = 200_000
 

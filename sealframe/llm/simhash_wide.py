@@ -5,17 +5,19 @@ Fingerprints have 256 bits; texts whose sets of five-word shingles have a simila
 KEY_BITS bits, and candidates differ in at most BUDGET bits. Candidates are checked by the exact
 similarity of their shingle sets, and only pairs of LIKE and more are links.
 
-Two passes find the candidates. First each row meets its neighbours in several sort orders of its
-group in some of the tables; of these a task passes on a spanning forest. Checked, they give parts of rows that are
-linked. Then the fingerprints of a group form a binary trie that is joined with itself: pairs of nodes
-go down together, differing bits add up, and a pair is dropped if it is over the budget, or if
-all its leaves are in one part already. So all candidates between parts are checked, and a
-large group of near copies costs about its rows.
-
-Groups above GROUP_ROWS are dealt into parts, and each row goes to every pair of parts that has
-its own, so no candidate is lost; the rows of such a group grow with its square over GROUP_ROWS. Whether two
-texts meet does not depend on other rows; a pair at similarity 0.8 meets with a probability of
-about 0.9, more similar ones nearly always.
+Candidates are found as parts. In a task each row meets its neighbours in several sort orders of its group;
+then the group's fingerprints form a binary trie that is joined with itself: pairs of nodes go
+down together, differing bits add up, and a pair is dropped if it is over the budget, or if
+all its leaves are in one part already. A task passes on a spanning forest of what it found, so a large
+group of near copies costs about its rows. Components of the forests are the candidate parts, and in each
+part the shingle sets of all pairs within the budget, that links do not join already, are compared;
+a task passes on a spanning forest of the links. So rows that are alike are found whether they met
+themselves or over others, and no pair leaves a task but as a link of a forest.
+
+Groups above GROUP_ROWS, and parts above PART_ROWS, are dealt into blocks, and each row goes to every pair of
+blocks that has its own, so nothing is lost; the rows of such a group grow with its square over
+that number. Whether two texts meet does not depend on other rows but that these may join them;
+a pair at similarity 0.8 meets with a probability of about 0.9, more similar ones nearly always.
 
 Cases: null and empty texts are alike; fewer words than a shingle make one shingle of all; every
 row counts, with its own number, whether its id is null or repeated; of a component the row with the
@@ -30,10 +32,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import alone, components, delete_table, free_name, numbered, small_batches, written
+from .common import alone, components, free_name, joined, numbered, small_batches, written
+from .simhash import forest
 
 WORDS = 4
 BITS = 64 * WORDS
@@ -42,10 +45,9 @@ LIKE = 0.8
 #: Similarity 0.8 has 38 differing bits, with a deviation of 6.
 BUDGET = 56
 TABLES = 40
-#: Neighbours are looked for in every so many-th table.
-NEIGHBOUR_STEP = 5
 KEY_BITS = 16
 GROUP_ROWS = 1_500
+PART_ROWS = 1_000
 #: Pairs of rows of one group that are worked on at once.
 _PAIRS = 2_000_000
 _CHUNK = 40_000
@@ -101,16 +103,16 @@ def keys(fps: np.ndarray, table: int) -> np.ndarray:
 
 
 def _columns(b: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
-    return [b.column(n).to_numpy() for n in names]
+    return [b.column(n).to_numpy(zero_copy_only=False) for n in names]
 
 
-def _tabled(tables: range, slim: bool):
-    """Each row (rep, part, f0 …) under its group in some tables; slim: the groups alone."""
+def _tabled(slim: bool):
+    """Each row (rep, f0 …) under its group in every table; slim: the groups alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.stack(_columns(b, _FPS), axis=1).view(np.uint64)
-            for t in tables:
+            for t in range(TABLES):
                 g = pa.array(keys(fps, t))
                 if slim:
                     yield pa.RecordBatch.from_arrays([g], names=["g"])
@@ -201,49 +203,55 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
         yield first, at
 
 
-def _pairs(nearest: bool):
-    """Rows (g, rep, part, f0 …) sorted by g, to candidate pairs of reps of different parts: of
-    neighbours a spanning forest, or all by the trie."""
-    names = ["g", "rep", "part", *_FPS]
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str], rows: int, solve) -> Iterator[pa.RecordBatch]:
+    """solve(*columns) of whole groups, of about so many rows at a time; rows come sorted by the first column."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(_columns(batch, names))
+        if sum(len(h[0]) for h in held) >= rows and held[0][0][0] != held[-1][0][-1]:
+            cols = [np.concatenate(c) for c in zip(*held)]
+            cut = np.flatnonzero(cols[0] != cols[0][-1])[-1] + 1
+            held = [[c[cut:] for c in cols]]
+            yield from solve(*(c[:cut] for c in cols))
+    if held:
+        yield from solve(*(np.concatenate(c) for c in zip(*held)))
 
-    def solve(g, rep, part, *cols):
+
+def parts_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Part of each of n places that pairs (a, b) join, as its smallest place."""
+    part = np.arange(n)
+    for x, low in forest(a.tolist(), b.tolist()):
+        part[x] = low
+    return part
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (g, rep, f0 …) sorted by g, to spanning forests of the pairs within the budget."""
+
+    def solve(g, rep, *cols):
         fps = np.stack(cols, axis=1).view(np.uint64)
         order = np.lexsort([*(fps[:, k] for k in range(WORDS - 1, -1, -1)), g])
-        g, rep, part, fps = g[order], rep[order], part[order], fps[order]
+        g, rep, fps = g[order], rep[order], fps[order]
         first = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         sizes = np.diff(np.append(first, len(g)))
         several = np.repeat(sizes > 1, sizes)
         if not several.any():
             return
-        g, rep, part, fps = g[several], rep[several], part[several], fps[several]
-        if nearest:
-            a, b = neighbours(g, fps)
-            a, b = rep[a], rep[b]
-            some = spanning(a, b)
-            a, b = a[some], b[some]
-            yield from _edges(a, b)
-            return
+        g, rep, fps = g[several], rep[several], fps[several]
+        a, b = neighbours(g, fps)
+        part = parts_of(len(g), a, b)
+        found = [(a, b)]
         for lo, hi in _slices(sizes[sizes > 1]):
-            a, b = trie_pairs(g[lo:hi], fps[lo:hi], part[lo:hi])
-            a, b = rep[lo + a], rep[lo + b]
-            if len(a):
-                yield from _edges(*np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(_columns(batch, names))
-            if sum(len(h[0]) for h in held) >= _CHUNK and held[0][0][0] != held[-1][0][-1]:
-                cols = [np.concatenate(c) for c in zip(*held)]
-                cut = np.flatnonzero(cols[0] != cols[0][-1])[-1] + 1
-                held = [[c[cut:] for c in cols]]
-                yield from solve(*(c[:cut] for c in cols))
-        if held:
-            yield from solve(*(np.concatenate(c) for c in zip(*held)))
+            x, y = trie_pairs(g[lo:hi], fps[lo:hi], part[lo:hi])
+            some = spanning(x, y)
+            found.append((lo + x[some], lo + y[some]))
+        a, b = (rep[np.concatenate(x)] for x in zip(*found))
+        some = spanning(a, b)
+        yield from _edges(a[some], b[some])
 
-    return run
+    return _whole_groups(batches, ["g", "rep", *_FPS], _CHUNK, solve)
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -251,37 +259,71 @@ def _edges(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def candidates(distinct: DataFrame, nearest: bool = False) -> DataFrame:
-    """Pairs (a, b), a < b, of reps of distinct fingerprints (rep, part, f0 …): nearest: spanning
-    forests of neighbours; else all of different parts within the budget."""
-    spark = distinct.sparkSession
-    rows, tables = distinct.select("rep", "part", *_FPS), range(0, TABLES, NEIGHBOUR_STEP if nearest else 1)
-    sizes = rows.mapInArrow(_tabled(tables, True), "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS)
-    cut = rows.mapInArrow(_tabled(tables, False), f"g long, rep long, part long, {_FP_TYPES}").join(written(sizes), "g", "left").withColumn("parts", F.ceil(2 * F.col("n") / GROUP_ROWS))
-    own = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    spread = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: F.xxhash64("g", F.least(own, q), F.greatest(own, q)))
-    keyed = cut.withColumn("g", F.explode(F.when(F.col("n").isNull(), F.array("g")).otherwise(spread))).drop("n", "parts")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return keyed.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_pairs(nearest), "a long, b long").distinct()
+def _in_blocks(rows: DataFrame, group: str, rep: str, n: Column, limit: int) -> DataFrame:
+    """rows with `key` in place of their group: for groups of over `limit` rows, one for each pair of blocks that
+    has the row's own. n: rows of the group, or null for few."""
+    blocks = F.when(n > limit, F.ceil(2 * n / limit))
+    own = F.pmod(F.xxhash64(rep), blocks)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda q: F.xxhash64(group, F.least(own, q), F.greatest(own, q)))
+    return rows.withColumn("key", F.explode(F.when(blocks.isNull(), F.array(F.col(group))).otherwise(pairs)))
 
 
-def similarity(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two sorted distinct arrays; that of two empty sets is 1."""
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+def candidates(distinct: DataFrame) -> DataFrame:
+    """Spanning forests (a, b), a < b, of the pairs of reps of distinct fingerprints (rep, f0 …) that meet
+    within the budget."""
+    spark, rows = distinct.sparkSession, distinct.select("rep", *_FPS)
+    sizes = written(rows.mapInArrow(_tabled(True), "g long").groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS))
+    dealt = _in_blocks(rows.mapInArrow(_tabled(False), f"g long, rep long, {_FP_TYPES}").join(sizes, "g", "left"), "g", "rep", F.col("n"), GROUP_ROWS)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.select(F.col("key").alias("g"), "rep", *_FPS).repartition(n, "g").sortWithinPartitions("g").mapInArrow(_meet, "a long, b long").distinct()
 
 
-def _check(like: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                small, large = sorted((len(x), len(y)))
-                keep.append(small >= like * large - 1e-9 and similarity(x, y) >= like - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def like_pairs(sets: list[np.ndarray], fps: np.ndarray, like: float, budget: int = BUDGET) -> tuple[list[int], list[int]]:
+    """A spanning forest (a, b) of the pairs of sorted distinct sets that are within the budget and whose
+    Jaccard similarity is `like` and more. Two empty sets are alike.
 
-    return run
+    Sets are numbers of a common vocabulary, end to end; a set's marks give its overlap with all the others
+    at once.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True) if n else (np.zeros(0), np.zeros(0, np.int64))
+    starts = np.cumsum(sizes) - sizes
+    marks, part = np.zeros(len(vocabulary) + 1, np.int32), np.arange(n)
+    found_a, found_b = [], []
+    for i in range(n - 1):
+        j = np.arange(i + 1, n)
+        j = j[(part[j] != part[i]) & (np.minimum(sizes[j], sizes[i]) >= like * np.maximum(sizes[j], sizes[i]) - 1e-9)]
+        j = j[np.bitwise_count(fps[j] ^ fps[i]).sum(axis=1, dtype=np.int64) <= budget] if len(j) else j
+        if not len(j):
+            continue
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        marks[own] = 1
+        at = np.repeat(starts[j] - (np.cumsum(sizes[j]) - sizes[j]), sizes[j]) + np.arange(sizes[j].sum())
+        sums = np.append(0, np.cumsum(marks[flat[at]]))
+        ends = np.cumsum(sizes[j])
+        both = sums[ends] - sums[ends - sizes[j]]
+        marks[own] = 0
+        for k in j[both >= like * (sizes[j] + sizes[i] - both) - 1e-9].tolist():
+            if part[k] != part[i]:
+                found_a.append(i)
+                found_b.append(k)
+                part[part == part[k]] = part[i]
+    return found_a, found_b
+
+
+def _compare(like: float):
+    """Rows (key, rep, s, f0 …) sorted by key, to spanning forests of the links in each group."""
+
+    def solve(key, rep, s, *cols):
+        fps = np.stack(cols, axis=1).view(np.uint64)
+        for at in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
+            if len(at) > 1:
+                a, b = like_pairs([np.frombuffer(s[i], np.uint64) for i in at.tolist()], fps[at], like)
+                if a:
+                    yield from _edges(rep[at[a]], rep[at[b]])
+
+    return lambda batches: _whole_groups(batches, ["key", "rep", "s", *_FPS], PART_ROWS, solve)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,17 +331,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], names=["rep", "s"])
 
 
-def verified(pairs: DataFrame, rows: DataFrame, row: str, text: str, like: float = LIKE) -> DataFrame:
-    """The pairs (a, b) of rows whose shingle sets have a similarity of `like` and more."""
-    pairs = written(pairs)
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = rows.select(F.col(row).alias("rep"), F.col(text).alias("text")).join(ids, "rep", "left_semi")
+def links(parts: DataFrame, reps: DataFrame, rows: DataFrame, row: str, text: str, like: float = LIKE) -> DataFrame:
+    """Spanning forests (a, b) of the links within candidate parts (rep, component): pairs within the budget whose
+    shingle sets have a similarity of `like` and more."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = joined(rows.select(F.col(row).alias("rep"), F.col(text).alias("text")), written(parts.select("rep")), "rep", "left_semi")
     sets = written(texts.mapInArrow(_sets, "rep long, s binary"))
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    out = written(both.mapInArrow(_check(like), "a long, b long"))
-    delete_table(pairs)
-    delete_table(sets)
-    return out
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PART_ROWS)
+    dealt = _in_blocks(parts.join(written(sizes), "component", "left"), "component", "rep", F.col("n"), PART_ROWS).select("key", "rep")
+    whole = dealt.join(reps.select("rep", *_FPS), "rep").join(sets, "rep")
+    return whole.select("key", "rep", "s", *_FPS).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_compare(like), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", like: float = LIKE) -> tuple[DataFrame, DataFrame, str]:
@@ -316,11 +357,8 @@ def _classes(rows: DataFrame, row: str, doc_id: str, text: str, like: float) ->
     prints = written(rows.select(F.col(row).alias("row"), ids.alias("id"), F.col(text).alias("text")).mapInArrow(_prints, f"row long, id long, {_FP_TYPES}"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
     reps = written(prints.groupBy(*_FPS).agg(F.min("row").alias("rep"), least))
-    near = verified(candidates(reps.withColumn("part", F.col("rep")), nearest=True), rows, row, text, like)
-    parts = written(components(near))
-    parted = written(reps.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("part"), *_FPS))
-    rest = verified(candidates(parted), rows, row, text, like)
-    linked = components(near.unionByName(rest)).select(F.col("node").alias("rep"), "component")
+    parts = written(components(candidates(reps)).withColumnRenamed("node", "rep"))
+    linked = components(links(parts, reps, rows, row, text, like)).select(F.col("node").alias("rep"), "component")
     classes = reps.join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     firsts = classes.groupBy("component").agg(F.min("least").alias("first"))
     classes = written(classes.join(firsts, "component").select(*_FPS, "first"))
@@ -331,4 +369,4 @@ def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", like:
     """df with the first row only of each component of near duplicates."""
     rows, classes, row = near_duplicates(df, doc_id, text, like)
     gone = classes.filter("row <> first").select(F.col("row").alias(row))
-    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    return joined(rows, gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])

@@ -12,10 +12,11 @@ def stored(bits):
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).view(np.int64)
 
 
-def candidates(spark, bits, part=None):
-    rows = [(i, i if part is None else part[i], *map(int, f)) for i, f in enumerate(stored(bits))]
-    df = spark.createDataFrame(rows, "rep long, part long, " + W._FP_TYPES)
-    return {(r.a, r.b) for r in W.candidates(df).collect()}
+def met(spark, bits):
+    """Component of each row that the candidates' forests join."""
+    rows = [(i, *map(int, f)) for i, f in enumerate(stored(bits))]
+    df = spark.createDataFrame(rows, "rep long, " + W._FP_TYPES)
+    return {r.node: r.component for r in common.components(W.candidates(df)).collect()}
 
 
 def test_large_group_loses_no_pair(spark, monkeypatch):
@@ -28,8 +29,27 @@ def test_large_group_loses_no_pair(spark, monkeypatch):
     for t in range(1, W.TABLES):
         free = [k for k in W.KEYS[t] if k not in set(W.KEYS[0].tolist())]
         two[:, free[0]] ^= 1
-    got = candidates(spark, np.concatenate([one, two]))
-    assert {(i, 100 + i) for i in range(100)} <= got
+    got = met(spark, np.concatenate([one, two]))
+    assert all(got[100 + i] == got[i] for i in range(100))
+
+
+def test_like_pairs_join_what_all_pairs_join():
+    r = random.Random(6)
+    sets = []
+    for _ in range(40):
+        base = r.sample(range(10**6), r.randrange(1, 60))
+        for _ in range(r.randrange(1, 5)):
+            sets.append(np.unique(np.array([x if r.random() > 0.1 else r.randrange(10**6) for x in base], np.uint64)))
+    sets += [np.zeros(0, np.uint64)] * 2
+    a, b = W.like_pairs(sets, np.zeros((len(sets), W.WORDS), np.uint64), 0.8)
+    got, want = W.parts_of(len(sets), np.array(a), np.array(b)), list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(set(x.tolist()) & set(y.tolist()))
+            if both >= 0.8 * (len(x) + len(y) - both) and want[i] != want[j]:
+                lo, hi = sorted((want[i], want[j]))
+                want = [lo if w == hi else w for w in want]
+    assert got.tolist() == want and len(a) == len(sets) - len(set(want))
 
 
 def test_trie_join_equals_all_pairs():
@@ -49,8 +69,8 @@ def test_recall_at_similarity_of_four_fifths(spark):
     """Pairs with each bit changed at the rate of similarity 0.8."""
     g = np.random.default_rng(4)
     one = g.integers(0, 2, (1500, W.BITS), np.uint8)
-    got = candidates(spark, np.concatenate([one, one ^ (g.random((1500, W.BITS)) < 0.15)]))
-    assert sum((i, 1500 + i) in got for i in range(1500)) >= 0.9 * 1500
+    got = met(spark, np.concatenate([one, one ^ (g.random((1500, W.BITS)) < 0.15)]))
+    assert sum(got.get(1500 + i) == i for i in range(1500)) >= 0.9 * 1500
 
 
 def corpus(n, seed=1):
@@ -91,6 +111,24 @@ def test_components_match_brute_force(spark):
     assert not wrong and len(found) >= 0.97 * len(together) > 100
 
 
+def test_copies_of_one_source_do_not_meet_pairwise(spark, monkeypatch):
+    """Copies with an edit each are like their source and not like each other: links and checked pairs."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choices("abcdefghijkl", k=5))
+    base = [word() for _ in range(62)]
+    texts = [" ".join(base)]
+    for i in range(300):
+        copy = list(base)
+        copy[5 + r.randrange(52)] = word()
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(W, "PART_ROWS", 90)
+    real, edges = W.components, []
+    monkeypatch.setattr(W, "components", lambda e: edges.append(e.count()) or real(e))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [x.doc_id for x in W.one_of_each(df).collect()] == [0]
+    assert sum(edges) < 60 * len(texts)
+
+
 def test_odd_rows_and_chains_over_null_ids(spark):
     r = random.Random(8)
     base = ["".join(r.choices("abcdefghijkl", k=5)) for _ in range(120)]
