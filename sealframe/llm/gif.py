@@ -167,7 +167,8 @@ def lzw(data: bytes, min_size: int, pixels: int) -> np.ndarray:
     held: list[np.ndarray] = []
     while made < pixels:
         have = sum(map(len, held))
-        widths = _widths(have, min_size, run)
+        # No more codes than the bits that are left can hold; fewer than a run are then the last.
+        widths = _widths(have, min_size, min(run, (len(bits) - at) // (min_size + 1) + 1))
         codes = _read_codes(bits, at, widths)
         stop = np.flatnonzero((codes == clear) | (codes == end))
         whole = int(stop[0]) if len(stop) else len(codes)
