@@ -8,13 +8,17 @@ matter; these are the minima of sliding windows, and their parents are among the
 is built over them alone, some 2 of WIDTH shingles a hash function.
 
 Texts whose compact windows have one least shingle under one function meet: all pairs of a key with FEW
-rows, else each row with the first (of its block of documents, then of all) and the one before it, so
-a group costs no more than its rows, and a hot one only a few rows a block in the sort. Of two texts
-that met, windows are joined by interval: a hit counts if hits of AGREE functions at least hold
-sequences of WIDTH shingles in common in both texts. Two passages of similarity LIKE have one least
-shingle under a function with a probability of LIKE, and so are passed over with one of about
-0.007. In a group of over FEW rows two rows that are neither neighbours nor with the first meet only
-by their other keys, so a pair may be missed where all of them are in such groups.
+rows. Of two texts that met so, windows are joined by interval: a hit counts if hits of AGREE functions at
+least hold sequences of WIDTH shingles in common in both texts. Two passages of similarity LIKE have one
+least shingle under a function with a probability of LIKE, and so are passed over with one of about 0.007.
+
+Rows of larger groups, as a frequent line has, meet by what stands around the least shingle, NEAR shingles on
+either side, so no pair of like windows that hold it is lost: such windows have all but 5 shingles in common, at the
+edges or about one word that was changed, put in or left out, and each way to choose these is a key of its own
+(like_rows()). Rows that share one are like each other, so each meets the smallest document with it: a group
+costs its rows and not their square, and between them these pairs have all words and all classes that
+all pairs would have. Groups of over GROUP_ROWS are dealt into blocks, each pair of which meets. In a block
+of documents, rows with the same shingles around meet the first of them at once.
 
 A pair with hits is verified: the exact sets of shingles of a window of `width` + 4
 words here and of the one there must have a similarity of LIKE. A passage of any length that is that
@@ -41,7 +45,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alone, components, joined, written
+from .common import alone, components, delete_table, joined, small_batches, written
+from .simhash_wide import _in_blocks, _whole_groups
 
 SHINGLE = 5
 #: Shingles of the least passage: 47 shingles are 51 words.
@@ -52,6 +57,8 @@ SEED = 11
 #: Hash functions, and how many of them have to agree on a pair of passages.
 HASHES = 5
 AGREE = 2
+#: Shingles on either side of a place that windows of WIDTH which hold it reach to.
+NEAR = WIDTH - 1
 #: Words that are worked on at once; positions fit the bits that a hash gives up.
 _WORDS = 400_000
 _BITS = np.uint64(20)
@@ -143,6 +150,11 @@ def compact_windows(h: np.ndarray, inside: np.ndarray, first: np.ndarray, last:
     return c, low, high
 
 
+def _salt(k: int) -> np.uint64:
+    """What tells hash function k from the others."""
+    return np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
+
+
 def _pack(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Two places of less than 2**31 as one number."""
     return first << 32 | last
@@ -152,8 +164,20 @@ def _unpack(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x >> 32, x & 0xFFFFFFFF
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base**2, … of n values."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
 def signatures(words: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, document, places, window) arrays of each hash function, the last two as _pack() gives them.
+    """(key, document, places, window, around) arrays of each hash function, places and window as _pack()
+    gives them; around: hash of the shingles from NEAR before the first place to NEAR after the last.
 
     words: hashes of the words of all documents, end to end; lengths: words of each document.
     Places are of shingles within the document. Windows of one document and key that overlap, as a
@@ -167,8 +191,10 @@ def signatures(words: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndar
     inside = owner[: len(words) - WIDTH - SHINGLE + 2] == owner[WIDTH + SHINGLE - 2 :]
     starts = (ends - lengths)[owner[: len(span)]]
     stops = (ends - SHINGLE)[owner[: len(span)]]
+    sums = np.append(np.uint64(0), np.cumsum(span * _powers(_BASE, len(span))))
+    back = _powers(_INVERSE, len(span))
     for k in range(HASHES):
-        h = mix(span + np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)))
+        h = mix(span + _salt(k))
         c, low, high = compact_windows(h, inside, starts, stops, WIDTH)
         if not len(c):
             continue
@@ -178,7 +204,9 @@ def signatures(words: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndar
         at = np.flatnonzero(new)
         end = np.append(at[1:], len(c)) - 1
         base, key = starts[c[at]], h[c[at]].view(np.int64)
-        yield key, owner[c[at]], _pack(c[at] - base, c[end] - base), _pack(np.minimum.reduceat(low, at) - base, np.maximum.reduceat(high, at) - base)
+        lo, hi = np.maximum(c[at] - NEAR, base), np.minimum(c[end] + NEAR, stops[c[at]])
+        around = mix((sums[hi + 1] - sums[lo]) * back[lo] + mix(_pack(c[at] - lo, hi - c[end]).view(np.uint64)))
+        yield key, owner[c[at]], _pack(c[at] - base, c[end] - base), _pack(np.minimum.reduceat(low, at) - base, np.maximum.reduceat(high, at) - base), around
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], known: _Hashes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -206,10 +234,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], known: _Hashes) -> Iterator[tuple
         yield ids, np.concatenate(parts), np.array(list(map(len, parts)))
 
 
-#: The rep of a row whose first document is still to be found.
-_OPEN = -(2**63)
+#: The rep of a row whose first document is still to be found, and of such a row that others met already.
+_OPEN, _MET_BY = -(2**63), -(2**63) + 1
 #: Rows of a signature up to which all of its pairs are verified.
 FEW = 6
+#: Rows of a signature above which they are dealt into blocks.
+GROUP_ROWS = 20_000
+#: The hash function of a hit that counts by itself, as what is around it was compared.
+_SURE = HASHES
 #: Least Jaccard similarity of two windows of WIDTH shingles.
 LIKE = 0.8
 
@@ -232,54 +264,56 @@ def _batch(names: list[str], columns: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of signatures. Of the rows of a block that share a key, if over FEW, only the first goes
-    on under it; the others meet that one here, so a key that very many documents have meets
-    as FEW rows a block at most."""
+    """Rows of signatures. Of the rows of a block that share a key and all that is around it, if over FEW, only
+    the first goes on under it; the others meet that one here, so a key that very many copies have
+    meets as FEW rows a block at most."""
     known = _Hashes()
     for ids, words, lengths in _blocks(batches, known):
         who_of, shift = np.array([i for i, _ in ids], np.int64), np.array([s for _, s in ids], np.int64)
-        for k, (key, who, places, window) in enumerate(signatures(words, lengths)):
+        for k, (key, who, places, window, around) in enumerate(signatures(words, lengths)):
             doc, moved = who_of[who], _pack(shift[who], shift[who])
             places, window = places + moved, window + moved
-            order = np.lexsort((places, doc, key))
-            key, doc, places, window = key[order], doc[order], places[order], window[order]
-            first, size = _groups(key)
+            order = np.lexsort((places, doc, around, key))
+            key, doc, places, window, around = key[order], doc[order], places[order], window[order], around[order]
+            first, size = _groups(key, around)
             done = (size > FEW) & (doc != doc[first])
             yield _batch(_SIGNED, {
-                "key": np.where(done, mix(doc.view(np.uint64)).view(np.int64), key), "doc_id": doc, "hash": np.full(len(key), k), "rep": np.where(done, doc[first], _OPEN),
+                "key": np.where(done, mix(doc.view(np.uint64)).view(np.int64), key), "doc_id": doc, "hash": np.where(done, _SURE, k), "rep": np.where(done, doc[first], np.where(size > FEW, _MET_BY, _OPEN)),
                 "places": places, "window": window, "rep_places": np.where(done, places[first], 0), "rep_window": np.where(done, window[first], 0)})
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first row, rows) of each row's group; key is sorted."""
-    new = np.append(True, key[1:] != key[:-1])
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, rows) of each row's group; rows of one group are side by side."""
+    new = np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0))
     at = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    return at[group], np.diff(np.append(at, len(key)))[group]
+    return at[group], np.diff(np.append(at, len(new)))[group]
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and document, to pairs of rows that share a key: all pairs of a key
-    with at most FEW rows, else each row with the first and with the row before it."""
-    names = ["key", "doc_id", "hash", "places", "window"]
+    """Rows sorted by key and document, to pairs of rows that share a key, if it has at most FEW rows and none that
+    stands for others; rows of other groups go on as they are, open, with the key as rep_places."""
+    names = ["key", "doc_id", "hash", "places", "window", "rep"]
     held: list[list[np.ndarray]] = []
 
-    def solve(key, doc, k, places, window):
+    def solve(key, doc, k, places, window, rep):
         if not len(key):
             return
         first, size = _groups(key)
         row = np.arange(len(key))
-        for lag in range(FEW):
-            other = np.maximum(first, row - lag) if lag else first
-            pair = doc != doc[other]
-            if lag:
-                pair &= (other > first) & ((size <= FEW) | (lag == 1))
+        many = ((size > FEW) | np.isin(key, key[rep == _MET_BY])) & (doc[first] != doc[first + size - 1])
+        if many.any():
+            none = np.zeros(many.sum(), np.int64)
+            yield _batch(_MET, {"doc_id": doc[many], "rep": none + _OPEN, "hash": k[many], "places": places[many], "window": window[many], "rep_places": key[many], "rep_window": none})
+        for lag in range(1, FEW):
+            other = np.maximum(first, row - lag)
+            pair = (doc != doc[other]) & (row - lag >= first) & (size <= FEW) & ~many
             if pair.any():
                 to = other[pair]
                 yield _batch(_MET, {"doc_id": doc[pair], "rep": doc[to], "hash": k[pair], "places": places[pair], "window": window[pair], "rep_places": places[to], "rep_window": window[to]})
 
     for b in batches:
-        open_ = b.column("rep").to_numpy() == _OPEN
+        open_ = b.column("rep").to_numpy() <= _MET_BY
         if not open_.all():
             yield b.select(_MET).filter(pa.array(~open_))
         if not open_.any():
@@ -296,8 +330,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def agreeing(k: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], agree: int = 0) -> np.ndarray:
     """Which hits of a pair of texts count: those whose windows hold, in both texts, a sequence of WIDTH
-    shingles in common with hits of `agree` hash functions, their own included. k: hash functions of the
-    hits; sides: (places, window) in each text."""
+    shingles in common with hits of `agree` hash functions, their own included, and those of _SURE.
+    k: hash functions of the hits; sides: (places, window) in each text."""
+    if (k == _SURE).any():
+        keep, some = k == _SURE, k != _SURE
+        keep[some] = agreeing(k[some], [(places[some], window[some]) for places, window in sides], agree)
+        return keep
     agree = agree or AGREE
     n = len(k)
     keep = np.zeros(n, bool)
@@ -312,6 +350,208 @@ def agreeing(k: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], agree: i
     return keep
 
 
+def _same(key: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, least code) of the entries whose key others have too."""
+    order = np.argsort(key)
+    key = key[order]
+    again = key[1:] == key[:-1]
+    at = np.flatnonzero(np.append(again, False) | np.append(False, again))
+    if not len(at):
+        return at, at
+    new = ~np.append(False, again)[at]
+    code = code[order[at]]
+    return code, np.minimum.reduceat(code, np.flatnonzero(new))[np.cumsum(new) - 1]
+
+
+def like_rows(group: np.ndarray, doc: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, shift) of rows a and the first row b of one group that has a like window about its middle.
+
+    around: NEAR shingles, the middle one and NEAR shingles of each row, of which `left` and `right` on
+    either side are of its text. Rows of a group come in order of documents. Windows of WIDTH that hold the middle
+    and have WIDTH - SHINGLE shingles in common are like. Either these are side by side, or SHINGLE
+    lie between them in one text, about a word, and in the other as many or one less, if a word was put
+    in; there the rest is a place further on, and so is the diagonal of a second hit, by `shift`.
+    Rows that have the same shingles at the same places are like each other, so b stands for all of them.
+    """
+    n, common = len(doc), WIDTH - SHINGLE
+    sums = np.zeros((2 * NEAR + 2, n), np.uint64)
+    np.cumsum(around.T * _powers(_BASE, 2 * NEAR + 1)[:, None], axis=0, out=sums[1:])
+    salt, base, back, odd = mix(group.view(np.uint64)), np.uint64(_BASE), np.uint64(_INVERSE), np.uint64(0xD6E8FEB86659FD93)
+    # Rows with all in common: the first goes on, for others of its document as well.
+    code, low = _same(sums[-1] * odd + mix(_pack(left, right).view(np.uint64)) + salt, np.arange(n))
+    copy = doc[code] != doc[low]
+    found = [(code[copy], low[copy], np.zeros(copy.sum(), np.int64))]
+    alone_, of = np.ones(n, bool), code[~copy & (code != low)]
+    alone_[code[code != low]] = False
+    of_low = low[~copy & (code != low)]
+    kept = np.flatnonzero(alone_)
+    sums, salt, left, right, place = sums[:, kept], salt[kept], left[kept], right[kept], doc[kept]
+    last, last_doc = np.full(len(kept), -1), np.full(len(kept), -1)
+    covered, pairs = np.zeros((len(kept), 2 * NEAR + 1), bool), []
+
+    def add(code, low, middle_left, *ranges):
+        """Rows that share a key, each with the least one, if that is another document than the last one it met, or if
+        some of the shingles in the key are not yet among those that it shares. ranges: places of these
+        shingles, without and with a part that stands further on."""
+        row, first = code >> 1, low >> 1
+        # The part without the middle stands `shift` further on in the first row than in this one.
+        shift = (code & 1) - (low & 1) if middle_left else (low & 1) - (code & 1)
+        some = (place[row] != place[first]) & ((last[row] != first) | (shift != 0))
+        if not some.any():
+            return
+        row, first, shift, kind = row[some], first[some], shift[some], code[some] & 1
+        fresh = last_doc[row] != place[first]
+        for k, of_kind in enumerate(ranges):
+            at = np.flatnonzero(kind == k)
+            for x, y in of_kind:
+                fresh[at] |= ~covered[row[at], x:y].all(axis=1)
+        for k, of_kind in enumerate(ranges):
+            at = row[fresh & (kind == k) & (shift == 0)]
+            for x, y in of_kind:
+                covered[at, x:y] = True
+        row, first, shift = row[fresh], first[fresh], shift[fresh]
+        last[row], last_doc[row] = first, place[first]
+        if len(row):
+            pairs.append((row * len(kept) + first) * 3 + shift + 1)
+
+    for i in range(NEAR + 1):
+        rows = np.flatnonzero((i >= NEAR - left) & (i <= right))
+        if len(rows) < 2:
+            continue
+        s, t = sums[i : i + WIDTH + 1, rows], salt[rows]
+        for x in range(SHINGLE + 1):
+            if i + x <= NEAR < i + x + common:
+                add(*_same(s[x + common] - s[x] + t, rows << 1), True, [(i + x, i + x + common)])
+        # Of rows with the whole window in common the first goes on, and others of its document that have
+        # shingles there which are not yet shared.
+        code, low = _same(s[WIDTH] - s[0] + t, np.arange(len(rows)))
+        live = np.ones(len(rows), bool)
+        code, low = code[code != low], low[code != low]
+        live[code[(place[rows[code]] != place[rows[low]]) | covered[rows[code], i : i + WIDTH].all(axis=1)]] = False
+        rows, s, t = rows[live], s[:, live], t[live]
+        # The longer part has half of what is common, and the other one the window's end.
+        half, one = (common + 1) // 2, lambda k: s[k + 1] - s[k]
+        head, tail = s[half] - s[0], s[WIDTH] - s[WIDTH - half]
+        ends = [
+            (head * odd + one(WIDTH - 1), head * odd + one(WIDTH - 2) * base, (s[half + 1] - s[1]) * back * odd + one(WIDTH - 1)),
+            (tail * odd + one(0), (s[WIDTH - 1] - s[WIDTH - 1 - half]) * base * odd + one(0), tail * odd + one(1) * back)]
+        live = np.zeros(len(rows), bool)
+        for three in ends:
+            code, low = _same(np.concatenate(three) + np.tile(t, 3), np.tile(np.arange(len(rows)), 3))
+            other = np.zeros(len(rows), bool)
+            other[low[place[rows[code]] != place[rows[low]]]] = True
+            live[code[other[low]]] = True
+        rows, s, t = rows[live], s[:, live], t[live]
+        if len(rows) < 2:
+            continue
+        codes = np.concatenate([rows << 1, rows << 1 | 1])
+        for p in range(1, common):
+            middle_left = NEAR < i + p
+            if not middle_left and NEAR < i + p + SHINGLE:
+                continue
+            head, tail = (s[p] - s[0]) * odd + t, s[WIDTH] - s[p + SHINGLE]
+            if middle_left:
+                less, moved = head + (s[WIDTH - 1] - s[p + SHINGLE - 1]) * base, [(i, i + p), (i + p + SHINGLE - 1, i + WIDTH - 1)]
+            else:
+                less, moved = (s[p + 1] - s[1]) * back * odd + t + tail, [(i + 1, i + p + 1), (i + p + SHINGLE, i + WIDTH)]
+            add(*_same(np.concatenate([head + tail, less]), codes), middle_left, [(i, i + p), (i + p + SHINGLE, i + WIDTH)], moved)
+    if pairs:
+        both, shift = np.divmod(np.unique(np.concatenate(pairs)), 3)
+        a, b = (kept[x] for x in np.divmod(both, len(kept)))
+        found.append((a, b, shift - 1))
+        if len(of):
+            order = np.argsort(a, kind="stable")
+            lo, hi = (np.searchsorted(a[order], of_low, side=w) for w in ("left", "right"))
+            at = order[np.repeat(lo - (np.cumsum(hi - lo) - (hi - lo)), hi - lo) + np.arange((hi - lo).sum())]
+            found.append((np.repeat(of, hi - lo), b[at], shift[at] - 1))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+_NEAR = ["key", "doc_id", "place", "around", "more"]
+
+
+def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, open), open being (key, places, hash) of its rows of large groups, to a row for each
+    place with the shingles around, in 32 bits, and how many of these are the text's on either side. Places of
+    one key that have all that in common, as in a text of one line over and over, are one row: `more` are the later ones."""
+    known = _Hashes()
+    salts = np.array([_salt(k) for k in range(HASHES)])
+    for b in batches:
+        out, have, ends_at = [], 0, b.column(2).offsets.to_numpy()
+        keys, places, hashes = (b.column(2).values.field(n).to_numpy(zero_copy_only=False) for n in ("key", "places", "hash"))
+        first, last = _unpack(places)
+        for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+            span = _spans(_hashed(text.as_py().encode(), known), SHINGLE)
+            rows = np.arange(ends_at[i], ends_at[i + 1])
+            # Of several texts of one id, a row is of those that have its shingle there.
+            rows = rows[last[rows] < len(span)]
+            rows = rows[mix(span[first[rows]] + salts[hashes[rows]]).view(np.int64) == keys[rows]]
+            if not len(rows):
+                continue
+            wide = np.concatenate([np.zeros(NEAR, "<u4"), span.astype("<u4"), np.zeros(NEAR, "<u4")])
+            one = first[rows] == last[rows]
+            at, key, more = [first[rows[one]]], [keys[rows[one]]], [b""] * int(one.sum())
+            for k in rows[~one].tolist():
+                same = np.flatnonzero(span[first[k] : last[k] + 1] == span[first[k]]) + first[k]
+                _, low, which = np.unique(_contexts(wide, same, len(span)).view("V" + str(4 * (2 * NEAR + 3))).ravel(), return_index=True, return_inverse=True)
+                later = np.ones(len(same), bool)
+                later[low] = False
+                order = np.argsort(which[later], kind="stable")
+                cuts = np.searchsorted(which[later][order], np.arange(1, len(low)))
+                at.append(same[low])
+                key.append(np.full(len(low), keys[k]))
+                more += [x.tobytes() for x in np.split(same[later][order], cuts)]
+            at, key = np.concatenate(at), np.concatenate(key)
+            for lo in range(0, len(at), 4000):
+                some = at[lo : lo + 4000]
+                out.append((key[lo : lo + 4000], np.full(len(some), doc), some, _contexts(wide, some, len(span)), more[lo : lo + 4000]))
+                have += len(some)
+                if have >= 4000:
+                    yield _near_batch(out)
+                    out, have = [], 0
+        if out:
+            yield _near_batch(out)
+
+
+def _contexts(wide: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Shingles around the places `at` of n, and how many there are on either side."""
+    ends = np.stack([np.minimum(at, NEAR), np.minimum(n - 1 - at, NEAR)], axis=1).astype("<u4")
+    return np.ascontiguousarray(np.concatenate([wide[at[:, None] + np.arange(2 * NEAR + 1)], ends], axis=1))
+
+
+def _near_batch(out: list) -> pa.RecordBatch:
+    *numbers, data = (np.concatenate(c) for c in zip(*(x[:-1] for x in out)))
+    offsets = np.arange(len(data) + 1, dtype=np.int32) * data.shape[1] * 4
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]), pa.array([m for x in out for m in x[-1]], pa.binary())], names=_NEAR)
+
+
+def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _around(), sorted by key, document and place, to pairs that met for sure."""
+
+    def solve(key, doc, place, around, more):
+        data = np.frombuffer(b"".join(around), "<u4").reshape(len(key), -1)
+        a, b, shift = like_rows(key, doc, data[:, :-2].astype(np.uint64), *data[:, -2:].astype(np.int64).T)
+        moved = np.flatnonzero(shift)
+        a, b, shift = np.append(a, a[moved]), np.append(b, b[moved]), np.append(np.zeros(len(a), np.int64), shift[moved])
+        ours, of = place[a], [np.frombuffer(more[x], np.int64) for x in a.tolist()]
+        if any(map(len, of)):
+            again = np.repeat(np.arange(len(a)), [len(x) for x in of])
+            ours = np.concatenate([ours, *of])
+            a, b, shift = np.append(a, a[again]), np.append(b, b[again]), np.append(shift, shift[again])
+        diagonal = place[b] + shift - ours
+        order = np.lexsort((ours, diagonal, doc[b], doc[a]))
+        a, b, diagonal, ours = a[order], b[order], diagonal[order], ours[order]
+        if not len(a):
+            return
+        # One hit for a diagonal, from the first place on it to the last.
+        new = np.append(True, (doc[a][1:] != doc[a][:-1]) | (doc[b][1:] != doc[b][:-1]) | (diagonal[1:] != diagonal[:-1]))
+        lo, hi, diagonal = ours[new], ours[np.append(new[1:], True)], diagonal[new]
+        theirs, ends = np.maximum(lo + diagonal, 0), (np.maximum(lo - NEAR, 0), hi + NEAR)
+        yield _batch(_MET, {"doc_id": doc[a[new]], "rep": doc[b[new]], "hash": np.full(len(lo), _SURE), "places": _pack(lo, hi), "window": _pack(*ends), "rep_places": _pack(theirs, theirs + hi - lo), "rep_window": _pack(np.maximum(ends[0] + diagonal, 0), np.maximum(ends[1] + diagonal, 0))})
+
+    return _whole_groups(batches, _NEAR, 20_000, solve)
+
+
 _HITS = "array<struct<diagonal: long, from: long, to: long>>"
 
 
@@ -424,12 +664,22 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def candidates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, rep, hits) of pairs of documents with agreeing windows, the smaller one as rep; a hit
     is a diagonal, rep's place less the document's, with the lowest and highest place."""
+    spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = rows.mapInArrow(_sign, _schema(_SIGNED))
     met = written(signed.repartition(n, "key").sortWithinPartitions("key", "doc_id", "places").mapInArrow(_meet, _schema(_MET)))
-    pairs = met.groupBy("doc_id", "rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("hash"))).alias("functions"), F.collect_list(F.struct(*_MET[2:])).alias("met"))
-    several = pairs.filter(F.bit_count("functions") >= AGREE).select("doc_id", "rep", "met")
+    open_ = met.filter(F.col("rep") == _OPEN).select("doc_id", F.col("rep_places").alias("key"), "places", "hash")
+    asked = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "places", "hash")).alias("open"))
+    around = written(rows.filter("text is not null").join(asked, "doc_id").mapInArrow(_around, "key long, doc_id long, place long, around binary, more binary"))
+    large = written(around.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS))
+    dealt = _in_blocks(joined(around, large, "key", "left"), "key", "doc_id", F.col("n"), GROUP_ROWS).select(*_NEAR)
+    sure = dealt.repartition(n, "key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(_refine, _schema(_MET))
+    sure = written(sure.distinct())
+    delete_table(around)
+    pairs = met.filter(F.col("rep") != _OPEN).unionByName(sure).groupBy("doc_id", "rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("hash"))).alias("functions"), F.collect_list(F.struct(*_MET[2:])).alias("met"))
+    several = pairs.filter((F.bit_count("functions") >= AGREE) | (F.col("functions") >= 1 << _SURE)).select("doc_id", "rep", "met")
     return several.mapInArrow(_join_windows, f"doc_id long, rep long, hits {_HITS}")
 
 
@@ -473,8 +723,8 @@ def spans(found: DataFrame) -> DataFrame:
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, class_id, links, repeated_words) of every row: the smallest document reachable
-    over shared passages, the earlier documents it is linked to, and the words of its text
-    that earlier documents have."""
+    over shared passages, the earlier documents it is linked to (of those in a large group that have the same
+    shared words, the first), and the words of its text that earlier documents have."""
     return alone(lambda: _classes(df, doc_id, text))
 
 

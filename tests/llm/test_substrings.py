@@ -163,3 +163,67 @@ def test_like_windows_are_found_wherever_the_edit_is(spark):
     want = {2 * i + 1 for i in range(120) if like(text[2 * i], text[2 * i + 1])}
     got = {x.doc_id for x in S.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect() if x.links}
     assert got == want and len(want) >= 90 and {2 * i + 1 for i in range(40)} <= want
+
+
+def test_rare_passages_within_a_frequent_line_are_linked(spark):
+    """Passages that lie almost wholly within a line of 60 texts, so that all their keys are in large groups, with
+    edits of every kind; against brute force over all windows. Each edit is at words of its own pair."""
+    r = random.Random(14)
+    line = fresh_words(r, 44)
+    docs = [(i, " ".join(fresh_words(r, 60) + line + fresh_words(r, 60))) for i in range(60)]
+    for i in range(60):
+        at = r.randrange(1, 14)
+        p = fresh_words(r, at) + line + fresh_words(r, 14 - at)
+        q = p if i < 20 else edited(r, p, [r.randrange(len(p))])
+        docs += [(100 + 2 * i, " ".join(fresh_words(r, 60) + p + fresh_words(r, 60))), (101 + 2 * i, " ".join(fresh_words(r, 60) + q + fresh_words(r, 60)))]
+    found = {i: windows(t) for i, t in docs}
+    like = lambda a, b: any(len(x & y) >= S.LIKE * len(x | y) for x in found[a] for y in found[b])
+    want = {a for a in range(101, 220, 2) if like(a, a - 1)}
+    rows = {x.doc_id: x for x in S.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert want <= {i for i, x in rows.items() if x.links} and len(want) >= 40
+    assert all(rows[i].class_id == rows[i - 1].class_id for i in want)
+    assert not any(rows[i].links for i in range(60))
+
+
+def test_every_shared_word_of_a_large_group_counts(spark):
+    """40 texts have 60 words in common; pairs of them have more, each its own."""
+    r = random.Random(15)
+    passage, docs = fresh_words(r, 60), []
+    for i in range(20):
+        more = fresh_words(r, 12)
+        docs += [(2 * i, " ".join(fresh_words(r, 30) + passage + more + fresh_words(r, 30))), (2 * i + 1, " ".join(fresh_words(r, 20) + passage + more + fresh_words(r, 40)))]
+    rows = {x.doc_id: x for x in S.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {x.class_id for x in rows.values()} == {0}
+    assert [rows[i].repeated_words for i in range(40)] == [0, 72] + [60, 72] * 19
+
+
+def test_like_rows_join_what_all_pairs_join():
+    g = np.random.default_rng(1)
+    for _ in range(10):
+        n, c = 60, S.NEAR
+        near = g.integers(1, 2**32, (n, 2 * c + 1), dtype=np.uint64)
+        m = int(g.integers(20, 40))
+        at = c - int(g.integers(m))
+        near[:, at : at + m] = near[0, at : at + m]
+        for i in range(20):
+            at, m = c - int(g.integers(c + 1)), int(g.integers(42, 52))
+            near[20 + i, at : at + m] = near[i, at : at + m]
+            near[40 + i] = near[i]
+            at = int(g.choice([x for x in range(10, 80) if not x <= c < x + S.SHINGLE]))
+            near[40 + i, at : at + S.SHINGLE] += np.uint64(1)
+        left, right = (np.where(g.random(n) < 0.2, g.integers(0, c, n), c) for _ in range(2))
+        for i in range(n):
+            near[i, : c - left[i]] = near[i, c + right[i] + 1 :] = 0
+        same = lambda a, b, i: i >= c - min(left[a], left[b]) and i <= min(right[a], right[b]) and (near[a, i : i + S.WIDTH] == near[b, i : i + S.WIDTH]).sum() >= S.WIDTH - S.SHINGLE
+        want = {(a, b) for a in range(n) for b in range(a) if any(same(a, b, i) for i in range(c + 1))}
+        a, b, _ = S.like_rows(np.zeros(n, np.int64), np.arange(n), near, left, right)
+        assert set(zip(a.tolist(), b.tolist())) <= want
+        assert parts(n, zip(a.tolist(), b.tolist())) == parts(n, want) and len(want) > 10
+
+
+def parts(n, pairs):
+    up = list(range(n))
+    for x, y in pairs:
+        lo, hi = sorted((up[x], up[y]))
+        up = [lo if u == hi else u for u in up]
+    return up
