@@ -93,3 +93,19 @@ def test_stages_stand_odd_rows_and_names(spark, sf):
         assert out.count() >= 1
         assert stage(spark, docs.limit(0), sf).count() == 0
     assert np.isfinite(corpus_pipeline.near_dedup(spark, docs, sf).count())
+
+
+def test_passages_within_a_frequent_line_stay_once(spark, sf):
+    """The least passages that hold a line of 60 texts, so that all their keys are in large groups."""
+    r = random.Random(22)
+    line = [word(r) for _ in range(44)]
+    around = lambda p: [word(r) for _ in range(60)] + p + [word(r) for _ in range(60)]
+    rows = [(i, " ".join(around(line)), "en", "a", None) for i in range(60)]
+    for i in range(60):
+        at = r.randrange(1, 14)
+        p = [word(r) for _ in range(at)] + line + [word(r) for _ in range(14 - at)]
+        rows += [(100 + 2 * i, " ".join(around(p)), "en", "a", None), (101 + 2 * i, " ".join(around(p)), "en", "a", None)]
+    out = {x.doc_id: x.text for x in corpus_pipeline.substring_dedup(spark, spark.createDataFrame(rows, SCHEMA), sf).collect()}
+    for i, text, *_ in rows:
+        words = text.split()
+        assert out[i].split() == (words[:60] + words[-60:] if i > 100 and i % 2 else words)
