@@ -13,11 +13,11 @@ through; an empty table gives an empty result; other columns are ignored, whatev
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
 import struct
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,11 @@ from pyspark.sql import types as T
 # Fixed value: the pre-tokenizer's pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# The same for texts of ASCII alone, for `re`, whose white space has four more characters.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"""
+
+#: Letters of a text up to which its pieces are listed; those of a longer one are streamed.
+LISTED = 1_000_000
 #: Pieces in one generation of a worker's cache; it holds two at most.
 CACHE_PIECES = 50_000
 
@@ -63,46 +68,52 @@ class Tokenizer:
         for i, t in self.bytes_of.items():
             if len(t) == 1:
                 self.byte_ids[t[0]] = i
-        self.rank_of: dict[int, int] = {}
+        ranks: dict[int, dict[int, int]] = {}
         self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.rank_of.setdefault(vocab[a] << 32 | vocab[b], rank)
+            ranks.setdefault(vocab[a], {}).setdefault(vocab[b], rank)
             self.made.append(vocab[a + b])
+        # For each left symbol, the look-up of a pair's rank by its right one.
+        none = {}.get
+        self.rank_after = [ranks[i].get if i in ranks else none for i in range(max(vocab.values()) + 1)]
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         marks = "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))
         self.cut = re.compile(f"({marks})") if marks else None
-        self.pieces = regex.compile(PATTERN).finditer
+        self.pattern, self.ascii_pattern = regex.compile(PATTERN), re.compile(ASCII_PATTERN)
+        self.packers: dict[int, struct.Struct] = {}
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece. A heap entry is rank * 2**32 + place; the rank names its pair."""
-        ids = [self.byte_ids[b] for b in piece]
-        n, rank_of, made = len(ids), self.rank_of, self.made
-        if n < 2:
+        """Ids of one piece. A heap entry is rank * 2**bits + place; the rank names its pair."""
+        ids = [*map(self.byte_ids.__getitem__, piece)]
+        n, rank_after, made = len(ids), self.rank_after, self.made
+        bits = n.bit_length()
+        low = (1 << bits) - 1
+        heap = [r << bits | i for i, (a, b) in enumerate(zip(ids, ids[1:])) if (r := rank_after[a](b)) is not None]
+        if not heap:
             return ids
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [r << 32 | i for i, r in enumerate(map(rank_of.get, [a << 32 | b for a, b in zip(ids, ids[1:])])) if r is not None]
-        heapq.heapify(heap)
-        pop, push = heapq.heappop, heapq.heappush
+        before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
+        heapify(heap)
         while heap:
-            entry = pop(heap)
-            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            entry = heappop(heap)
+            i = entry & low
             j = after[i]
-            if j >= n or ids[i] < 0 or rank_of.get(ids[i] << 32 | ids[j]) != rank:
+            # A symbol that is merged away is -1.
+            if j >= n or (a := ids[i]) < 0 or rank_after[a](ids[j]) != (rank := entry >> bits):
                 continue
             to = ids[i] = made[rank]
             ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                if (r := rank_of.get(to << 32 | ids[k])) is not None:
-                    push(heap, r << 32 | i)
+                if (r := rank_after[to](ids[k])) is not None:
+                    heappush(heap, r << bits | i)
             h = before[i]
-            if h >= 0 and (r := rank_of.get(ids[h] << 32 | to)) is not None:
-                push(heap, r << 32 | h)
+            if h >= 0 and (r := rank_after[ids[h]](to)) is not None:
+                heappush(heap, r << bits | h)
         return [x for x in ids if x >= 0]
 
     def _piece(self, piece: str) -> bytes:
@@ -110,7 +121,11 @@ class Tokenizer:
         out = self.older.get(piece)
         if out is None:
             ids = self.merge(piece.encode())
-            out = struct.pack(f"<{len(ids)}I", *ids)
+            if (pack := self.packers.get(n := len(ids))) is None:
+                pack = struct.Struct(f"<{n}I")
+                if n <= 64:
+                    self.packers[n] = pack
+            out = pack.pack(*ids)
         if len(piece) <= 64:
             if len(self.cache) >= CACHE_PIECES:
                 self.older = dict(self.cache)
@@ -120,15 +135,17 @@ class Tokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        known, one, out = self.cache.get, self._piece, bytearray()
+        known, one, out = self.cache.get, self._piece, []
         for part in self.cut.split(text) if self.cut else (text,):
             if part in self.added:
-                out += self.added[part].to_bytes(4, "little")
+                out.append(self.added[part].to_bytes(4, "little"))
+                continue
+            pattern = self.ascii_pattern if part.isascii() else self.pattern
+            if len(part) <= LISTED:
+                out += [known(p) or one(p) for p in pattern.findall(part)]
             else:
-                for m in self.pieces(part):
-                    p = m[0]
-                    out += known(p) or one(p)
-        return bytes(out)
+                out.append(b"".join(_joined(known(m[0]) or one(m[0]) for m in pattern.finditer(part))))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         try:
@@ -137,6 +154,17 @@ class Tokenizer:
             raise ValueError(f"id {e} is not in the vocabulary") from e
 
 
+def _joined(parts: Iterator[bytes]) -> Iterator[bytes]:
+    """The same bytes in larger parts, as there may be very many."""
+    out = bytearray()
+    for p in parts:
+        out += p
+        if len(out) >= 1 << 20:
+            yield bytes(out)
+            out.clear()
+    yield bytes(out)
+
+
 _loaded: dict[int, Tokenizer] = {}
 
 

@@ -37,6 +37,20 @@ def test_bpe_equals_library(spark):
         assert r.decoded == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_pieces_of_ascii_and_of_long_texts(monkeypatch):
+    """Texts of ASCII and others, listed and streamed, give the library's ids."""
+    from tokenizers import Tokenizer
+
+    with open(PATH, encoding="utf-8") as f:
+        tok = bpe.Tokenizer(f.read())
+    library, r = Tokenizer.from_file(PATH), random.Random(2)
+    texts = ["".join(r.choices([*map(chr, range(128)), *" \n\t'sdlremtv" * 8], k=60)) + end for end in ("", "\x85", " é") for _ in range(200)]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert [tok.encode(t) for t in texts] == want
+    monkeypatch.setattr(bpe, "LISTED", 10)
+    assert [tok.encode(t) for t in texts] == want
+
+
 def test_bpe_rejects_unknown_ids():
     with open(PATH, encoding="utf-8") as f:
         tok = bpe.Tokenizer(f.read())
