@@ -10,8 +10,8 @@ then the group's fingerprints form a binary trie that is joined with itself: pai
 down together, differing bits add up, and a pair is dropped if it is over the budget, or if
 all its leaves are in one part already. A task passes on a spanning forest of what it found, so a large
 group of near copies costs about its rows. Components of the forests are the candidate parts, and in each
-part the shingle sets of all pairs within the budget, that links do not join already, are compared;
-a task passes on a spanning forest of the links. So rows that are alike are found whether they met
+part the shingle sets of all pairs, that links do not join already, are compared, those of one fingerprint and
+those over the budget too; a task passes on a spanning forest of the links. So rows that are alike are found whether they met
 themselves or over others, and no pair leaves a task but as a link of a forest.
 
 Groups above GROUP_ROWS, and parts above PART_ROWS, are dealt into blocks, and each row goes to every pair of
@@ -84,13 +84,17 @@ def fingerprint(h: np.ndarray) -> np.ndarray:
 
 _FPS = [f"f{i}" for i in range(WORDS)]
 _FP_TYPES = ", ".join(f"{f} long" for f in _FPS)
+#: Rows that agree in these, `which` being the hash of the shingle set, are copies of each other.
+_SET = ["which", *_FPS]
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            fps = np.stack([fingerprint(shingles(t.as_py())) for t in b.column(2)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WORDS)]], names=["row", "id", *_FPS])
+            sets = [shingles(t.as_py()) for t in b.column(2)]
+            fps = np.stack(list(map(fingerprint, sets))).view(np.int64)
+            which = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(which), *[pa.array(np.ascontiguousarray(fps[:, i])) for i in range(WORDS)]], names=["row", "id", "which", *_FPS])
 
 
 def keys(fps: np.ndarray, table: int) -> np.ndarray:
@@ -278,9 +282,9 @@ def candidates(distinct: DataFrame) -> DataFrame:
     return dealt.select(F.col("key").alias("g"), "rep", *_FPS).repartition(n, "g").sortWithinPartitions("g").mapInArrow(_meet, "a long, b long").distinct()
 
 
-def like_pairs(sets: list[np.ndarray], fps: np.ndarray, like: float, budget: int = BUDGET) -> tuple[list[int], list[int]]:
-    """A spanning forest (a, b) of the pairs of sorted distinct sets that are within the budget and whose
-    Jaccard similarity is `like` and more. Two empty sets are alike.
+def like_pairs(sets: list[np.ndarray], fps: np.ndarray, like: float, budget: int = BITS) -> tuple[list[int], list[int]]:
+    """A spanning forest (a, b) of the pairs of sorted distinct sets whose Jaccard similarity is `like` and
+    more, and whose fingerprints differ in at most `budget` bits, if that is fewer than all. Two empty sets are alike.
 
     Sets are numbers of a common vocabulary, end to end; a set's marks give its overlap with all the others
     at once.
@@ -294,7 +298,8 @@ def like_pairs(sets: list[np.ndarray], fps: np.ndarray, like: float, budget: int
     for i in range(n - 1):
         j = np.arange(i + 1, n)
         j = j[(part[j] != part[i]) & (np.minimum(sizes[j], sizes[i]) >= like * np.maximum(sizes[j], sizes[i]) - 1e-9)]
-        j = j[np.bitwise_count(fps[j] ^ fps[i]).sum(axis=1, dtype=np.int64) <= budget] if len(j) else j
+        if budget < BITS and len(j):
+            j = j[np.bitwise_count(fps[j] ^ fps[i]).sum(axis=1, dtype=np.int64) <= budget]
         if not len(j):
             continue
         own = flat[starts[i] : starts[i] + sizes[i]]
@@ -332,8 +337,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(parts: DataFrame, reps: DataFrame, rows: DataFrame, row: str, text: str, like: float = LIKE) -> DataFrame:
-    """Spanning forests (a, b) of the links within candidate parts (rep, component): pairs within the budget whose
-    shingle sets have a similarity of `like` and more."""
+    """Spanning forests (a, b) of the links within candidate parts (rep, component): pairs whose shingle sets
+    have a similarity of `like` and more."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = joined(rows.select(F.col(row).alias("rep"), F.col(text).alias("text")), written(parts.select("rep")), "rep", "left_semi")
     sets = written(texts.mapInArrow(_sets, "rep long, s binary"))
@@ -352,17 +357,26 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     return rows, alone(lambda: _classes(rows, row, doc_id, text, like)), row
 
 
+def _members(reps: DataFrame, firsts: DataFrame, parts: DataFrame) -> DataFrame:
+    """(rep, component) of all sets of the fingerprints in `parts`, and of those that several sets have. firsts: the
+    first rep of each fingerprint, and its sets."""
+    more = firsts.filter("sets > 1").join(parts, "rep", "left").select(*_FPS, F.col("rep").alias("first"), F.coalesce("component", "rep").alias("component"))
+    others = joined(reps.select("rep", *_FPS), written(more), _FPS, "inner", 48).filter("rep <> first").select("rep", "component")
+    return parts.select("rep", "component").unionByName(others).unionByName(more.select(F.col("first").alias("rep"), "component")).distinct()
+
+
 def _classes(rows: DataFrame, row: str, doc_id: str, text: str, like: float) -> DataFrame:
     ids = F.col(doc_id).cast("long")
-    prints = written(rows.select(F.col(row).alias("row"), ids.alias("id"), F.col(text).alias("text")).mapInArrow(_prints, f"row long, id long, {_FP_TYPES}"))
+    prints = written(rows.select(F.col(row).alias("row"), ids.alias("id"), F.col(text).alias("text")).mapInArrow(_prints, f"row long, id long, which long, {_FP_TYPES}"))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("least")
-    reps = written(prints.groupBy(*_FPS).agg(F.min("row").alias("rep"), least))
-    parts = written(components(candidates(reps)).withColumnRenamed("node", "rep"))
+    reps = written(prints.groupBy(*_SET).agg(F.min("row").alias("rep"), least))
+    firsts = written(reps.groupBy(*_FPS).agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("sets")))
+    parts = written(_members(reps, firsts, components(candidates(firsts)).withColumnRenamed("node", "rep")))
     linked = components(links(parts, reps, rows, row, text, like)).select(F.col("node").alias("rep"), "component")
     classes = reps.join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    firsts = classes.groupBy("component").agg(F.min("least").alias("first"))
-    classes = written(classes.join(firsts, "component").select(*_FPS, "first"))
-    return prints.join(classes, _FPS).select("row", F.col("first.id").alias("component_id"), F.col("first.row").alias("first"))
+    least_of = classes.groupBy("component").agg(F.min("least").alias("first"))
+    classes = written(classes.join(least_of, "component").select(*_SET, "first"))
+    return prints.join(classes, _SET).select("row", F.col("first.id").alias("component_id"), F.col("first.row").alias("first"))
 
 
 def one_of_each(df: DataFrame, doc_id: str = "doc_id", text: str = "text", like: float = LIKE) -> DataFrame:

@@ -167,3 +167,29 @@ def test_cluster_without_shared_folder_is_an_error(master):
 
     with pytest.raises(RuntimeError):
         common.shared_dir(Session())
+
+
+def texts_of_one_fingerprint():
+    """Two texts that differ in a shingle and not in their fingerprint, and one that is like the second only."""
+    for seed in range(200):
+        r = random.Random(seed)
+        words = ["".join(r.choices("abcdefghijkl", k=5)) for _ in range(4004)]
+        one, two = (W.fingerprint(W.shingles(" ".join(w))) for w in (words[:-1], words))
+        three = W.fingerprint(W.shingles(" ".join(words[800:])))
+        if (one == two).all() and np.bitwise_count(two ^ three).sum() <= 36:
+            return [" ".join(w) for w in (words[:-1], words, words[800:])]
+
+
+def test_texts_of_one_fingerprint_each_have_their_own_links(spark):
+    texts = texts_of_one_fingerprint()
+    assert brute(texts) == [0, 0, 0] and brute(texts[::2]) == [0, 1]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x.doc_id for x in W.one_of_each(df).collect()] == [0]
+
+
+def test_like_sets_of_a_part_are_linked_whatever_their_bits():
+    """Short texts: four of five shingles, with more bits different than the budget."""
+    sets = [np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64)]
+    bits = np.zeros((2, W.BITS), np.uint8)
+    bits[1, : W.BUDGET + 1] = 1
+    assert W.like_pairs(sets, stored(bits).view(np.uint64), 0.8) == ([0], [1])
