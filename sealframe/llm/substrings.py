@@ -467,13 +467,71 @@ def like_rows(group: np.ndarray, doc: np.ndarray, around: np.ndarray, left: np.n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-_NEAR = ["key", "doc_id", "place", "around", "more"]
+def needed(text: np.ndarray, pair: np.ndarray, give: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which hits are enough: others of the text cover what each hit that is left out may, and each pair keeps one.
+
+    give: first and last place of the shingles that a hit covers for sure, (0, -1) for none; need: of all those it may.
+    """
+    (lo, hi), n = give, len(text)
+    keep = hi < lo
+    some = np.flatnonzero(~keep)
+    if not len(some):
+        return keep
+    some = some[np.lexsort((-hi[some], lo[some], text[some]))]
+    base = (np.unique(text[some], return_inverse=True)[1] + 1) << 34
+    start, stop = base + lo[some], base + hi[some]
+    reach = np.maximum.accumulate(stop)
+    wide = (need[0][some] != lo[some]) | (need[1][some] != hi[some])
+    held = np.append(False, reach[:-1] >= stop[1:])
+    held[wide] = np.append(-1, reach)[np.searchsorted(start, base[wide] + need[0][some][wide], side="right")] >= base[wide] + need[1][some][wide]
+    keep[some[wide & ~held]] = True
+    # What is left has growing ends: of those that begin within what is covered, the one that reaches furthest.
+    left = np.flatnonzero(~held & ~wide)
+    covered = best = -1
+    starts, stops = start[left].tolist(), stop[left].tolist()
+    for k, at in enumerate(starts):
+        if at > covered + 1:
+            if best >= 0 and stops[best] > covered:
+                keep[some[left[best]]], covered = True, stops[best]
+            if at > covered + 1:
+                covered = at - 1
+        best = k
+    if best >= 0:
+        keep[some[left[best]]] = True
+    # A pair that has no sure hit among these keeps its longest.
+    has = np.zeros(int(pair.max()) + 1, bool)
+    has[pair[some[keep[some]]]] = True
+    rest = some[~has[pair[some]]]
+    rest = rest[np.lexsort((lo[rest] - hi[rest], pair[rest]))]
+    keep[rest[np.append(True, pair[rest][1:] != pair[rest][:-1])[: len(rest)]]] = True
+    return keep
+
+
+def shared(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(give, need) of pairs of rows of like_rows(), as distances from the middle: the ends of the equal shingles
+    about it, if these hold a window, and of all windows that may be like."""
+    place = np.arange(2 * NEAR + 1)
+    same = (x == y) & (place >= NEAR - left[:, None]) & (place <= NEAR + right[:, None])
+    end = np.zeros((len(x), 1), bool)
+    give = np.stack([1 - np.argmin(np.concatenate([same[:, NEAR::-1], end], axis=1), axis=1), np.argmin(np.concatenate([same[:, NEAR:], end], axis=1), axis=1) - 1])
+    sums = np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
+    like = sums[:, WIDTH:] - sums[:, :-WIDTH] >= WIDTH - SHINGLE
+    like[:, 0] |= ~like.any(axis=1)
+    need = np.stack([np.argmax(like, axis=1), 2 * NEAR - np.argmax(like[:, ::-1], axis=1)])
+    # No further than the outermost shingles in common.
+    first, last = np.argmax(same & (place >= need[0][:, None]), axis=1), 2 * NEAR - np.argmax((same & (place <= need[1][:, None]))[:, ::-1], axis=1)
+    need = np.stack([np.minimum(first - NEAR, give[0]), np.maximum(last - NEAR, give[1])])
+    return np.where(give[1] - give[0] + 1 >= WIDTH, give, np.array([[0], [-1]])), need
+
+
+_NEAR = ["key", "doc_id", "place", "text", "around", "more"]
 
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, open), open being (key, places, hash) of its rows of large groups, to a row for each
     place with the shingles around, in 32 bits, and how many of these are the text's on either side. Places of
-    one key that have all that in common, as in a text of one line over and over, are one row: `more` are the later ones."""
+    one key that have all that in common, as in a text of one line over and over, are one row: `more` are the later ones;
+    `text` tells texts of one id apart."""
     known = _Hashes()
     salts = np.array([_salt(k) for k in range(HASHES)])
     for b in batches:
@@ -481,7 +539,8 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, places, hashes = (b.column(2).values.field(n).to_numpy(zero_copy_only=False) for n in ("key", "places", "hash"))
         first, last = _unpack(places)
         for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
-            span = _spans(_hashed(text.as_py().encode(), known), SHINGLE)
+            raw = text.as_py().encode()
+            span = _spans(_hashed(raw, known), SHINGLE)
             rows = np.arange(ends_at[i], ends_at[i + 1])
             # Of several texts of one id, a row is of those that have its shingle there.
             rows = rows[last[rows] < len(span)]
@@ -501,10 +560,10 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at.append(same[low])
                 key.append(np.full(len(low), keys[k]))
                 more += [x.tobytes() for x in np.split(same[later][order], cuts)]
-            at, key = np.concatenate(at), np.concatenate(key)
+            at, key, which = np.concatenate(at), np.concatenate(key), xxhash.xxh64_intdigest(raw) >> 1
             for lo in range(0, len(at), 4000):
                 some = at[lo : lo + 4000]
-                out.append((key[lo : lo + 4000], np.full(len(some), doc), some, _contexts(wide, some, len(span)), more[lo : lo + 4000]))
+                out.append((key[lo : lo + 4000], np.full(len(some), doc), some, np.full(len(some), which, np.int64), _contexts(wide, some, len(span)), more[lo : lo + 4000]))
                 have += len(some)
                 if have >= 4000:
                     yield _near_batch(out)
@@ -526,23 +585,39 @@ def _near_batch(out: list) -> pa.RecordBatch:
 
 
 def _refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _around(), sorted by key, document and place, to pairs that met for sure."""
+    """Rows of _around(), sorted by key, document and place, to pairs that met for sure, less the hits that add
+    neither words nor a pair to those of other hits."""
 
-    def solve(key, doc, place, around, more):
+    def solve(key, doc, place, text, around, more):
         data = np.frombuffer(b"".join(around), "<u4").reshape(len(key), -1)
-        a, b, shift = like_rows(key, doc, data[:, :-2].astype(np.uint64), *data[:, -2:].astype(np.int64).T)
+        left, right = data[:, -2:].astype(np.int64).T
+        a, b, shift = like_rows(key, doc, data[:, :-2].astype(np.uint64), left, right)
         moved = np.flatnonzero(shift)
         a, b, shift = np.append(a, a[moved]), np.append(b, b[moved]), np.append(np.zeros(len(a), np.int64), shift[moved])
-        ours, of = place[a], [np.frombuffer(more[x], np.int64) for x in a.tolist()]
-        if any(map(len, of)):
-            again = np.repeat(np.arange(len(a)), [len(x) for x in of])
-            ours = np.concatenate([ours, *of])
+        if not len(a):
+            return
+        both, which = np.unique(a * len(key) + b, return_inverse=True)
+        give, need = np.zeros((2, len(both)), np.int64), np.zeros((2, len(both)), np.int64)
+        for lo in range(0, len(both), 10_000):
+            x, y = np.divmod(both[lo : lo + 10_000], len(key))
+            give[:, lo : lo + 10_000], need[:, lo : lo + 10_000] = shared(data[x, :-2], data[y, :-2], np.minimum(left[x], left[y]), np.minimum(right[x], right[y]))
+        give, need = give[:, which], need[:, which]
+        give[:, shift != 0] = [[0], [-1]]
+        ours, many = place[a], np.array([len(x) for x in more]) >> 3
+        if (times := many[a]).any():
+            again = np.repeat(np.arange(len(a)), times)
+            at = np.repeat((np.cumsum(many) - many)[a] - (np.cumsum(times) - times), times) + np.arange(len(again))
+            ours = np.append(ours, np.frombuffer(b"".join(more), np.int64)[at])
             a, b, shift = np.append(a, a[again]), np.append(b, b[again]), np.append(shift, shift[again])
+            give, need = np.append(give, give[:, again], axis=1), np.append(need, need[:, again], axis=1)
+        sure, (_, who) = give[1] >= give[0], np.unique(doc, return_inverse=True)
+        pair = np.unique(who[a] * len(key) + who[b], return_inverse=True)[1]
+        own = np.unique(mix(doc.view(np.uint64)) ^ text.view(np.uint64), return_inverse=True)[1]
+        keep = needed(own[a], pair, np.where(sure, give + ours, give), need + ours)
+        a, b, shift, ours = a[keep], b[keep], shift[keep], ours[keep]
         diagonal = place[b] + shift - ours
         order = np.lexsort((ours, diagonal, doc[b], doc[a]))
         a, b, diagonal, ours = a[order], b[order], diagonal[order], ours[order]
-        if not len(a):
-            return
         # One hit for a diagonal, from the first place on it to the last.
         new = np.append(True, (doc[a][1:] != doc[a][:-1]) | (doc[b][1:] != doc[b][:-1]) | (diagonal[1:] != diagonal[:-1]))
         lo, hi, diagonal = ours[new], ours[np.append(new[1:], True)], diagonal[new]
@@ -672,7 +747,7 @@ def candidates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     met = written(signed.repartition(n, "key").sortWithinPartitions("key", "doc_id", "places").mapInArrow(_meet, _schema(_MET)))
     open_ = met.filter(F.col("rep") == _OPEN).select("doc_id", F.col("rep_places").alias("key"), "places", "hash")
     asked = open_.groupBy("doc_id").agg(F.collect_list(F.struct("key", "places", "hash")).alias("open"))
-    around = written(rows.filter("text is not null").join(asked, "doc_id").mapInArrow(_around, "key long, doc_id long, place long, around binary, more binary"))
+    around = written(rows.filter("text is not null").join(asked, "doc_id").mapInArrow(_around, "key long, doc_id long, place long, text long, around binary, more binary"))
     large = written(around.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP_ROWS))
     dealt = _in_blocks(joined(around, large, "key", "left"), "key", "doc_id", F.col("n"), GROUP_ROWS).select(*_NEAR)
     sure = dealt.repartition(n, "key").sortWithinPartitions("key", "doc_id", "place").mapInArrow(_refine, _schema(_MET))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sealframe.llm import substrings as S
@@ -227,3 +228,44 @@ def parts(n, pairs):
         lo, hi = sorted((up[x], up[y]))
         up = [lo if u == hi else u for u in up]
     return up
+
+
+def refined(docs):
+    """Rows that _refine() makes of texts in one task."""
+    rows = pa.record_batch([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs])], names=["doc_id", "text"])
+    signed = pa.Table.from_batches(list(S._sign(iter([rows])))).sort_by([("key", "ascending"), ("doc_id", "ascending"), ("places", "ascending")])
+    open_ = {}
+    for x in pa.Table.from_batches(list(S._meet(iter(signed.combine_chunks().to_batches())))).to_pylist():
+        if x["rep"] == S._OPEN:
+            open_.setdefault(x["doc_id"], []).append({"key": x["rep_places"], "places": x["places"], "hash": x["hash"]})
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("places", pa.int64()), ("hash", pa.int32())]))
+    asked = pa.record_batch([pa.array(list(open_)), pa.array([dict(docs)[i] for i in open_]), pa.array(list(open_.values()), kind)], names=["doc_id", "text", "open"])
+    around = pa.Table.from_batches(list(S._around(iter([asked])))).sort_by([("key", "ascending"), ("doc_id", "ascending"), ("place", "ascending")])
+    return sum(b.num_rows for b in S._refine(iter(around.combine_chunks().to_batches())))
+
+
+def test_texts_of_one_line_over_and_over_meet_by_few_rows(spark):
+    """Every word of the line that an earlier text has counts, and hits that add no words go no further."""
+    r = random.Random(16)
+    runs = [r.randrange(60, 300) for _ in range(60)]
+    docs = [(i, " ".join(fresh_words(r, 60) + ["over", "again"] * n + fresh_words(r, 60))) for i, n in enumerate(runs)]
+    rows = {x.doc_id: x for x in S.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {x.class_id for x in rows.values()} == {0}
+    assert [rows[i].repeated_words for i in range(60)] == [0] + [2 * n for n in runs[1:]]
+    assert refined(docs) < 60 * 40
+
+
+def test_needed_hits_cover_what_all_cover():
+    g = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(g.integers(1, 60))
+        text, pair, lo = g.integers(0, 3, n), g.integers(0, 6, n), g.integers(0, 150, n)
+        pair += 6 * text
+        hi = lo + g.integers(0, 40, n)
+        need = np.stack([lo - g.integers(0, 3, n) * (g.random(n) < 0.2), hi + g.integers(0, 3, n) * (g.random(n) < 0.2)])
+        none = g.random(n) < 0.1
+        lo[none], hi[none] = 0, -1
+        keep = S.needed(text, pair, np.stack([lo, hi]), need)
+        cover = lambda some, ends: {(t, x) for t, a, b in zip(text[some].tolist(), ends[0][some].tolist(), ends[1][some].tolist()) for x in range(a, b + 1)}
+        assert cover(~keep, need) <= cover(keep, np.stack([lo, hi]))
+        assert keep[none].all() and set(pair[~none].tolist()) == set(pair[keep & ~none].tolist())
