@@ -61,22 +61,12 @@ AGREE = 2
 NEAR = WIDTH - 1
 #: Words that are worked on at once; positions fit the bits that a hash gives up.
 _WORDS = 400_000
+#: Bytes of texts that are hashed at once, or one text.
+_BYTES = 500_000
 _BITS = np.uint64(20)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-class _Hashes(dict):
-    """Hashes of words: a bounded cache, made anew for each partition."""
-
-    LIMIT = 100_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return h
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -84,6 +74,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+#: A factor for each byte of a word; longer words are hashed by XXH64.
+_FACTORS = mix(np.arange(SEED, SEED + 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of all texts, end to end, and the number of words of each: a sum of bytes
+    times factors by place, mixed."""
+    raw = b" ".join(texts).lower()
+    codes = np.frombuffer(raw, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[codes], [True]])))
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), 100_000):
+        lo, size = starts[k : k + 100_000], (ends - starts)[k : k + 100_000]
+        part = codes[lo[0] : lo[-1] + size[-1]]
+        first = np.cumsum(size) - size
+        place = np.arange(int(size.sum())) - np.repeat(first, size)
+        values = (part[~_SPACE[part]].astype(np.uint64) + np.uint64(1)) * _FACTORS[np.minimum(place, len(_FACTORS) - 1)]
+        out[k : k + 100_000] = mix(np.add.reduceat(values, first))
+        for j in np.flatnonzero(size > len(_FACTORS)).tolist():
+            out[k + j] = xxhash.xxh64_intdigest(raw[lo[j] : lo[j] + size[j]], SEED)
+    bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return out, np.diff(np.searchsorted(starts, bounds))
+
+
 def _spans(x: np.ndarray, n: int) -> np.ndarray:
     """Polynomial hash of every n consecutive values, by doubling."""
     base, out, have, block, size, power = 0x9E3779B97F4A7C15, None, 0, x, 1, 0x9E3779B97F4A7C15
@@ -209,27 +225,39 @@ def signatures(words: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndar
         yield key, owner[c[at]], _pack(c[at] - base, c[end] - base), _pack(np.minimum.reduceat(low, at) - base, np.maximum.reduceat(high, at) - base), around
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], known: _Hashes) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     """(ids, word hashes, lengths) of whole documents, about _WORDS at a time; a document
     longer than that is a block of its own, cut in overlapping pieces that share its id."""
     overlap = WIDTH + SHINGLE - 2
     ids, parts, total = [], [], 0
-    for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = (t.as_py() or "").encode().lower().split()
-            if i is None or len(words) <= overlap:
-                continue
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            if len(h) > _WORDS:
-                for at in range(0, len(h) - overlap, _WORDS - overlap):
-                    yield [(i, at)], h[at : at + _WORDS], np.array([len(h[at : at + _WORDS])])
-                continue
-            if total + len(h) > _WORDS:
-                yield ids, np.concatenate(parts), np.array(list(map(len, parts)))
-                ids, parts, total = [], [], 0
-            ids.append((i, 0))
-            parts.append(h)
-            total += len(h)
+
+    def texts():
+        """(id, word hashes), hashed some at a time."""
+        for batch in batches:
+            some, size = [], 0
+            rows = batch.column(0).to_pylist()
+            for k, (i, t) in enumerate(zip(rows, batch.column(1))):
+                if i is not None:
+                    some.append((i, (t.as_py() or "").encode()))
+                    size += len(some[-1][1])
+                if some and (size > _BYTES or k + 1 == len(rows)):
+                    h, n = hashed_words([t for _, t in some])
+                    yield from zip([i for i, _ in some], np.split(h, np.cumsum(n)[:-1]))
+                    some, size = [], 0
+
+    for i, h in texts():
+        if len(h) <= overlap:
+            continue
+        if len(h) > _WORDS:
+            for at in range(0, len(h) - overlap, _WORDS - overlap):
+                yield [(i, at)], h[at : at + _WORDS], np.array([len(h[at : at + _WORDS])])
+            continue
+        if total + len(h) > _WORDS:
+            yield ids, np.concatenate(parts), np.array(list(map(len, parts)))
+            ids, parts, total = [], [], 0
+        ids.append((i, 0))
+        parts.append(h)
+        total += len(h)
     if parts:
         yield ids, np.concatenate(parts), np.array(list(map(len, parts)))
 
@@ -267,8 +295,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of signatures. Of the rows of a block that share a key and all that is around it, if over FEW, only
     the first goes on under it; the others meet that one here, so a key that very many copies have
     meets as FEW rows a block at most."""
-    known = _Hashes()
-    for ids, words, lengths in _blocks(batches, known):
+    for ids, words, lengths in _blocks(batches):
         who_of, shift = np.array([i for i, _ in ids], np.int64), np.array([s for _, s in ids], np.int64)
         for k, (key, who, places, window, around) in enumerate(signatures(words, lengths)):
             doc, moved = who_of[who], _pack(shift[who], shift[who])
@@ -350,6 +377,14 @@ def agreeing(k: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]], agree: i
     return keep
 
 
+def _again(key: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, code) without most of the entries whose key no other has."""
+    bits = len(key).bit_length() + 2
+    slot = (key * np.uint64(_BASE) >> np.uint64(64 - bits)).astype(np.int64)
+    some = (np.bincount(slot, minlength=1 << bits) > 1)[slot]
+    return key[some], code[some]
+
+
 def _same(key: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code, least code) of the entries whose key others have too."""
     order = np.argsort(key)
@@ -363,6 +398,27 @@ def _same(key: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code, np.minimum.reduceat(code, np.flatnonzero(new))[np.cumsum(new) - 1]
 
 
+def _forks(group: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Which places of a row's shingles are the first, from the middle on, that another row of its group has
+    otherwise. All rows with what lies between in common fork there, or none does; where none does, a part that
+    is left out from there on may as well begin a place further from the middle."""
+    n, out = len(group), np.zeros(around.shape, bool)
+    if n < 2:
+        return out
+    for way in (1, -1):
+        rows = np.concatenate([group[:, None].view(np.uint32).reshape(n, 2), around[:, NEAR::way].astype(np.uint32)], axis=1)
+        order = np.argsort(rows.view("V" + str(4 * rows.shape[1])).ravel())
+        rows = rows[order]
+        other = rows[1:] != rows[:-1]
+        common = np.where(other.any(axis=1), np.argmax(other, axis=1) - 2, NEAR + 1)
+        for d in range(1, NEAR + 1):
+            part = np.append(0, np.cumsum(common < d))
+            has = np.zeros(part[-1] + 1, bool)
+            has[part[1:][common == d]] = True
+            out[order, NEAR + way * d] = has[part]
+    return out
+
+
 def like_rows(group: np.ndarray, doc: np.ndarray, around: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, shift) of rows a and the first row b of one group that has a like window about its middle.
 
@@ -386,75 +442,114 @@ def like_rows(group: np.ndarray, doc: np.ndarray, around: np.ndarray, left: np.n
     of_low = low[~copy & (code != low)]
     kept = np.flatnonzero(alone_)
     sums, salt, left, right, place = sums[:, kept], salt[kept], left[kept], right[kept], doc[kept]
+    low_i, high_i = NEAR - left, right
     last, last_doc = np.full(len(kept), -1), np.full(len(kept), -1)
     covered, pairs = np.zeros((len(kept), 2 * NEAR + 1), bool), []
+    forks = _forks(group[kept], around[kept])
 
-    def add(code, low, middle_left, *ranges):
-        """Rows that share a key, each with the least one, if that is another document than the last one it met, or if
-        some of the shingles in the key are not yet among those that it shares. ranges: places of these
-        shingles, without and with a part that stands further on."""
-        row, first = code >> 1, low >> 1
-        # The part without the middle stands `shift` further on in the first row than in this one.
-        shift = (code & 1) - (low & 1) if middle_left else (low & 1) - (code & 1)
-        some = (place[row] != place[first]) & ((last[row] != first) | (shift != 0))
-        if not some.any():
+    def add(row, first, shift, ranges):
+        """Rows that share a key, each with the first one, if that is another document than the last one it met, or if
+        some of the shingles in the key are not yet among those that it shares. ranges: places of these shingles."""
+        some = np.flatnonzero((place[row] != place[first]) & ((last[row] != first) | (shift != 0)))
+        if not len(some):
+            return
+        row, first, shift = row[some], first[some], shift[some]
+        if isinstance(ranges, tuple):
+            x, y = ranges
+            fresh = (last_doc[row] != place[first]) | ~covered[row, x:y].all(axis=1)
+            row, first = row[fresh], first[fresh]
+            covered[row, x:y], last[row], last_doc[row] = True, first, place[first]
+            pairs.append((row * len(kept) + first) * 3 + 1)
             return
-        row, first, shift, kind = row[some], first[some], shift[some], code[some] & 1
+        ranges = [(x[some], y[some]) for x, y in ranges]
+        of_row, at = np.unique(row, return_inverse=True)
+        over = np.zeros((len(of_row), 2 * NEAR + 2), np.int16)
+        np.cumsum(covered[of_row], axis=1, out=over[:, 1:])
         fresh = last_doc[row] != place[first]
-        for k, of_kind in enumerate(ranges):
-            at = np.flatnonzero(kind == k)
-            for x, y in of_kind:
-                fresh[at] |= ~covered[row[at], x:y].all(axis=1)
-        for k, of_kind in enumerate(ranges):
-            at = row[fresh & (kind == k) & (shift == 0)]
-            for x, y in of_kind:
-                covered[at, x:y] = True
-        row, first, shift = row[fresh], first[fresh], shift[fresh]
+        for x, y in ranges:
+            fresh |= over[at, y] - over[at, x] < y - x
+        row, first, shift, at, ranges = row[fresh], first[fresh], shift[fresh], at[fresh], [(x[fresh], y[fresh]) for x, y in ranges]
+        if not len(row):
+            return
+        still, more = shift == 0, np.zeros((len(of_row), 2 * NEAR + 2), np.int32)
+        for x, y in ranges:
+            np.add.at(more, (at[still], x[still]), 1)
+            np.add.at(more, (at[still], y[still]), -1)
+        covered[of_row] |= np.cumsum(more, axis=1)[:, :-1] > 0
         last[row], last_doc[row] = first, place[first]
-        if len(row):
-            pairs.append((row * len(kept) + first) * 3 + shift + 1)
+        pairs.append(np.unique((row * len(kept) + first) * 3 + shift + 1))
 
+    # What is side by side: the same shingles at several ends of a window make the same groups, unless texts end there.
+    for u in range(SHINGLE, NEAR + 1):
+        rows = np.flatnonzero((low_i <= u) & (high_i >= u - SHINGLE))
+        code, low = _same(sums[u + common, rows] - sums[u, rows] + salt[rows], rows)
+        if not len(code):
+            continue
+        at = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+        size = np.diff(np.append(at, len(low)))
+        whole = (low_i[code] <= u - SHINGLE) & (high_i[code] >= u)
+        part = ~np.repeat(np.logical_and.reduceat(whole, at), size)
+        found_u = [code[~part] * len(kept) + low[~part]]
+        if part.any():
+            code, size = code[part], size[part[at]]
+            at = np.cumsum(size) - size
+            for x in range(SHINGLE + 1):
+                valid = (low_i[code] <= u - x) & (high_i[code] >= u - x)
+                found_u.append((code * len(kept) + np.repeat(np.minimum.reduceat(np.where(valid, code, len(kept)), at), size))[valid])
+        row, first = np.divmod(np.unique(np.concatenate(found_u)), len(kept))
+        add(row, first, np.zeros(len(row), np.int64), (u, u + common))
+    tags = mix(np.arange(1, WIDTH + 1, dtype=np.uint64))
     for i in range(NEAR + 1):
-        rows = np.flatnonzero((i >= NEAR - left) & (i <= right))
+        rows = np.flatnonzero((low_i <= i) & (high_i >= i))
         if len(rows) < 2:
             continue
-        s, t = sums[i : i + WIDTH + 1, rows], salt[rows]
-        for x in range(SHINGLE + 1):
-            if i + x <= NEAR < i + x + common:
-                add(*_same(s[x + common] - s[x] + t, rows << 1), True, [(i + x, i + x + common)])
         # Of rows with the whole window in common the first goes on, and others of its document that have
         # shingles there which are not yet shared.
-        code, low = _same(s[WIDTH] - s[0] + t, np.arange(len(rows)))
+        code, low = _same(sums[i + WIDTH, rows] - sums[i, rows] + salt[rows], np.arange(len(rows)))
         live = np.ones(len(rows), bool)
         code, low = code[code != low], low[code != low]
         live[code[(place[rows[code]] != place[rows[low]]) | covered[rows[code], i : i + WIDTH].all(axis=1)]] = False
-        rows, s, t = rows[live], s[:, live], t[live]
+        rows = rows[live]
+        t, at = salt[rows], lambda k: sums[i + k, rows]
         # The longer part has half of what is common, and the other one the window's end.
-        half, one = (common + 1) // 2, lambda k: s[k + 1] - s[k]
-        head, tail = s[half] - s[0], s[WIDTH] - s[WIDTH - half]
+        half, one = (common + 1) // 2, lambda k: at(k + 1) - at(k)
+        head, tail, first, last_one = at(half) - at(0), at(WIDTH) - at(WIDTH - half), one(0), one(WIDTH - 1)
         ends = [
-            (head * odd + one(WIDTH - 1), head * odd + one(WIDTH - 2) * base, (s[half + 1] - s[1]) * back * odd + one(WIDTH - 1)),
-            (tail * odd + one(0), (s[WIDTH - 1] - s[WIDTH - 1 - half]) * base * odd + one(0), tail * odd + one(1) * back)]
+            (head * odd + last_one, head * odd + one(WIDTH - 2) * base, (at(half + 1) - at(1)) * back * odd + last_one),
+            (tail * odd + first, (at(WIDTH - 1) - at(WIDTH - 1 - half)) * base * odd + first, tail * odd + one(1) * back)]
         live = np.zeros(len(rows), bool)
         for three in ends:
-            code, low = _same(np.concatenate(three) + np.tile(t, 3), np.tile(np.arange(len(rows)), 3))
+            code, low = _same(*_again(np.concatenate(three) + np.tile(t, 3), np.tile(np.arange(len(rows)), 3)))
             other = np.zeros(len(rows), bool)
             other[low[place[rows[code]] != place[rows[low]]]] = True
             live[code[other[low]]] = True
-        rows, s, t = rows[live], s[:, live], t[live]
+        rows = rows[live]
         if len(rows) < 2:
             continue
-        codes = np.concatenate([rows << 1, rows << 1 | 1])
-        for p in range(1, common):
-            middle_left = NEAR < i + p
-            if not middle_left and NEAR < i + p + SHINGLE:
+        s, t = sums[i : i + WIDTH + 1, rows], salt[rows]
+        # Places p of a part that is left out which have a fork at its side of the middle.
+        split = np.zeros((len(rows), common), bool)
+        after, before = max(1, NEAR + 1 - i), max(1, min(common, NEAR + 1 - i - SHINGLE))
+        split[:, after:] = forks[rows, i + after : i + common]
+        split[:, 1:before] |= forks[rows, i + SHINGLE : i + before + SHINGLE - 1]
+        for some in np.array_split(np.arange(1, common), 1 + int(split.sum()) // 100_000):
+            r, p = np.nonzero(split[:, some])
+            if not len(r):
                 continue
-            head, tail = (s[p] - s[0]) * odd + t, s[WIDTH] - s[p + SHINGLE]
-            if middle_left:
-                less, moved = head + (s[WIDTH - 1] - s[p + SHINGLE - 1]) * base, [(i, i + p), (i + p + SHINGLE - 1, i + WIDTH - 1)]
-            else:
-                less, moved = (s[p + 1] - s[1]) * back * odd + t + tail, [(i + 1, i + p + 1), (i + p + SHINGLE, i + WIDTH)]
-            add(*_same(np.concatenate([head + tail, less]), codes), middle_left, [(i, i + p), (i + p + SHINGLE, i + WIDTH)], moved)
+            p = some[p]
+            middle_left = NEAR < i + p
+            salted = t[r] + tags[p]
+            head, tail = (s[p, r] - s[0, r]) * odd + salted, s[WIDTH, r] - s[p + SHINGLE, r]
+            less = np.where(middle_left, head + (s[WIDTH - 1, r] - s[p + SHINGLE - 1, r]) * base, (s[p + 1, r] - s[1, r]) * back * odd + salted + tail)
+            codes = (rows[r] << 1) * WIDTH + p
+            code, low = _same(np.concatenate([head + tail, less]), np.concatenate([codes, codes + WIDTH]))
+            (row, p), first = np.divmod(code, WIDTH), low // WIDTH
+            kind, theirs = row & 1, first & 1
+            # The part without the middle stands `shift` further on in the first row than in this one.
+            middle_left = NEAR < i + p
+            shift = np.where(middle_left, kind - theirs, theirs - kind)
+            ahead, behind = kind * ~middle_left, kind * middle_left
+            add(row >> 1, first >> 1, shift, [(i + ahead, i + ahead + p), (i + p + SHINGLE - behind, i + WIDTH - behind)])
     if pairs:
         both, shift = np.divmod(np.unique(np.concatenate(pairs)), 3)
         a, b = (kept[x] for x in np.divmod(both, len(kept)))
@@ -514,7 +609,8 @@ def shared(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray) ->
     same = (x == y) & (place >= NEAR - left[:, None]) & (place <= NEAR + right[:, None])
     end = np.zeros((len(x), 1), bool)
     give = np.stack([1 - np.argmin(np.concatenate([same[:, NEAR::-1], end], axis=1), axis=1), np.argmin(np.concatenate([same[:, NEAR:], end], axis=1), axis=1) - 1])
-    sums = np.concatenate([np.zeros((len(x), 1), np.int64), np.cumsum(same, axis=1)], axis=1)
+    sums = np.zeros((len(x), 2 * NEAR + 2), np.int8)
+    np.cumsum(same, axis=1, dtype=np.int8, out=sums[:, 1:])
     like = sums[:, WIDTH:] - sums[:, :-WIDTH] >= WIDTH - SHINGLE
     like[:, 0] |= ~like.any(axis=1)
     need = np.stack([np.argmax(like, axis=1), 2 * NEAR - np.argmax(like[:, ::-1], axis=1)])
@@ -532,7 +628,6 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place with the shingles around, in 32 bits, and how many of these are the text's on either side. Places of
     one key that have all that in common, as in a text of one line over and over, are one row: `more` are the later ones;
     `text` tells texts of one id apart."""
-    known = _Hashes()
     salts = np.array([_salt(k) for k in range(HASHES)])
     for b in batches:
         out, have, ends_at = [], 0, b.column(2).offsets.to_numpy()
@@ -540,7 +635,7 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, last = _unpack(places)
         for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
             raw = text.as_py().encode()
-            span = _spans(_hashed(raw, known), SHINGLE)
+            span = _spans(hashed_words([raw])[0], SHINGLE)
             rows = np.arange(ends_at[i], ends_at[i + 1])
             # Of several texts of one id, a row is of those that have its shingle there.
             rows = rows[last[rows] < len(span)]
@@ -659,55 +754,70 @@ def _like(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return distinct(x) + distinct(y) - union >= LIKE * union - 1e-9
 
 
-def verify(a: np.ndarray, b: np.ndarray, hits: list[tuple[int, int, int]]) -> list[int]:
-    """Ranges from, to, … of the words of a that b has in like windows: for each hit (diagonal, low,
-    high), windows of a that start up to WIDTH before low, until high, against those of b
+#: Bytes of texts, and places of hits, that are verified at once.
+_VERIFIED = 1_000_000
+
+
+def verify(pairs: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]) -> list[list[int]]:
+    """For each pair (a, b, hits) ranges from, to, … of the words of a that b has in like windows: for each hit
+    (diagonal, low, high), windows of a that start up to WIDTH before low, until high, against those of b
     a diagonal further on that share RUN words in a row. Of a like window count the words of
-    shared shingles only. Windows whose words all count already are not compared again."""
-    n = WIDTH + SHINGLE - 1
-    if len(a) < n or len(b) < n:
-        return []
-    sa, sb = _spans(a, SHINGLE), _spans(b, SHINGLE)
-    core = RUN - SHINGLE + 1
-    over = lambda flags, size: (t := np.append(0, np.cumsum(flags)))[size:] - t[:-size]
-    inside, open_ = np.zeros(len(a), bool), []
-    for diagonal, low, high in hits:
-        start = max(0, -diagonal, low - WIDTH)
-        stop = min(high, len(sa) - WIDTH, len(sb) - WIDTH - diagonal) + 1
-        if stop <= start:
-            continue
-        x, y = sa[start : stop + WIDTH - 1], sb[start + diagonal : stop + WIDTH - 1 + diagonal]
-        same = x == y
-        cores = over(same, core) == core
-        if not cores.any():
-            continue
-        equal = over(same, WIDTH) == WIDTH
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).astype(np.int8))) + start
-        for i, j in zip(edges[::2], edges[1::2]):
-            inside[i : j + n - 1] = True
-        if not equal.all():
-            open_.append((start, stop, x, y, ~equal & (over(cores, WIDTH - core + 1) > 0)))
-    for start, stop, x, y, maybe in open_:
-        maybe &= over(~inside[start : stop + n - 1], n) > 0
-        if not maybe.any():
+    shared shingles only. Windows whose words all count already are not compared again. The texts, and the hits' places,
+    are laid end to end."""
+    n, core = WIDTH + SHINGLE - 1, RUN - SHINGLE + 1
+    lengths = [np.array([len(p[side]) for p in pairs]) for side in (0, 1)]
+    # A place lies between two texts, so each has its ends.
+    at_a, at_b = (np.cumsum(x + 1) - x - 1 for x in lengths)
+    gap = np.zeros(SHINGLE, np.uint64)
+    sa, sb = (_spans(np.concatenate([x for p in pairs for x in (p[side], gap[:1])] + [gap]), SHINGLE) for side in (0, 1))
+    inside = np.zeros(int((lengths[0] + 1).sum()), bool)
+    of = np.repeat(np.arange(len(pairs)), [len(p[2]) for p in pairs])
+    diagonal, low, high = np.array([h for p in pairs for h in p[2]], np.int64).reshape(-1, 3).T
+    start = np.maximum(np.maximum(0, -diagonal), low - WIDTH)
+    stop = np.minimum(np.minimum(high, lengths[0][of] - n), lengths[1][of] - n - diagonal) + 1
+    over = lambda flags, size: np.append((t := np.append(0, np.cumsum(flags)))[size:] - t[:-size], np.zeros(min(len(flags), size - 1), np.int64))
+
+    def laid(hits):
+        """(hit, place, shingles of a, of b, whether windows that start there are equal, whether they share a run and are not)."""
+        size = stop[hits] - start[hits] + WIDTH - 1
+        for some in np.split(hits, np.flatnonzero(np.diff(np.cumsum(size) // _VERIFIED)) + 1):
+            if not len(some):
+                continue
+            size = stop[some] - start[some] + WIDTH - 1
+            hit = np.repeat(some, size)
+            at = np.arange(len(hit)) + np.repeat(start[some] - np.cumsum(size) + size, size)
+            place = at + at_a[of[hit]]
+            x, y = sa[place], sb[at + (at_b[of[some]] + diagonal[some]).repeat(size)]
+            # What a window that starts at a hit's last places would take from the next hit does not count.
+            same, window = x == y, at < stop[hit]
+            equal = window & (over(same, WIDTH) == WIDTH)
+            yield hit, place, x, y, equal, window & ~equal & (over(over(same, core) == core, WIDTH - core + 1) > 0)
+
+    open_ = [np.zeros(0, np.int64)]
+    for hit, place, _, _, equal, maybe in laid(np.flatnonzero(stop > start)):
+        more = np.bincount(place[equal], minlength=len(inside) + 1) - np.bincount(place[equal] + n, minlength=len(inside) + 1)
+        inside |= np.cumsum(more)[:-1] > 0
+        open_.append(np.unique(hit[maybe]))
+    new = over(~inside, n) > 0
+    for hit, place, x, y, _, maybe in laid(np.concatenate(open_)):
+        maybe &= new[place]
+        kept = np.isin(hit, np.unique(hit[maybe]))
+        if not kept.any():
             continue
-        missing = np.zeros(len(x), bool)
-        missing[np.unique(x, return_index=True)[1]] = True
-        missing &= ~np.isin(x, y)
-        some = np.flatnonzero(maybe & (over(missing, WIDTH) <= (1 - LIKE) * WIDTH + 1e-9))
-        for k in range(0, len(some), 1024):
-            at = some[k : k + 1024]
-            wx, wy = (np.lib.stride_tricks.sliding_window_view(z, WIDTH)[at] for z in (x, y))
+        hit, place, x, y, maybe = hit[kept], place[kept], x[kept], y[kept], maybe[kept]
+        salt, missing = mix(hit.view(np.uint64) + np.uint64(1)), np.zeros(len(x), bool)
+        missing[np.unique(x + salt, return_index=True)[1]] = True
+        missing &= ~np.isin(x + salt, y + salt)
+        few = np.flatnonzero(maybe & (over(missing, WIDTH) <= (1 - LIKE) * WIDTH + 1e-9))
+        for k in range(0, len(few), 1024):
+            at = few[k : k + 1024]
+            wx, wy = (z[at[:, None] + np.arange(WIDTH)] for z in (x, y))
             like = _like(wx, wy)
             row, col = np.nonzero((wx[like, :, None] == wy[like, None, :]).any(axis=2))
-            at = np.unique(at[like][row] + col) + start
-            inside[(at[:, None] + np.arange(SHINGLE)).reshape(-1)] = True
-    return np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))).tolist()
-
-
-def _hashed(text: bytes, known: _Hashes) -> np.ndarray:
-    words = text.lower().split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            inside[(place[np.unique(at[like][row] + col)][:, None] + np.arange(SHINGLE)).reshape(-1)] = True
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    cuts = np.searchsorted(edges, np.append(at_a, len(inside) + 1))
+    return [(edges[i:j] - at).tolist() for i, j, at in zip(cuts[:-1], cuts[1:], at_a)]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -723,17 +833,29 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text_hash, rep, at, part, hits, text), text being the rep's, to verified ranges."""
-    names, last, theirs, known = ["doc_id", "text_hash", "rep", "spans"], None, None, _Hashes()
+    names = ["doc_id", "text_hash", "rep", "spans"]
+
+    def words(texts):
+        h, n = hashed_words(texts)
+        return np.split(h, np.cumsum(n)[:-1])
+
     for b in batches:
-        out = []
-        for doc, text_hash, rep, at, part, hits, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text_hash", "rep", "at", "part", "hits", "text"))):
-            if text != last:
-                last, theirs = text, _hashed(text.encode(), known)
-            found = verify(_hashed(part, known), theirs, [(h["diagonal"] + at, h["from"] - at, h["to"] - at) for h in hits])
-            if found:
-                out.append((doc, text_hash, rep, [x + at for x in found]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.list_(pa.int64()) if i == 3 else pa.int64()) for i in range(4)], names=names)
+        rows, texts, size = [], [], 0
+        for k, (doc, text_hash, rep, at, part, hits, text) in enumerate(zip(*(b.column(c) for c in ("doc_id", "text_hash", "rep", "at", "part", "hits", "text")))):
+            text, at = text.as_py(), at.as_py()
+            if not texts or text != texts[-1]:
+                texts.append(text)
+                size += len(text)
+            rows.append((doc.as_py(), text_hash.as_py(), rep.as_py(), at, part.as_py(), len(texts) - 1, [(h["diagonal"] + at, h["from"] - at, h["to"] - at) for h in hits.as_py()]))
+            size += len(rows[-1][4]) + sum(high - low + 2 * WIDTH for _, low, high in rows[-1][6])
+            if size < _VERIFIED and k + 1 < b.num_rows:
+                continue
+            ours, theirs = words([r[4] for r in rows]), words([t.encode() for t in texts])
+            found = verify([(x, theirs[r[5]], r[6]) for x, r in zip(ours, rows)])
+            out = [(*r[:3], [x + r[3] for x in f]) for r, f in zip(rows, found) if f]
+            rows, texts, size = [], [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.list_(pa.int64()) if i == 3 else pa.int64()) for i in range(4)], names=names)
 
 
 def candidates(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -269,3 +269,69 @@ def test_needed_hits_cover_what_all_cover():
         cover = lambda some, ends: {(t, x) for t, a, b in zip(text[some].tolist(), ends[0][some].tolist(), ends[1][some].tolist()) for x in range(a, b + 1)}
         assert cover(~keep, need) <= cover(keep, np.stack([lo, hi]))
         assert keep[none].all() and set(pair[~none].tolist()) == set(pair[keep & ~none].tolist())
+
+
+def near_rows(g, n):
+    """Rows of one large group: some begin or end near the middle, parts of them are alike."""
+    c = S.NEAR
+    near = g.integers(1, 2**32, (n, 2 * c + 1), dtype=np.uint64)
+    near[:, c - 12 : c + 12] = near[0, c - 12 : c + 12]
+    for i in range(0, n - 1, 2):
+        at = c - int(g.integers(c))
+        near[i + 1, at : at + 50] = near[i, at : at + 50]
+    left, right = (np.where(g.random(n) < 0.1, g.integers(0, c, n), c) for _ in range(2))
+    return near, left, right
+
+
+def test_like_rows_sort_few_keys(monkeypatch):
+    """Keys are made for what rows can have in common: under 250 a row; sorting for every window took 630 here."""
+    g, sorted_, same = np.random.default_rng(8), [], S._same
+    monkeypatch.setattr(S, "_same", lambda key, code: sorted_.append(len(key)) or same(key, code))
+    near, left, right = near_rows(g, 2000)
+    S.like_rows(np.zeros(2000, np.int64), np.arange(2000), near, left, right)
+    assert sum(sorted_) < 250 * 2000
+
+
+def test_forks_are_where_rows_first_differ():
+    g = np.random.default_rng(3)
+    near = g.integers(0, 2, (60, 2 * S.NEAR + 1), dtype=np.uint64)
+    near[30:, 40:60], near[:, S.NEAR], group = near[0, 40:60], 1, g.integers(0, 3, 60)
+    want = np.zeros(near.shape, bool)
+    for a in range(60):
+        for b in np.flatnonzero((group == group[a]) & (np.arange(60) != a)):
+            for places in (range(S.NEAR, 2 * S.NEAR + 1), range(S.NEAR, -1, -1)):
+                differ = [p for p in places if near[a, p] != near[b, p]]
+                want[a, differ[:1]] = True
+    assert (S._forks(group, near) == want).all()
+
+
+def test_words_are_hashed_by_their_bytes():
+    texts = [b"One two  one", b"", b" \t\x0b ", b"a" * 64 + b" " + b"A" * 65 + b"\x0c" + b"a" * 65, "É é ONE".encode()]
+    h, n = S.hashed_words(texts)
+    words = [w for t in texts for w in t.lower().split()]
+    assert n.tolist() == [len(t.split()) for t in texts]
+    assert len(set(h.tolist())) == len(set(words)) == len(set(zip(words, h.tolist())))
+    assert [x.tolist() for x in S.hashed_words([])] == [[], []]
+
+
+def test_pairs_verified_together_give_what_each_gives_alone(monkeypatch):
+    """Against brute force over the windows of a hit's diagonal: a word counts if a shared shingle of like windows has it."""
+    r, pairs = random.Random(17), []
+    for i in range(60):
+        p = fresh_words(r, r.randrange(40, 130))
+        q = edited(r, p, r.sample(range(len(p)), r.randrange(3)))
+        x, y = r.randrange(30), r.randrange(30)
+        a, b = (" ".join(fresh_words(r, k) + z + fresh_words(r, r.randrange(30))).encode() for k, z in ((x, p), (y, q)))
+        pairs.append((*(S.hashed_words([t])[0] for t in (a, b)), [(y - x + s, x, x + len(p)) for s in range(-2, 3)]))
+    monkeypatch.setattr(S, "_VERIFIED", 700)
+    got = S.verify(pairs)
+    assert got == [S.verify([p])[0] for p in pairs]
+    for (a, b, hits), found in zip(pairs, got):
+        sa, sb, want = S._spans(a, S.SHINGLE).tolist(), S._spans(b, S.SHINGLE).tolist(), set()
+        for diagonal, low, high in hits:
+            for i in range(max(0, low - S.WIDTH, -diagonal), min(high, len(sa) - S.WIDTH, len(sb) - S.WIDTH - diagonal) + 1):
+                x, y = sa[i : i + S.WIDTH], sb[i + diagonal : i + diagonal + S.WIDTH]
+                if len(set(x) & set(y)) >= S.LIKE * len(set(x) | set(y)):
+                    want |= {w for k, z in enumerate(x) if z in y for w in range(i + k, i + k + S.SHINGLE)}
+        assert {w for lo, hi in zip(found[::2], found[1::2]) for w in range(lo, hi)} == want
+    assert sum(map(bool, got)) > 30
