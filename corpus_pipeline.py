@@ -71,7 +71,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each row's text, packed, and whether they decode to it. Null text has no ids; every
     row gives one; an empty table stays empty."""
     path = vocabulary()
-    ids = bpe.encode(docs, path, keep=("doc_id", "source", "lang"))
+    # Written, so that no task has two Python workers with a vocabulary each.
+    ids = written(bpe.encode(docs, path, keep=("doc_id", "source", "lang")))
     out = bpe.decode(ids, path, keep=("doc_id", "source", "lang", "text"))
     return out.select("doc_id", "source", "lang", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 

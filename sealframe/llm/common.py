@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import tempfile
 import threading
@@ -122,6 +123,14 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set(key, min(rows, int(spark.conf.get(key, str(rows))) or rows))
 
 
+def give_back() -> None:
+    """Return to the system what a Python worker, which Spark uses again, holds free from earlier tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever the case of letters."""
     taken = {c.lower() for c in df.columns}

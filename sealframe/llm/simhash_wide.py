@@ -372,7 +372,8 @@ def _classes(rows: DataFrame, row: str, doc_id: str, text: str, like: float) ->
     reps = written(prints.groupBy(*_SET).agg(F.min("row").alias("rep"), least))
     firsts = written(reps.groupBy(*_FPS).agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("sets")))
     parts = written(_members(reps, firsts, components(candidates(firsts)).withColumnRenamed("node", "rep")))
-    linked = components(links(parts, reps, rows, row, text, like)).select(F.col("node").alias("rep"), "component")
+    # Links are written first, so that no task has both their Python worker and that of components().
+    linked = components(written(links(parts, reps, rows, row, text, like))).select(F.col("node").alias("rep"), "component")
     classes = reps.join(linked, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least_of = classes.groupBy("component").agg(F.min("least").alias("first"))
     classes = written(classes.join(least_of, "component").select(*_SET, "first"))

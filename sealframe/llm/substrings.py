@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alone, components, delete_table, joined, small_batches, written
+from .common import alone, components, delete_table, give_back, joined, small_batches, written
 from .simhash_wide import _in_blocks, _whole_groups
 
 SHINGLE = 5
@@ -891,7 +891,8 @@ def repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     ours = pairs.join(texts.withColumn("text_hash", F.xxhash64("text")), "doc_id")
     parts = ours.mapInArrow(_slices, f"doc_id long, rep long, hits {_HITS}, text_hash long, at long, part binary")
     theirs = texts.withColumnRenamed("doc_id", "rep")
-    return parts.join(theirs, "rep").mapInArrow(_verify, "doc_id long, text_hash long, rep long, spans array<long>")
+    # Not broadcast, however few: else one task has the Python workers of both functions.
+    return parts.join(theirs.hint("merge"), "rep").mapInArrow(_verify, "doc_id long, text_hash long, rep long, spans array<long>")
 
 
 def merge_spans(ranges: list[list[int]]) -> list[tuple[int, int]]:
@@ -958,6 +959,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     schema = T.StructType(list(df.schema.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for b in batches:
             old, ranges = b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             new = [t if not r else cut_text(t, r) for t, r in zip(old, ranges)]

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -69,6 +70,35 @@ def test_run_keeps_what_it_should(spark, sf):
     assert abs(taken - size) <= 3 * 160
 
 
+def python_nodes(plan, found):
+    """Python nodes of the last stage of a physical plan; found gets those of the stages before."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        plan = plan.executedPlan()
+    children = plan.children()
+    n = sum(python_nodes(children.apply(i), found) for i in range(children.size()))
+    if "Exchange" in plan.nodeName():
+        found.append(n)
+        return 0
+    return n + any(x in plan.nodeName() for x in ("Arrow", "Python", "Pandas"))
+
+
+def test_no_task_has_two_python_workers(spark, sf, monkeypatch):
+    """Spark uses idle workers in turn, so one stage with two of them a task doubles their memory for good."""
+    found, write = {}, DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **more):
+        plan = self._df._jdf.queryExecution().executedPlan()
+        sizes = []
+        sizes.append(python_nodes(plan, sizes))
+        found[plan.toString()] = max(sizes)
+        return write(self, path, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    corpus_pipeline.run(spark, sf)
+    assert sum(found.values()) >= 8
+    assert not [plan for plan, n in found.items() if n > 1]
+
+
 def test_rows_of_one_id_are_judged_one_by_one(spark, sf):
     rows = corpus()[0]
     good, bad = rows[0], rows[160]
