@@ -30,12 +30,24 @@ PACKET = (
     f"compression struct<{COMPRESSION.replace(' ', ':').replace(',:', ', ')}>, payload string, refs string, delta string, metadata string"
 )
 DETECTION = "array<struct<path:string,field:string,category:string,detection:string,actionRequired:boolean>>"
+VERIFIED = "ok boolean, code string, message string, fieldPaths array<string>"
 #: What a document can be at fault with; anything else is a bug and raises.
 FAULTS = (ValueError, RecursionError)
 
 
+#: Rows that a function holds as Python objects at once, however many a batch has.
+_ROWS = 500
+
+
+def _in_parts(one: Callable, arrow: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """one(*values) of each row; the memory of one part is there again for the next."""
+    parts = [pa.array([one(*row) for row in zip(*(c.slice(at, _ROWS).to_pylist() for c in columns))], arrow) for at in range(0, len(columns[0]), _ROWS)]
+    pa.default_memory_pool().release_unused()
+    return pa.concat_arrays(parts) if parts else pa.array([], arrow)
+
+
 def _function(returns: str, one: Callable, *columns: Column) -> Column:
-    """one(*values) of each row, batch by batch; values and result as Python objects."""
+    """one(*values) of each row, part by part of a batch; values and result as Python objects."""
     dtype = T.StructType.fromDDL(returns) if " " in returns.split("<")[0].split(",")[0].strip() else T.DataType.fromDDL(returns)
     arrow = to_arrow_type(dtype)
 
@@ -43,12 +55,12 @@ def _function(returns: str, one: Callable, *columns: Column) -> Column:
 
         @F.arrow_udf(dtype)
         def run(a: pa.Array) -> pa.Array:
-            return pa.array([one(x) for x in a.to_pylist()], arrow)
+            return _in_parts(one, arrow, a)
     else:
 
         @F.arrow_udf(dtype)
         def run(a: pa.Array, b: pa.Array) -> pa.Array:
-            return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], arrow)
+            return _in_parts(one, arrow, a, b)
 
     return run(*columns)
 
@@ -249,8 +261,9 @@ def _report_text(report: dict) -> str:
     return json.dumps(report, ensure_ascii=False, separators=(",", ":"))
 
 
-def protect(doc: Column, policy: dict, *, permissive: bool = False, **options) -> Column:
-    """Struct {data, report, error} as JSON text. Secrets stay inside the function."""
+def protect(doc: Column, policy: dict, *, permissive: bool = False, verify: bool = False, **options) -> Column:
+    """Struct {data, report, error} as JSON text. Secrets stay inside the function. With `verify` also `verified`, what
+    verify_privacy() says of the two texts, in the same function, so that a task has one Python worker."""
     checked = validate_policy(policy)
 
     def one(x):
@@ -258,13 +271,14 @@ def protect(doc: Column, policy: dict, *, permissive: bool = False, **options) -
             return {}
         try:
             out = P.protect(parse(x), checked, **options)
-            return {"data": canonical_text(out["data"]), "report": _report_text(out["report"])}
+            texts = {"data": canonical_text(out["data"]), "report": _report_text(out["report"])}
         except FAULTS as e:
             if not permissive:
                 raise
             return {"error": e.code if isinstance(e, PrivacyError) else "INVALID_POLICY"}
+        return {**texts, "verified": _verified(**texts)} if verify else texts
 
-    return _function("data string, report string, error string", one, doc)
+    return _function("data string, report string, error string" + f", verified struct<{VERIFIED.replace(' ', ':').replace(',:', ', ')}>" * verify, one, doc)
 
 
 def privacy_report(doc: Column, transformed: Column, policy: dict, permissive: bool = False) -> Column:
@@ -272,13 +286,13 @@ def privacy_report(doc: Column, transformed: Column, policy: dict, permissive: b
     return _of_documents(lambda a, b: _report_text(P.create_report(a, b, checked)), doc, transformed, permissive=permissive)
 
 
-def verify_privacy(data: Column, report: Column) -> Column:
-    """Struct {ok, code, message, fieldPaths}."""
+def _verified(data: str, report: str) -> dict:
+    return P.verify_result({"data": parse(data), "report": parse(report)})
 
-    def one(x, y):
-        return {} if x is None or y is None else P.verify_result({"data": parse(x), "report": parse(y)})
 
-    return _function("ok boolean, code string, message string, fieldPaths array<string>", one, data, report)
+def verify_privacy(data: Column, report: Column) -> Column:
+    """Struct {ok, code, message, fieldPaths}."""
+    return _function(VERIFIED, lambda x, y: {} if x is None or y is None else _verified(x, y), data, report)
 
 
 def create_private_packet(doc: Column, policy: dict, *, packet_options: dict | None = None, permissive: bool = False, **options) -> Column:

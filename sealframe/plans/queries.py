@@ -585,8 +585,8 @@ def protect_remove_deny(spark, d):
 @query(f"SELECT c_custkey, {DOCUMENT} AS data, true AS ok, 4 AS transforms FROM ({PROTECTED})")
 def protect_dynamic(spark, d):
     df = spread(people(spark, d))
-    out = df.select("c_custkey", Doc.protect(X.document_json(df), POLICY, token_secret=TOKEN_SECRET, hmac_secret=HMAC_SECRET).alias("p"))
-    return out.select("c_custkey", "p.data", Doc.verify_privacy(F.col("p.data"), F.col("p.report"))["ok"].alias("ok"), F.get_json_object("p.report", "$.transform_count").cast("int").alias("transforms"))
+    out = df.select("c_custkey", Doc.protect(X.document_json(df), POLICY, verify=True, token_secret=TOKEN_SECRET, hmac_secret=HMAC_SECRET).alias("p"))
+    return out.select("c_custkey", "p.data", F.col("p.verified.ok").alias("ok"), F.get_json_object("p.report", "$.transform_count").cast("int").alias("transforms"))
 
 
 @query(f"SELECT c_custkey, sha256({_inner(DOCUMENT)}) AS packet_hash FROM ({PROTECTED})")

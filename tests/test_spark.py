@@ -1,6 +1,7 @@
 import json
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,3 +181,28 @@ def test_gzip_shares_round_halves_up(spark, monkeypatch):
     assert len(got) > 1000 and all(codec.reduction_percent(raw, small) == p for raw, small, p in got)
     monkeypatch.setattr(codec.gzip, "compress", lambda *a, **k: b"x" * 1260)
     assert codec.baselines("y" * 2560)["gzip_reduction_percent"] == 50.7813
+
+
+def test_protect_dynamic_runs_one_function_a_task(spark):
+    """Whose Python objects are those of a part of a batch, and which verifies as verify_privacy() does."""
+    plan = Q.QUERIES["protect_dynamic"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    df = spark.createDataFrame([('{"ssn":"123-45-6789","a":1}',), ('{"a":"my ssn 123-45-6789"}',), (None,)], "doc string")
+    for policy in ({"version": "v1", "redact": ["ssn"], "mode": "permissive"}, {"version": "v1", "redact": ["ssn"], "allow": ["a", "ssn"]}):
+        p = df.select(documents.protect(F.col("doc"), policy, verify=True).alias("p")).cache()
+        got = p.select("p.verified", documents.verify_privacy(F.col("p.data"), F.col("p.report")).alias("v")).collect()
+        assert [r.verified for r in got[:2]] == [r.v for r in got[:2]] and got[2].verified is None
+    assert [r.verified.ok for r in got[:2]] == [True, False]
+    held = []
+
+    class Column(list):
+        def slice(self, at, n):
+            held.append(len(self[at : at + n]))
+            return Column(self[at : at + n])
+
+        def to_pylist(self):
+            return list(self)
+
+    rows = Column(range(3 * documents._ROWS + 1))
+    assert documents._in_parts(lambda x: x + 1, pa.int64(), rows).to_pylist() == [x + 1 for x in rows]
+    assert max(held) == documents._ROWS and len(held) == 4 and documents._in_parts(str, pa.string(), Column()).to_pylist() == []
