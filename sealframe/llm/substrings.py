@@ -119,6 +119,12 @@ def _spans(x: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Values of x in order, each once."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
 def sliding_minima(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every `width` consecutive values."""
     size = 1
@@ -326,6 +332,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def solve(key, doc, k, places, window, rep):
         if not len(key):
             return
+        several = _groups(key)[1] > 1
+        if not several.any():
+            return
+        key, doc, k, places, window, rep = (x[several] for x in (key, doc, k, places, window, rep))
         first, size = _groups(key)
         row = np.arange(len(key))
         many = ((size > FEW) | np.isin(key, key[rep == _MET_BY])) & (doc[first] != doc[first + size - 1])
@@ -477,7 +487,7 @@ def like_rows(group: np.ndarray, doc: np.ndarray, around: np.ndarray, left: np.n
             np.add.at(more, (at[still], y[still]), -1)
         covered[of_row] |= np.cumsum(more, axis=1)[:, :-1] > 0
         last[row], last_doc[row] = first, place[first]
-        pairs.append(np.unique((row * len(kept) + first) * 3 + shift + 1))
+        pairs.append(distinct((row * len(kept) + first) * 3 + shift + 1))
 
     # What is side by side: the same shingles at several ends of a window make the same groups, unless texts end there.
     for u in range(SHINGLE, NEAR + 1):
@@ -496,7 +506,7 @@ def like_rows(group: np.ndarray, doc: np.ndarray, around: np.ndarray, left: np.n
             for x in range(SHINGLE + 1):
                 valid = (low_i[code] <= u - x) & (high_i[code] >= u - x)
                 found_u.append((code * len(kept) + np.repeat(np.minimum.reduceat(np.where(valid, code, len(kept)), at), size))[valid])
-        row, first = np.divmod(np.unique(np.concatenate(found_u)), len(kept))
+        row, first = np.divmod(distinct(np.concatenate(found_u)), len(kept))
         add(row, first, np.zeros(len(row), np.int64), (u, u + common))
     tags = mix(np.arange(1, WIDTH + 1, dtype=np.uint64))
     for i in range(NEAR + 1):
@@ -551,7 +561,7 @@ def like_rows(group: np.ndarray, doc: np.ndarray, around: np.ndarray, left: np.n
             ahead, behind = kind * ~middle_left, kind * middle_left
             add(row >> 1, first >> 1, shift, [(i + ahead, i + ahead + p), (i + p + SHINGLE - behind, i + WIDTH - behind)])
     if pairs:
-        both, shift = np.divmod(np.unique(np.concatenate(pairs)), 3)
+        both, shift = np.divmod(distinct(np.concatenate(pairs)), 3)
         a, b = (kept[x] for x in np.divmod(both, len(kept)))
         found.append((a, b, shift - 1))
         if len(of):
@@ -625,17 +635,17 @@ _NEAR = ["key", "doc_id", "place", "text", "around", "more"]
 
 def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, text, open), open being (key, places, hash) of its rows of large groups, to a row for each
-    place with the shingles around, in 32 bits, and how many of these are the text's on either side. Places of
-    one key that have all that in common, as in a text of one line over and over, are one row: `more` are the later ones;
-    `text` tells texts of one id apart."""
+    place with the shingles around, in 32 bits, and how many of these are the text's on either side. The key is
+    the shingle's, whatever functions have it as the least, so a place is one row, and the rows of a shingle that is the least
+    under several functions meet once. Places of one key that have all that in common, as in a text of one line over and
+    over, are one row: `more` are the later ones; `text` tells texts of one id apart."""
     salts = np.array([_salt(k) for k in range(HASHES)])
     for b in batches:
         out, have, ends_at = [], 0, b.column(2).offsets.to_numpy()
         keys, places, hashes = (b.column(2).values.field(n).to_numpy(zero_copy_only=False) for n in ("key", "places", "hash"))
         first, last = _unpack(places)
-        for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
-            raw = text.as_py().encode()
-            span = _spans(hashed_words([raw])[0], SHINGLE)
+        for i, doc, raw, words in _hashed(b):
+            span = _spans(words, SHINGLE)
             rows = np.arange(ends_at[i], ends_at[i + 1])
             # Of several texts of one id, a row is of those that have its shingle there.
             rows = rows[last[rows] < len(span)]
@@ -643,19 +653,29 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(rows):
                 continue
             wide = np.concatenate([np.zeros(NEAR, "<u4"), span.astype("<u4"), np.zeros(NEAR, "<u4")])
-            one = first[rows] == last[rows]
-            at, key, more = [first[rows[one]]], [keys[rows[one]]], [b""] * int(one.sum())
-            for k in rows[~one].tolist():
-                same = np.flatnonzero(span[first[k] : last[k] + 1] == span[first[k]]) + first[k]
+            at = first[rows]
+            if (long := rows[last[rows] > at]).size:
+                ranges = set(zip(first[long].tolist(), last[long].tolist()))
+                at = np.concatenate([at, *(np.flatnonzero(span[x : y + 1] == span[x]) + x for x, y in ranges)])
+            at = distinct(at)
+            key = mix(span[at]).view(np.int64)
+            several = len(set(key.tolist())) < len(key)
+            if several:
+                at, key = at[order := np.argsort(key, kind="stable")], key[order]
+                of, size = _groups(key)
+            one = size == 1 if several else np.ones(len(key), bool)
+            at_all, key_all, more = [at[one]], [key[one]], [b""] * int(one.sum())
+            for k in np.flatnonzero(~one & (of == np.arange(len(key)))).tolist() if several else ():
+                same = at[k : k + size[k]]
                 _, low, which = np.unique(_contexts(wide, same, len(span)).view("V" + str(4 * (2 * NEAR + 3))).ravel(), return_index=True, return_inverse=True)
                 later = np.ones(len(same), bool)
                 later[low] = False
                 order = np.argsort(which[later], kind="stable")
                 cuts = np.searchsorted(which[later][order], np.arange(1, len(low)))
-                at.append(same[low])
-                key.append(np.full(len(low), keys[k]))
+                at_all.append(same[low])
+                key_all.append(np.full(len(low), key[k]))
                 more += [x.tobytes() for x in np.split(same[later][order], cuts)]
-            at, key, which = np.concatenate(at), np.concatenate(key), xxhash.xxh64_intdigest(raw) >> 1
+            at, key, which = np.concatenate(at_all), np.concatenate(key_all), xxhash.xxh64_intdigest(raw) >> 1
             for lo in range(0, len(at), 4000):
                 some = at[lo : lo + 4000]
                 out.append((key[lo : lo + 4000], np.full(len(some), doc), some, np.full(len(some), which, np.int64), _contexts(wide, some, len(span)), more[lo : lo + 4000]))
@@ -667,6 +687,18 @@ def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _near_batch(out)
 
 
+def _hashed(b: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
+    """(row, id, bytes, word hashes) of a batch's (id, text), hashed some at a time."""
+    some, size = [], 0
+    for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1))):
+        some.append((i, doc, text.as_py().encode()))
+        size += len(some[-1][2])
+        if size > _BYTES or i + 1 == b.num_rows:
+            h, n = hashed_words([raw for *_, raw in some])
+            yield from ((*row, words) for row, words in zip(some, np.split(h, np.cumsum(n)[:-1])))
+            some, size = [], 0
+
+
 def _contexts(wide: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Shingles around the places `at` of n, and how many there are on either side."""
     ends = np.stack([np.minimum(at, NEAR), np.minimum(n - 1 - at, NEAR)], axis=1).astype("<u4")
@@ -749,9 +781,9 @@ def _join_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _like(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Whether the sets of shingles in rows of x and y have a similarity of LIKE."""
-    distinct = lambda z: 1 + (np.diff(np.sort(z, axis=1), axis=1) != 0).sum(axis=1)
-    union = distinct(np.concatenate([x, y], axis=1))
-    return distinct(x) + distinct(y) - union >= LIKE * union - 1e-9
+    values = lambda z: 1 + (np.diff(np.sort(z, axis=1), axis=1) != 0).sum(axis=1)
+    union = values(np.concatenate([x, y], axis=1))
+    return values(x) + values(y) - union >= LIKE * union - 1e-9
 
 
 #: Bytes of texts, and places of hits, that are verified at once.
@@ -797,11 +829,11 @@ def verify(pairs: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]
     for hit, place, _, _, equal, maybe in laid(np.flatnonzero(stop > start)):
         more = np.bincount(place[equal], minlength=len(inside) + 1) - np.bincount(place[equal] + n, minlength=len(inside) + 1)
         inside |= np.cumsum(more)[:-1] > 0
-        open_.append(np.unique(hit[maybe]))
+        open_.append(distinct(hit[maybe]))
     new = over(~inside, n) > 0
     for hit, place, x, y, _, maybe in laid(np.concatenate(open_)):
         maybe &= new[place]
-        kept = np.isin(hit, np.unique(hit[maybe]))
+        kept = np.isin(hit, distinct(hit[maybe]))
         if not kept.any():
             continue
         hit, place, x, y, maybe = hit[kept], place[kept], x[kept], y[kept], maybe[kept]
@@ -821,14 +853,19 @@ def verify(pairs: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, rep, hits, text, text_hash) with the words around the hits in place of the text."""
+    """Rows (doc_id, rep, hits, text, text_hash) with the words around the hits in place of the text, about _VERIFIED bytes at a time."""
+    names = ["doc_id", "rep", "hits", "text_hash"]
     for b in batches:
-        for k in range(b.num_rows):
-            hits = b.column("hits")[k].as_py()
-            words = b.column("text")[k].as_py().encode().split()
-            at = max(0, min(h["from"] for h in hits) - WIDTH)
-            part = b" ".join(words[at : max(h["to"] for h in hits) + WIDTH + SHINGLE])
-            yield pa.RecordBatch.from_arrays([*(b.column(c).slice(k, 1) for c in ("doc_id", "rep", "hits", "text_hash")), pa.array([at], pa.int64()), pa.array([part], pa.binary())], names=["doc_id", "rep", "hits", "text_hash", "at", "part"])
+        at, parts, size, begin, last, words = [], [], 0, 0, None, []
+        for k, (text, hits) in enumerate(zip(b.column("text"), b.column("hits").to_pylist())):
+            if (text := text.as_py()) != last:
+                last, words = text, text.encode().split()
+            at.append(max(0, min(h["from"] for h in hits) - WIDTH))
+            parts.append(b" ".join(words[at[-1] : max(h["to"] for h in hits) + WIDTH + SHINGLE]))
+            size += len(parts[-1])
+            if size > _VERIFIED or k + 1 == b.num_rows:
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(begin, len(at)) for c in names), pa.array(at, pa.int64()), pa.array(parts, pa.binary())], names=[*names, "at", "part"])
+                at, parts, size, begin = [], [], 0, k + 1
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

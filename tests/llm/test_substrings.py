@@ -335,3 +335,18 @@ def test_pairs_verified_together_give_what_each_gives_alone(monkeypatch):
                     want |= {w for k, z in enumerate(x) if z in y for w in range(i + k, i + k + S.SHINGLE)}
         assert {w for lo, hi in zip(found[::2], found[1::2]) for w in range(lo, hi)} == want
     assert sum(map(bool, got)) > 30
+
+
+def test_a_place_of_a_large_group_is_one_row_whatever_functions_have_it():
+    """Asked for under all functions, a place gives one row, under one key in all texts; so do places of a range."""
+    common = [f"c{i}" for i in range(120)]
+    docs = [(i, " ".join([f"u{i}", *common])) for i in range(3)]
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("places", pa.int64()), ("hash", pa.int32())]))
+    open_ = []
+    for _, text in docs:
+        span = S._spans(S.hashed_words([text.encode()])[0], S.SHINGLE)
+        open_.append([{"key": int(S.mix(span[p : p + 1] + S._salt(k)).view(np.int64)[0]), "places": p << 32 | p, "hash": k} for k in range(S.HASHES) for p in (60, 61)])
+    asked = pa.record_batch([pa.array([i for i, _ in docs]), pa.array([t for _, t in docs]), pa.array(open_, kind)], names=["doc_id", "text", "open"])
+    rows = pa.Table.from_batches(list(S._around(iter([asked])))).to_pylist()
+    assert sorted((r["doc_id"], r["place"]) for r in rows) == [(i, p) for i in range(3) for p in (60, 61)]
+    assert len({r["key"] for r in rows}) == 2
